@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import byte_bpe, fingerprints, langid, mixing, quality_pairs, quality_rules, simhash_dedup, substring_dedup
 from .common import documents
 
 
@@ -16,8 +18,53 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(docs))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded with the 50k byte-level vocabulary, then decoded."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode(ids, ranks))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the mix of their sources."""
+    mix = mixing.mix(documents(spark, sf_dir), mixing.word_count(F.col("text")))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by a ranking learned from the labels outside fold 0 of 5."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_pairs.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out=quality_pairs.crc_fold("__qp_id", 5) == 0)
+    return quality_pairs.score(docs, model).select("doc_id", (quality_pairs.crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics and the cascade's verdict of every document."""
+    return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    found = simhash_dedup.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by profiles of the documents outside fold 2 of 4."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = quality_pairs.crc_fold("doc_id", 4) == 2
+    models = langid.profiles(docs.filter(~held))
+    return langid.predict(docs.select("doc_id", "text"), models).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    own = (op1_substring_dedup, op3_byte_bpe, op5_mix_sources, op6_quality_pairs, op7_fingerprints, op8_quality_rules, op9_simhash_dedup, op10_language_id)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
