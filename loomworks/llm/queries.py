@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, langid, mixing, quality_pairs, quality_rules, simhash_dedup, substring_dedup
-from .common import documents
+from . import byte_bpe, fingerprints, langid, mixing, quality_pairs, quality_rules, simhash_dedup, substring_dedup, url_filter, wavelet
+from .common import documents, shared_dir
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(docs))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; words are learned from all documents, tokens from all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    model = url_filter.learn(pages, url_filter.unigrams(documents(spark, sf_dir)))
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "segments")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded with the 50k byte-level vocabulary, then decoded."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +33,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.decode(ids, ranks))
 
 
+def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written as wavelet matrices, one a shard, and read back."""
+    made = wavelet.shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
+    wavelet.write(made, path)
+    return wavelet.documents_of(wavelet.read(spark, path))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in the mix of their sources."""
     mix = mixing.mix(documents(spark, sf_dir), mixing.word_count(F.col("text")))
@@ -63,7 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op3_byte_bpe, op5_mix_sources, op6_quality_pairs, op7_fingerprints, op8_quality_rules, op9_simhash_dedup, op10_language_id)
+    own = (op1_substring_dedup, op2_url_filter, op3_byte_bpe, op4_wavelet_ids, op5_mix_sources, op6_quality_pairs, op7_fingerprints, op8_quality_rules, op9_simhash_dedup, op10_language_id)
     return {f.__name__: f for f in own}
 
 

@@ -165,8 +165,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of the smallest id, once.
 
-    Rows with a null id in a component without ids are one row, too. All columns pass through.
+    Rows with a null id cannot be told apart and all stay. All columns pass through.
     """
     found = near_duplicates(docs, id_col=id_col, **options)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi").dropDuplicates([id_col])
+    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    named = docs.filter(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
