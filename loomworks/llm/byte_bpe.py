@@ -4,10 +4,11 @@ Plan: documents form blocks of a few million characters. A block's pre-tokens ar
 words and positions. Distinct words go, packed, to buckets of the word-hash space, so every distinct word of
 the corpus meets in one task and is encoded once; a common word is one entry a block there. The ids go back to
 the blocks, where they join the sequence of word numbers by position. Positions never leave their block's row,
-so two small exchanges and one of about one and a half bytes a pre-token are all that moves.
+so one exchange of about two bytes a pre-token, and a smaller one of the ids, are all that moves.
 
-Both branches read ``docs``, so it must give the same rows in the same order when it is read again: a file
-scan or a written table does. A block's checksum travels with its words; a difference raises an error.
+Texts are read once. If an executor is lost they are read again, so ``docs`` must then give the same rows in the
+same order: a file scan or a written table does. A block's checksum travels with its words; a difference raises
+an error.
 
 Decoding joins each id with the token-byte table. The table has one row an id of the vocabulary (50,256 here,
 under 1 MB), so it is broadcast and joined by array lookup.
@@ -19,18 +20,25 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import partitions, without
 
 BLOCK_CHARS = 4_000_000
-_ROWS = T.StructType([T.StructField(n, t) for n, t in (("bucket", T.LongType()), ("block", T.LongType()), ("sum", T.LongType()), ("data", T.BinaryType()))])
-_PA_ROWS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("sum", pa.int64()), ("data", pa.binary())])
+DECODE_BYTES = 4_000_000
+#: The pattern of the byte-level vocabularies this was written for, which lets texts be cut before blanks.
+BLANK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WIDE_GAP = regex.compile(r"\s ")
+_ROWS = T.StructType([T.StructField(n, t) for n, t in (("key", T.LongType()), ("block", T.LongType()), ("sum", T.LongType()), ("data", T.BinaryType()))])
+_REPLY_ROWS = T.StructType([T.StructField(n, t) for n, t in (("block", T.LongType()), ("bucket", T.LongType()), ("sum", T.LongType()), ("data", T.BinaryType()))])
+_REPLIES = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("sum", pa.int64()), ("data", pa.binary())])
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -84,25 +92,41 @@ def _blocks(batches, most: int):
 
 
 class _Words:
-    """Distinct pre-tokens of a block in order of (bucket, first use), the sequence of their numbers, counts by text."""
+    """Distinct pre-tokens of a block in order of (bucket, first use), the sequence of their numbers, counts by text.
 
-    def __init__(self, texts, find, buckets: int):
-        number: dict[str, int] = {}
-        sequence: list[int] = []
-        self.counts = np.zeros(len(texts), np.int64)
+    With ``blanks``, a text is cut before its blanks, and each distinct piece is matched once. That is right for
+    patterns whose matches hold a blank at their start alone or within a run of white space: texts in which a
+    blank follows white space are matched as a whole.
+    """
+
+    def __init__(self, texts, find, buckets: int, blanks: bool):
+        pieces: dict[str, int] = {}
+        order: list[int] = []
+        ends = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             if text:
-                found = find(text)
-                self.counts[i] = len(found)
-                sequence.extend([number.setdefault(w, len(number)) for w in found])
+                if blanks and not _WIDE_GAP.search(text):
+                    first, *rest = text.split(" ")
+                    units = [*find(first), *[" " + x for x in rest]]
+                else:
+                    units = find(text)
+                order.extend([pieces.setdefault(u, len(pieces)) for u in units])
+            ends[i + 1] = len(order)
+        number: dict[str, int] = {}
+        parts = [[number.setdefault(w, len(number)) for w in find(u)] for u in pieces]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter((w for p in parts for w in p), np.int64, int(lengths.sum()))
+        at = np.array(order, np.int64)
+        sequence = flat[_ragged((np.cumsum(lengths) - lengths)[at], lengths[at])]
+        self.counts = np.diff(np.concatenate([[0], np.cumsum(lengths[at])])[ends])
         words = [w.encode() for w in number]
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        self.words, self.bucket = [words[i] for i in order], bucket[order]
+        by = np.argsort(bucket, kind="stable")
+        self.words, self.bucket = [words[i] for i in by], bucket[by]
         place = np.empty(len(words), np.int64)
-        place[order] = np.arange(len(words))
-        self.sequence = place[np.array(sequence, np.int64)] if sequence else np.zeros(0, np.int64)
+        place[by] = np.arange(len(words))
+        self.sequence = place[sequence]
         self.sum = int(np.bitwise_xor.reduce(hashes, initial=0).view(np.int64) if len(hashes) else 0) ^ len(sequence)
 
 
@@ -116,38 +140,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     ranks = {b: i for i, b in enumerate(read_ranks(ranks_path))}
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one row an id of the vocabulary
     source = docs.select(id_col, text_col)
-    id_field, id_type = source.schema[id_col], source.schema[id_col].dataType
+    id_type = source.schema[id_col].dataType
+    id_arrow = to_arrow_type(id_type)
+    ready: dict = {}  # of one task
 
-    def split(batches, words: bool):
+    def split(batches):
         from pyspark import TaskContext
 
         find = regex.compile(pattern).findall
         block = TaskContext.get().partitionId() << 32
         for ids, texts in _blocks(batches, BLOCK_CHARS):
-            w = _Words(texts, find, buckets)
-            if words:
-                cuts = [0, *(np.flatnonzero(np.diff(w.bucket)) + 1), len(w.words)]
-                rows = []
-                for i, j in zip(cuts, cuts[1:]):
-                    if j > i:
-                        lengths = np.fromiter(map(len, w.words[i:j]), np.int64, j - i)
-                        data = zstandard.ZstdCompressor(level=3).compress(len(lengths).to_bytes(8, "little") + lengths.astype("<u4").tobytes() + b"".join(w.words[i:j]))
-                        rows.append((int(w.bucket[i]), data))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([w.sum] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=_PA_ROWS)
-            else:
-                uses = np.bincount(w.sequence, minlength=len(w.words))
-                common = np.argsort(-uses, kind="stable")  # numbers by use are small for most positions
-                place = np.empty(len(common), np.int64)
-                place[common] = np.arange(len(common))
-                data = _zip(w.counts, common, place[w.sequence])
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([w.sum]), pa.array([data]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names=["block", "sum", "data", "owners"])
+            w = _Words(texts, find, buckets, pattern == BLANK_PATTERN)
+            cuts = [0, *(np.flatnonzero(np.diff(w.bucket)) + 1), len(w.words)]
+            keys, data = [], []
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    lengths = np.fromiter(map(len, w.words[i:j]), np.int64, j - i)
+                    keys.append(-1 - int(w.bucket[i]))
+                    data.append(zstandard.ZstdCompressor(level=3).compress(len(lengths).to_bytes(8, "little") + lengths.astype("<u4").tobytes() + b"".join(w.words[i:j])))
+            uses = np.bincount(w.sequence, minlength=len(w.words))
+            common = np.argsort(-uses, kind="stable")  # numbers by use are small for most positions
+            place = np.empty(len(common), np.int64)
+            place[common] = np.arange(len(common))
+            keys.append(block)
+            data.append(_zip(w.counts, common, place[w.sequence]))
+            n = len(keys)
+            owners = pa.ListArray.from_arrays(pa.array([0] * n + [len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([block] * n, pa.int64()), pa.array([w.sum] * n, pa.int64()), pa.array(data, pa.binary()), owners], names=["key", "block", "sum", "data", "owners"])
             block += 1
 
     def encoded(table: pa.Table) -> pa.Table:
-        import tiktoken
-
-        one = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
-        ready: dict[bytes, list[int]] = {}
+        if table.column("key")[0].as_py() >= 0:  # the sequence of a block, which waits for the ids
+            return _REPLIES.empty_table()
+        if not ready:
+            import tiktoken
+
+            ready["one"] = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
+        one = ready["one"]
+        known: dict[bytes, list[int]] = {}
         out = []
         for data in table.column("data").to_pylist():
             raw = zstandard.ZstdDecompressor().decompress(data)
@@ -156,22 +186,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             lists, begin = [], 8 + 4 * n
             for end in ends:
                 word, begin = raw[begin:end], end
-                got = ready.get(word)
+                got = known.get(word)
                 if got is None:
-                    got = ready[word] = one(word)
+                    got = known[word] = one(word)
                 lists.append(got)
-            out.append(_zip(np.fromiter(map(len, lists), np.int64, n), np.array([i for x in lists for i in x], np.int64)))
-        return pa.table([table.column("bucket"), table.column("block"), table.column("sum"), pa.array(out, pa.binary())], schema=_PA_ROWS)
+            lengths = np.fromiter(map(len, lists), np.int64, n)
+            out.append(_zip(lengths, np.fromiter((i for x in lists for i in x), np.int64, int(lengths.sum()))))
+        return pa.table([table.column("block"), table.column("key"), table.column("sum"), pa.array(out, pa.binary())], schema=_REPLIES)
 
     def reassembled(order: pa.Table, replies: pa.Table) -> pa.Table:
-        owners, lists = [], []
+        if order.num_rows and order.column("key")[0].as_py() < 0:  # words, which are encoded already
+            return pa.table({id_col: pa.array([], id_arrow), "ids": pa.array([], pa.list_(pa.int32()))})
         if order.num_rows != 1:
             raise ValueError("a block came back without its documents: the input differs between reads")
-        sums = {order.column("sum")[0].as_py(), *replies.column("sum").to_pylist()}
-        if len(sums) != 1:
+        if len({order.column("sum")[0].as_py(), *replies.column("sum").to_pylist()}) != 1:
             raise ValueError("the words of a block differ between reads of the input; write it to a table first")
         counts, common, sequence = (x.astype(np.int64) for x in _unzip(order.column("data")[0].as_py()))
-        parts = [_unzip(x) for x in replies.sort_by("bucket").column("data").to_pylist()]
+        parts = [_unzip(x) for x in replies.sort_by([("bucket", "descending")]).column("data").to_pylist()]
         lengths = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *[p[1] for p in parts]]).astype(np.int32)
         starts = np.cumsum(lengths) - lengths
@@ -182,11 +213,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         owners = order.column("owners").combine_chunks().flatten()
         return pa.table({id_col: owners, "ids": pa.ListArray.from_arrays(pa.array(totals, pa.int32()), pa.array(ids))})
 
-    order_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("sum", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("owners", T.ArrayType(id_type))])
-    out_schema = T.StructType([T.StructField(id_col, id_type, id_field.nullable), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    replies = source.mapInArrow(lambda it: split(it, True), _ROWS).groupBy("bucket").applyInArrow(encoded, _ROWS)
-    order = source.mapInArrow(lambda it: split(it, False), order_schema)
-    return order.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(reassembled, out_schema)
+    row_schema = T.StructType([*_ROWS.fields, T.StructField("owners", T.ArrayType(id_type))])
+    out_schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    # One pass over the texts: words go to their bucket, sequences wait at their block, in the same exchange.
+    rows = source.mapInArrow(split, row_schema)
+    replies = rows.groupBy("key").applyInArrow(encoded, _REPLY_ROWS)
+    return rows.groupBy("key").cogroup(replies.groupBy("block")).applyInArrow(reassembled, out_schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -203,17 +235,23 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     def run(batches):
         raw, ends = shared.value
         lengths = np.diff(ends, prepend=0)
-        for b in batches:
-            lists = b.column(names.index(ids_col))
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = lengths[ids]
-            whole = raw[_ragged(ends[ids] - sizes, sizes)]
-            counts = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-            made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(whole)]).cast(pa.binary())
-            if lists.null_count:
-                made = pa.compute.if_else(lists.is_valid(), made, pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns, made], [*names, out_col])
+        for whole in batches:
+            counts = pa.compute.fill_null(pa.compute.list_value_length(whole.column(names.index(ids_col))), 0).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(counts) * 4) // DECODE_BYTES  # about four bytes a token
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), whole.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if j == i:
+                    continue
+                b = whole.slice(i, j - i)
+                lists = b.column(names.index(ids_col))
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = lengths[ids]
+                text = raw[_ragged(ends[ids] - sizes, sizes)]
+                at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts[i:j])])]
+                made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text)]).cast(pa.binary())
+                if lists.null_count:
+                    made = pa.compute.if_else(lists.is_valid(), made, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.columns, made], [*names, out_col])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField(out_col, T.BinaryType())]))
 

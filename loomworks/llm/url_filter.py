@@ -59,7 +59,8 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name = F.when(fits, F.lit(h + p)) if name is None else name.when(fits, F.lit(h + p))
         verdict = F.when(fits, F.lit(v)) if verdict is None else verdict.when(fits, F.lit(v))
-    return name, verdict
+    none = F.lit(None).cast("string")
+    return (none, none) if name is None else (name, verdict)
 
 
 class Segmenter:
