@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -28,7 +29,7 @@ def lcs_ratio(a: str | None, b: str | None) -> float:
     return 1.0 if a == b else 2 * lcs_length(a, b) / (len(a) + len(b))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """``lcs_ratio`` of two text columns, batch by batch."""
     return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
