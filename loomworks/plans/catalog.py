@@ -503,13 +503,26 @@ def lifecycle_events(df: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has written once its input is read, as a table."""
+    """What a stream has written once its input is read, as a table in the shared folder.
+
+    Each batch overwrites a folder of its own, so a batch that runs again writes no row twice. In complete mode the
+    last batch is the whole result, in update mode all batches are.
+    """
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomworks-")
-    writer.option("checkpointLocation", f"{shared}/{name}").start().awaitTermination()
-    return spark.table(name)
+    root = f"{shared.rstrip('/')}/drained-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        last.append(number)
+
+    writer = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{root}/state").start().awaitTermination()
+    if not last:  # no batch: the input is empty
+        return spark.createDataFrame([], stream.schema)
+    read = spark.read.schema(stream.schema)
+    return read.parquet(f"{root}/out/batch={max(last)}") if mode == "complete" else read.parquet(*[f"{root}/out/batch={n}" for n in sorted(set(last))])
 
 
 def _stream(spark, sf_dir):
