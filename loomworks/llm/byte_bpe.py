@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import partitions, without
+from .common import partitions, small_batches, without
 
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 DECODE_BYTES = 4_000_000
 #: The pattern of the byte-level vocabularies this was written for, which lets texts be cut before blanks.
 BLANK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,6 +136,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     The ids equal those of the tiktoken library's encode_ordinary. Null and empty texts have no ids. Rows of one
     id, and null ids, are rows of their own. An empty table gives an empty result. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     buckets = buckets or partitions(docs.sparkSession)
     ranks = {b: i for i, b in enumerate(read_ranks(ranks_path))}
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one row an id of the vocabulary
@@ -226,6 +227,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
 
     An id outside the vocabulary raises an error. A column named ``out_col`` is replaced; others pass through.
     """
+    small_batches(encoded.sparkSession)
     tokens = read_ranks(ranks_path)
     ends = np.cumsum([len(t) for t in tokens])
     shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), ends))

@@ -23,6 +23,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """At most ``rows`` rows in an Arrow batch of this session: whole texts are wide rows, of which the default 10,000
+    take tens of MB in the JVM's buffers and again in each Python worker. Smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """``df`` without the columns ``names``: an operator's own output replaces input columns of the same name."""
     lower = {n.lower() for n in names}

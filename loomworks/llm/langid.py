@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import small_batches, without
 
 PROFILE, ORDERS, UNKNOWN = 300, 3, "und"
 _CHUNK = 2_000_000
@@ -62,6 +62,7 @@ def _ranked(codes: np.ndarray, most: int) -> np.ndarray:
 
 def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, np.ndarray]:
     """The ranked n-grams of each language of ``docs``; rows with a null language or no letter teach nothing."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         letters = _letters()
@@ -115,6 +116,7 @@ def predict(docs: DataFrame, models: dict[str, np.ndarray], text_col: str = "tex
     ``und`` and 0 for null texts, texts without a letter and if no language was learned; equal distances go to the
     first language by name. An empty table gives an empty result. Columns named so are replaced; others pass through.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, ["lang_pred", "score"])
     names, at = docs.columns, docs.columns.index(text_col)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
+from .common import small_batches, without
 
 TRAIN_ROWS, PAIRS, CUT = 24_000, 200_000, 0.3
 FEATURES = ("words", "word_length", "symbols", "shouting", "capitals", "digits", "punctuation", "high_bytes", "repeated_words", "doubled_words", "repeated_lines", "lines", "bare_words", "longest_run")
@@ -116,6 +116,7 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 3, rid
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, held_out: Column | None = None) -> Model:
     """Learns from at most ``rows`` labelled documents outside ``held_out``; labels of an id that differ or are null are left out."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__qp_id"), F.col(label_col).cast("int").alias("__qp_label")).filter("__qp_id IS NOT NULL")
     known = known.groupBy("__qp_id").agg(F.min("__qp_label").alias("lo"), F.max("__qp_label").alias("hi")).filter("lo = hi AND lo IN (0, 1)")
     if held_out is not None:
@@ -146,6 +147,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CU
     Null, empty and blank texts have the same features and so one score. Equal texts have equal scores. An empty
     table gives an empty result. Columns named so are replaced; all others pass through.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, ["score", "predicted"])
     names, at = docs.columns, docs.columns.index(text_col)
 

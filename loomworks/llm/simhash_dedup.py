@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SharedTables
+from .common import SharedTables, small_batches
 
 SHINGLE, RADIUS, SEED, CROWD = 3, 2, 42, 48
 _SLICE = 1_000_000
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
     A bit is 1 if it is set in over half of the XXH64 hashes of the text's shingles, repeats included. Texts of
     fewer words than a shingle hash as a whole; null, empty and blank texts have fingerprint 0.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
 
     def run(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, range_block, without
+from .common import partitions, range_block, small_batches, without
 
 WINDOW = 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -53,7 +53,8 @@ def _window_sums(values: np.ndarray, starts: np.ndarray, window: int, base: int)
     np.multiply.accumulate(powers, out=powers)
     np.multiply.accumulate(inverse, out=inverse)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers, out=total[1:])
+    np.multiply(values, powers, out=powers)
+    np.cumsum(powers, out=total[1:])
     return _mix((total[starts + window] - total[starts]) * inverse[starts])
 
 
@@ -61,10 +62,11 @@ class _Block:
     """The documents of one block, by (doc_id, text), with the hashes of all windows in that order."""
 
     def __init__(self, table: pa.Table, id_col: str, text_col: str, window: int):
-        self.table = table.sort_by([(id_col, "ascending"), (text_col, "ascending")]) if table.num_rows > 1 else table
-        self.texts = self.table.column(text_col).cast(pa.large_binary()).to_pylist()
+        table = table.sort_by([(id_col, "ascending"), (text_col, "ascending")]) if table.num_rows > 1 else table
+        self.texts = table.column(text_col).cast(pa.large_binary()).to_pylist()
+        self.table = table.drop_columns([text_col])
         seen: dict[bytes, int] = {}
-        values: list[int] = []
+        values = [np.zeros(0, np.uint64)]
         counts = np.zeros(len(self.texts), np.int64)
         digest = xxhash.xxh3_64_intdigest
         for i, text in enumerate(self.texts):
@@ -72,10 +74,10 @@ class _Block:
             counts[i] = len(words)
             for w in set(words).difference(seen):
                 seen[w] = digest(w)
-            values.extend(map(seen.__getitem__, words))
+            values.append(np.fromiter(map(seen.__getitem__, words), np.uint64, len(words)))
         self.window, self.counts = window, counts
         self.offsets = np.concatenate([[0], np.cumsum(counts)])
-        v = np.array(values, np.uint64)
+        v = np.concatenate(values)
         fits = np.maximum(counts - window + 1, 0)
         self.starts = np.repeat(self.offsets[:-1] - np.concatenate([[0], np.cumsum(fits)])[:-1], fits) + np.arange(fits.sum())
         self.hashes = _window_sums(v, self.starts, window, BASES[0])
@@ -158,6 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     columns named ``n_words`` or ``spans`` are replaced; all others pass through.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = blocks or 2 * partitions(spark)
     buckets = buckets or 2 * partitions(spark)
     docs = without(docs, ["n_words", "spans", BLOCK, BUCKET, DATA])

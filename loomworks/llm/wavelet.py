@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, range_block
+from .common import partitions, range_block, small_batches
 
 MAGIC = b"LOOMWM01"
 SHARD_SCHEMA = T.StructType([T.StructField("shard", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("file", T.BinaryType())])
@@ -220,6 +220,7 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
     Null and empty texts have the end id alone. Null ids come first; rows of one id are in order of their text,
     in one shard. Empty tables give no shards. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     n_shards = n_shards or 2 * partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.withColumn("shard", range_block(rows, "id", n_shards))
