@@ -15,6 +15,7 @@ length and zstd frame of its bits, least bit first in a byte.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -30,7 +31,7 @@ from .common import partitions, range_block, small_batches
 
 MAGIC = b"LOOMWM01"
 SHARD_SCHEMA = T.StructType([T.StructField("shard", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("file", T.BinaryType())])
-_WORDS_KEPT = 600_000
+_WORDS_KEPT = 400_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -185,6 +186,13 @@ class _Encoder:
         return got
 
     def _word(self, word: str) -> list[int]:
+        letters, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
+        if letters.isascii() and letters.isalpha():  # the regular expression below without its cost
+            letters = letters.lower()
+            got = self.pieces.get(letters)
+            if got is None:
+                got = self.pieces[letters] = [t.id for t in self.model.tokenize(letters)]
+            return got + self._piece(mark) if mark else got
         plain = self.PLAIN.fullmatch(word)
         if plain is None:
             return self.whole.encode(word, add_special_tokens=False).ids
@@ -214,6 +222,12 @@ class _Encoder:
         return ids, np.diff(totals, prepend=0)
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """The encoder of this Python worker, which its tasks share with the words it knows (``_WORDS_KEPT`` and a shard's)."""
+    return _Encoder(path)
+
+
 def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None) -> DataFrame:
     """One row a shard: ``shard``, ``n_docs``, ``n_tokens``, ``file``; shards and the documents in them ascend by ``id_col``.
 
@@ -224,12 +238,9 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
     n_shards = n_shards or 2 * partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.withColumn("shard", range_block(rows, "id", n_shards))
-    ready: dict[str, _Encoder] = {}  # of one task
 
     def build(table: pa.Table) -> pa.Table:
-        if not ready:
-            ready["encoder"] = _Encoder(tokenizer_path)
-        encoder = ready["encoder"]
+        encoder = _encoder(tokenizer_path)
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         order = np.argsort(np.array(table.column("id").is_valid(), bool), kind="stable")  # null ids first
         table = table.take(pa.array(order))
