@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +31,13 @@ from .common import partitions, range_block, small_batches
 
 MAGIC = b"LOOMWM01"
 SHARD_SCHEMA = T.StructType([T.StructField("shard", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("file", T.BinaryType())])
-_WORDS_KEPT = 400_000
-SEPARATORS = re.compile("[\x1c-\x1f]")
+_WORDS_KEPT, _SPLIT_ROWS, _GATHER_WORDS = 400_000, 500, 1_000_000
+#: The tokenizer's white space.
+BLANKS = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Plain words: letters, then symbols; the apostrophe, which starts pre-tokens of its own, is no such symbol.
+LETTERS = "".join(c for c in map(chr, [*range(0x41, 0x7B), *range(0xC0, 0x100)]) if c.isalpha())
+SYMBOLS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+PLAIN = f"^[{LETTERS}]*[{re.escape(SYMBOLS)}]*$"
 
 
 class WaveletMatrix:
@@ -153,16 +158,14 @@ def from_file(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
 
 
 class _Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct word encoded once.
+    """Ids of whole texts by the tokenizers library, each distinct word of a shard encoded once.
 
     The tokenizer's pre-tokens never hold white space and its normalizer works within words, so a text's ids are
-    its words' ids in order (tests hold this against whole texts). Plain words, Latin-1 letters with at most one
-    mark behind them, are one or two pre-tokens and go straight to the library's BPE model; any other word goes
-    through the whole tokenizer.
+    its words' ids in order (tests hold this against whole texts). Arrow splits the texts and numbers the words.
+    Plain words, Latin-1 letters with ASCII symbols behind them, are at most two pre-tokens, which go straight to
+    the library's BPE model; any other word goes through the whole tokenizer.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -171,55 +174,90 @@ class _Encoder:
         letters = [chr(i) for i in range(0xC0, 0x100) if chr(i).isalpha()]
         self.table = str.maketrans({c: "".join(p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
         self.pieces: dict[str, list[int]] = {}
-        self.words: dict[str, int] = {}
-        self.lists: list[list[int]] = []
+        self.others: dict[str, list[int]] = {}
 
     @staticmethod
-    def _split(text: str) -> list[str]:
-        # str.split() also splits at the separators 1C to 1F, which are no white space to the tokenizer.
-        return regex.findall(r"\S+", text) if SEPARATORS.search(text) else text.split()
+    def _split(texts: pa.ChunkedArray) -> tuple[pa.ChunkedArray, np.ndarray]:
+        """The words of all texts, some of them empty, and the number of words of each text."""
+        words, counts = [], [np.zeros(0, np.int64)]
+        for chunk in texts.chunks:
+            for i in range(0, len(chunk), _SPLIT_ROWS):
+                part = chunk.slice(i, _SPLIT_ROWS)
+                # Arrow's own splitting also cuts at the separators 1C to 1F, which are no white space to the tokenizer.
+                odd = pc.any(pc.match_substring_regex(part, "[\x1c-\x1f]")).as_py()
+                lists = pc.split_pattern_regex(part, BLANKS) if odd else pc.utf8_split_whitespace(part)
+                words.append(lists.flatten())
+                counts.append(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        return pa.chunked_array(words, pa.string()), np.concatenate(counts)
 
     def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(piece.translate(self.table))]
-        return got
-
-    def _word(self, word: str) -> list[int]:
-        letters, mark = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
-        if letters.isascii() and letters.isalpha():  # the regular expression below without its cost
-            letters = letters.lower()
-            got = self.pieces.get(letters)
-            if got is None:
-                got = self.pieces[letters] = [t.id for t in self.model.tokenize(letters)]
-            return got + self._piece(mark) if mark else got
-        plain = self.PLAIN.fullmatch(word)
-        if plain is None:
-            return self.whole.encode(word, add_special_tokens=False).ids
-        letters, mark = plain.groups()
-        return self._piece(letters.lower()) + self._piece(mark) if mark else self._piece(letters.lower())
-
-    def __call__(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))] if piece else []
+
+    def _other(self, word: str) -> list[int]:
+        return self.whole.encode(word, add_special_tokens=False).ids
+
+    def _vocabulary(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all their ids joined."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        known, others = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        heads, tails = pc.utf8_lower(pc.utf8_rtrim(known, SYMBOLS)), pc.utf8_ltrim(known, LETTERS)
+        pieces, at = _numbered(pa.chunked_array([heads, tails, pa.array([""])]))
+        lists = [*_cached(self.pieces, pieces.to_pylist(), self._piece), *_cached(self.others, others, self._other)]
+        unit = np.full((len(words), 2), at[-1])  # a word is two pieces, or another word and the empty piece
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        unit[is_plain, 0], unit[is_plain, 1] = at[: len(known)], at[len(known) : 2 * len(known)]
+        unit[~is_plain, 0] = len(pieces) + np.arange(len(others))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        return sizes[unit].sum(axis=1), flat[_runs(starts[unit.ravel()], sizes[unit.ravel()])]
+
+    def __call__(self, texts: pa.ChunkedArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end_id``, and the count of each."""
-        if len(self.lists) > _WORDS_KEPT:
-            self.pieces, self.words, self.lists = {}, {}, []
-        number, sequence, ends = self.words, [], []
-        for text in texts:
-            if text:
-                sequence.extend([number.setdefault(w, len(number)) for w in self._split(text)])
-            sequence.append(-1)
-            ends.append(len(sequence))
-        for word in list(number)[len(self.lists) :]:
-            self.lists.append(self._word(word))
-        s = np.array(sequence, np.int64)
-        lengths = np.fromiter(map(len, self.lists), np.int64, len(self.lists))
-        flat = np.array([i for x in self.lists for i in x] + [end_id], np.int32)
-        lengths, starts = np.append(lengths, 1), np.append(np.cumsum(lengths) - lengths, len(flat) - 1)
-        each = lengths[s]
-        stops = np.cumsum(each)
-        ids = flat[np.repeat(starts[s] - (stops - each), each) + np.arange(int(stops[-1]) if len(stops) else 0)]
-        totals = stops[np.array(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
-        return ids, np.diff(totals, prepend=0)
+        split, counts = self._split(texts)
+        words, at = _numbered(split)
+        sizes, flat = self._vocabulary(words)
+        flat, starts = np.append(flat, np.uint32(end_id)), np.append(np.cumsum(sizes) - sizes, len(flat))
+        sizes = np.append(sizes, 1)
+        ends = np.cumsum(counts + 1) - 1
+        sequence = np.full(len(at) + len(counts), len(words), np.int32)
+        inner = np.ones(len(sequence), bool)
+        inner[ends] = False
+        sequence[inner] = at
+        stops = np.cumsum(sizes[sequence])
+        ids = np.empty(int(stops[-1]) if len(stops) else 0, np.uint32)
+        for i in range(0, len(sequence), _GATHER_WORDS):
+            some = sequence[i : i + _GATHER_WORDS]
+            got = flat[_runs(starts[some], sizes[some])]
+            stop = int(stops[i + len(some) - 1])
+            ids[stop - len(got) : stop] = got
+        return ids, np.diff(stops[ends], prepend=0)
+
+
+def _numbered(values: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values, and each value's number among them."""
+    chunks = values.dictionary_encode().chunks
+    words = chunks[-1].dictionary if chunks else pa.array([], values.type)
+    return words, np.concatenate([np.zeros(0, np.int32), *[c.indices.to_numpy() for c in chunks]])
+
+
+def _cached(known: dict, keys: list[str], make) -> list[list[int]]:
+    """``make`` of each key; ``known`` keeps ``_WORDS_KEPT`` results and these keys'."""
+    if len(known) > _WORDS_KEPT:
+        known.clear()
+    out = []
+    for key in keys:
+        got = known.get(key)
+        if got is None:
+            got = known[key] = make(key)
+        out.append(got)
+    return out
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of consecutive runs: ``sizes[i]`` from ``starts[i]`` on."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 @functools.lru_cache(maxsize=1)
@@ -241,10 +279,9 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
 
     def build(table: pa.Table) -> pa.Table:
         encoder = _encoder(tokenizer_path)
-        table = table.sort_by([("id", "ascending"), ("text", "ascending")])
-        order = np.argsort(np.array(table.column("id").is_valid(), bool), kind="stable")  # null ids first
-        table = table.take(pa.array(order))
-        ids, counts = encoder(table.column("text").to_pylist(), end_id)
+        order = pc.sort_indices(table, [("id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        table = table.take(order)
+        ids, counts = encoder(table.column("text"), end_id)
         levels = max(1, int(max(encoder.whole.get_vocab_size(), end_id + 1) - 1).bit_length())
         data = to_file(WaveletMatrix.build(ids, levels), table.column("id").to_pylist(), counts)
         return pa.table({"shard": [table.column("shard")[0].as_py()], "n_docs": [len(counts)], "n_tokens": [len(ids)], "file": pa.array([data], pa.binary())})

@@ -1,7 +1,9 @@
+import functools
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -41,13 +43,35 @@ def test_files_equal_library(spark, docs, odd_docs, tmp_path):
     assert sum(r.n for r in wm.occurrences(files, 2).collect()) == every.count(2)
 
 
-def test_words_equal_library():
-    tok, own = Tokenizer.from_file(PATH), wm._Encoder(PATH)
-    texts = ["Hello, World! It's 42.", "ÄÖÜ straße Éa İstanbul ΣΑΣ", "a\x1cb <|endoftext|>x foo-bar z", "don't 日本 é ﬁ 10,000", "", None, "  \n"]
-    ids, counts = own(texts, 2)
+@functools.cache
+def encoders():
+    return Tokenizer.from_file(PATH), wm._Encoder(PATH)
+
+
+def same_ids(texts):
+    tok, own = encoders()
+    ids, counts = own(pa.chunked_array([pa.array(texts, pa.string())]), 2)
     at = np.concatenate([[0], np.cumsum(counts)])
     for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids + [2], t
+
+
+def test_words_equal_library():
+    same_ids(["Hello, World! It's 42.", "ÄÖÜ straße Éa İstanbul ΣΑΣ", "a\x1cb <|endoftext|>x foo-bar z", "don't 日本 é ﬁ 10,000", "", None, "  \n"])
+    same_ids(["été&&& les,*** ai%%% &&& <|endoftext|> end<|startoftext|> END<|ENDOFTEXT|> `a_b_ ^_^ rock'n'roll '' x''s ÿ÷× Àß!?", "e\u0301t\u0301 a\u0338< <\u0338 µ ª"])
+    same_ids([])
+
+
+def test_white_space_equals_library():
+    odd = [chr(i) for i in [*range(1, 0x21), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    same_ids([f"ab{c}cd {c} x{c}" for c in odd])  # with separators among them
+    same_ids([f"ab{c}cd {c} x{c}" for c in odd if not 0x1C <= ord(c) <= 0x1F])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text("aZé'.,&<|>ß1 \n\u0301\x1d", max_size=30)), max_size=5))
+def test_any_text_equals_library(texts):
+    same_ids(texts)
 
 
 def test_empty(spark, empty, tmp_path):
