@@ -10,8 +10,8 @@ the square of their number. Those go another exact way: each flips up to ``radiu
 one side flips one more). Two fingerprints within the radius meet at a flipped value, and linking each value's
 fingerprints to the smallest gives the same components from a number of rows in proportion to the fingerprints.
 
-Components: the smallest fingerprint spreads along links, with pointer jumping, until nothing changes. Every
-round is a table in the shared folder.
+Components: roots go under their smallest neighbour, pointers jump to the roots and links are kept between roots,
+until none is left. Every round is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -118,28 +118,35 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame
     return pairs.union(stars.filter("u < v")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(fp, root): the smallest value reachable over ``edges`` (u, v) for each value that has a link.
 
-    Each round takes the least root among a value's own and its neighbours', then the root's root; it ends
-    when no root changes. Rounds grow with the logarithm of a component's length.
+    Each round, every root goes under its smallest neighbour if that is smaller, pointers jump until all show roots,
+    and the edges are kept between roots only. It ends when no edge is left: the larger end of every edge goes
+    under another root, so each round has fewer roots.
     """
-    spark = edges.sparkSession
-    tables = SharedTables(spark, "components")
-    both = tables.put(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    roots = tables.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "fp"))
-    for _ in range(rounds):
-        seen = both.join(roots, both["v"] == roots["fp"]).groupBy("u").agg(F.min("root").alias("seen"))
-        took = roots.join(seen, roots["fp"] == seen["u"]).select("fp", F.least("root", "seen").alias("to"), F.col("root").alias("was"))
-        up = roots.select(F.col("fp").alias("to"), F.col("root").alias("up"))
-        step = tables.put(took.join(up, "to", "left").select("fp", F.coalesce(F.least("to", "up"), "to").alias("root"), "was"))
-        done = step.filter("root <> was").limit(1).count() == 0
-        if tables.n > 3:
+    tables = SharedTables(edges.sparkSession, "components")
+    left, roots, used = tables.put(edges.select("u", "v").filter("u <> v").distinct()), None, []
+    while True:
+        old, used = used, [tables.n]
+        both = left.union(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooks = tables.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "fp"))
+        while True:
+            up = hooks.select(F.col("fp").alias("at"), F.col("root").alias("up"))
+            step = tables.put(hooks.join(up, F.col("root") == F.col("at")).select("fp", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
             tables.drop(tables.n - 1)
-        roots = step.select("fp", "root")
-        if done:
+            hooks = step.select("fp", "root")
+            if step.filter("moved").isEmpty():
+                break
+        to = hooks.select(F.col("fp").alias("at"), F.col("root").alias("to"))
+        used.append(tables.n)
+        roots = hooks if roots is None else tables.put(roots.join(to, F.col("root") == F.col("at"), "left").select("fp", F.coalesce("to", "root").alias("root")))
+        ends = left.join(to, F.col("u") == F.col("at")).select(F.col("to").alias("u"), "v").join(to, F.col("v") == F.col("at")).select("u", F.col("to").alias("v"))
+        left = tables.put(ends.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        if old:
+            tables.drop(*old)
+        if left.isEmpty():
             return roots
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,3 +80,14 @@ def test_empty_and_extra(empty, docs):
     assert sh.keep_one(empty).collect() == []
     more = docs.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2))
     assert sh.keep_one(more).columns == more.columns
+
+
+def test_long_drifting_chain(spark):
+    rng = random.Random(1)
+    chain = [rng.getrandbits(64)]
+    while len(chain) < 800:  # each two random bits from the last
+        a, b = rng.sample(range(64), 2)
+        chain.append(chain[-1] ^ (1 << a) ^ (1 << b))
+    signed = [f - (1 << 64) if f >> 63 else f for f in chain]
+    edges = spark.createDataFrame([(min(p), max(p)) for p in zip(signed, signed[1:])], "u long, v long")
+    assert {(r.fp, r.root) for r in sh.components(edges).collect()} == {(f, min(signed)) for f in signed}
