@@ -116,28 +116,33 @@ class _Rounds:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
 
-def leaders(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def leaders(edges: DataFrame) -> DataFrame:
     """(``node``, ``leader``) of the nodes of ``edges`` (i, j, i < j): the greedy pass in order of the nodes.
 
-    Each round, open nodes without an open earlier neighbour become leaders, and their later open neighbours go to
-    the least such leader. Random orders need a number of rounds that grows with the logarithm of the nodes.
+    Each round, open nodes without an open earlier neighbour lead, and their neighbours are taken. Of nodes with one
+    open earlier neighbour, every second one leads along the chain, which pointer jumping settles at once, so a chain
+    of versions is one round; it ends when no edge is open. Then each taken node goes to its least leader.
     """
     rounds = _Rounds(edges.sparkSession)
-    left = rounds.put(edges.select("i", "j").distinct())
-    done = None
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
-        heads = left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
-        taken = left.join(heads, "i").groupBy("j").agg(F.min("i").alias("leader"))
-        step = rounds.put(taken.select(F.col("j").alias("node"), "leader").union(heads.select(F.col("i").alias("node"), F.col("i").alias("leader"))))
-        done = step if done is None else done.union(step)
-        gone = step.select("node")
-        left = left.join(gone.withColumnRenamed("node", "i"), "i", "left_anti").join(gone.withColumnRenamed("node", "j"), "j", "left_anti").select("i", "j")
-        left = rounds.put(left)
-    if done is None:
+    every = left = rounds.put(edges.select("i", "j").distinct())
+    led = None
+    while not left.isEmpty():
+        degrees = rounds.put(left.groupBy("j").agg(F.count("*").alias("n"), F.min("i").alias("up")))
+        heads = left.select(F.col("i").alias("node")).distinct().join(degrees.select(F.col("j").alias("node")), "node", "left_anti")
+        chain = rounds.put(degrees.filter("n = 1").select(F.col("j").alias("node"), "up", F.lit(1).alias("odd"), F.lit(True).alias("moved")))
+        while not chain.filter("moved").isEmpty():
+            above = chain.select(F.col("node").alias("at"), F.col("up").alias("to"), F.col("odd").alias("more"))
+            chain = rounds.put(chain.join(above, F.col("up") == F.col("at"), "left").select("node", F.coalesce("to", "up").alias("up"), ((F.col("odd") + F.coalesce("more", F.lit(0))) % 2).alias("odd"), F.col("to").isNotNull().alias("moved")))
+        even = chain.filter("odd = 0").join(heads.select(F.col("node").alias("up")), "up").select("node")
+        step = rounds.put(heads.union(even))
+        led = step if led is None else led.union(step)
+        gone = rounds.put(step.union(left.join(step, F.col("i") == F.col("node")).select("j")).distinct())
+        left = rounds.put(left.join(gone.withColumnRenamed("node", "i"), "i", "left_anti").join(gone.withColumnRenamed("node", "j"), "j", "left_anti").select("i", "j"))
+    if led is None:
         return left.select(F.col("i").alias("node"), F.col("j").alias("leader"))
-    return done
+    taken = rounds.put(every.join(led, F.col("i") == F.col("node")).groupBy("j").agg(F.min("i").alias("leader")).select(F.col("j").alias("node"), "leader"))
+    nodes = every.select(F.col("i").alias("node")).union(every.select("j")).distinct()
+    return nodes.join(taken, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
 
 
 def structural_pairs(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFrame:
