@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,19 +64,33 @@ def range_block(docs: DataFrame, key: str, blocks: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session makes one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomworks-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 class SharedTables:
-    """Parquet tables in the shared folder that cut the lineage of iterative jobs; losing an executor loses none."""
+    """Parquet tables in the shared folder that cut the lineage of iterative jobs; losing an executor loses none.
+
+    Operators drop what they have read. The tables that a result still reads stay until ``drop_all``.
+    """
+
+    made: ClassVar[list[SharedTables]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.made.append(self)
+
+    @classmethod
+    def drop_all(cls) -> None:
+        """Deletes the tables of all operators of this session; results that still read them can't be read again."""
+        while cls.made:
+            cls.made.pop().drop()
 
     def put(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and returns the written table."""
