@@ -43,6 +43,27 @@ def test_order_changes_no_verdict(spark):
     assert worth == sorted(worth, reverse=True)
 
 
+def test_costly_rule_goes_last(spark):
+    """Of rules that reject the same rows, the cheap ones come first, in every run."""
+    rows = [(i, "plain words in a row and then some " * 60 + ("!!" if i % 2 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = F.col("text").endswith("!!")
+    slow = F.regexp_count("text", F.lit(r"(?:[a-z]+[ ]){3,9}(?=[a-z]*q)")) >= 0
+    costly = [qr.Rule("a_windows", hit & (F.col("n_repeat_words") >= 0)), qr.Rule("b_regex", hit & slow | ~slow)]
+    cheap = qr.Rule("z_cheap", hit)
+    for _ in range(2):
+        planned = qr.plan(df, [*costly, cheap], runs=3)
+        assert planned[0][0].name == "z_cheap" and planned[0][2] < min(p[2] for p in planned[1:])
+        assert {round(p[1], 6) for p in planned} == {round(planned[0][1], 6)}
+
+
+def test_cascade_equals_brute_force(docs, odd_docs):
+    rules = qr.default_rules()
+    m = qr.metrics(docs)
+    each = m.select("doc_id", qr.cascade(rules).alias("kept"), *[F.coalesce(r.rejects, F.lit(False)).alias(r.name) for r in rules]).collect()
+    assert len(each) == len(odd_docs) and all(r.kept == (not any(r[x.name] for x in rules)) for r in each)
+
+
 def test_empty_and_clash(empty, docs):
     assert qr.judge(empty).collect() == []
     out = qr.judge(docs.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("y")))
