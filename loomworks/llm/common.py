@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: What separates words in every contract of this subpackage: ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text in a block that one task holds at once.
+BLOCK_BYTES = 64 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def blocks_of(docs: DataFrame, text_col: str, per_partition: int) -> int:
+    """How many blocks to deal whole texts to: ``per_partition`` a shuffle partition, and more where a block would
+    have over ``BLOCK_BYTES`` of text. The bytes are one pass over the text column."""
+    least = per_partition * partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return max(least, -(-size // BLOCK_BYTES))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """At most ``rows`` rows in an Arrow batch of this session: whole texts are wide rows, of which the default 10,000
     take tens of MB in the JVM's buffers and again in each Python worker. Smaller settings stay."""

@@ -13,11 +13,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, partitions, range_block
+from .common import GAP, SharedTables, blocks_of, range_block
 
 LANES = 0x100000001
 MOST_WEIGHT = 24
 SEEDS = (11, 23)
+RADIUS, CROWD = 4, 256
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "next_text", blocks: int | None = None) -> DataFrame:
@@ -27,8 +28,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     any, which is one row a block. Null ids come first; rows of one id are in order of their text. One row alone is
     its own next. Null texts count as empty.
     """
-    spark = docs.sparkSession
-    blocks = blocks or 4 * partitions(spark)
+    blocks = blocks or blocks_of(docs, text_col, 4)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("block", range_block(rows, "id", blocks))
     order = Window.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), "text")
@@ -93,24 +93,31 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.withColumn("edited", F.concat(F.substring(F.col(text_col), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
 
 
-def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asks: Column | None = None, radius: int = RADIUS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness; also to the next text's.
 
-    Rows of one id each count (see ``with_next``); an empty table gives an empty result.
+    With ``asks``, a condition on ``id_col``, two more columns tell what ``search`` finds for those rows among all
+    rows: ``n_within``, the number of rows whose fingerprint is within ``radius`` bits, itself included, and
+    ``first_within``, the smallest id of them. They are null for other rows.
+
+    Rows of one id each count (see ``with_next``), null ids too, but they are never a ``first_within``. Null texts
+    count as empty; all texts without words have one fingerprint. A long text is one row until its words are taken
+    apart, and only its votes are shuffled. An empty table gives an empty result. Other columns are not read.
     """
     rows = edited(docs, id_col, text_col)
     both = rows.select("block", "place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(text_col).alias("x")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("x")))).alias("e"))
     made = fingerprint(both.select("block", "place", F.col("e.kind").alias("kind"), F.col("e.x").alias("x")), ["block", "place", "kind"], "x")
     one = made.groupBy("block", "place").agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("efp"))
     facts = rows.select("block", "place", id_col, F.length(text_col).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    told = facts.join(one, ["block", "place"])
+    tables = SharedTables(docs.sparkSession, "fingerprints")
+    told = tables.put(facts.join(one, ["block", "place"]))  # narrow: all that follows reads no text
     # The next document's fingerprint: the following place of the block, else the first place of the next block.
     order = Window.partitionBy("block").orderBy("place")
     heads = told.filter("place = 1").select("block", "fp")
     around = Window.orderBy("block")
     heads = heads.select("block", F.coalesce(F.lead("fp").over(around), F.first("fp").over(around)).alias("head"))
-    told = told.withColumn("after", F.lead("fp").over(order)).join(heads, "block")
-    return told.select(
+    out = told.withColumn("after", F.lead("fp").over(order)).join(heads, "block")
+    out = out.select(
         id_col,
         "n_chars",
         "edited_sha256",
@@ -119,28 +126,75 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
         likeness(F.col("fp"), F.coalesce("after", "head")).alias("near_next"),
     )
+    if asks is None:
+        return out
+    classes = told.groupBy("fp").agg(F.count("*").alias("n"), F.min(id_col).alias("least"), F.max(asks).alias("asked"))
+    classes = tables.put(classes)
+    found = within(classes.select("fp", "n", "least"), classes.filter("asked").select("fp"), radius)
+    found = found.select(as_text(F.col("fp")).alias("fingerprint"), "n_within", "first_within")
+    asked = out.filter(asks).join(found, "fingerprint").select(*out.columns, "n_within", "first_within")
+    rest = out.filter(~F.coalesce(asks, F.lit(False))).select("*", F.lit(None).cast("long").alias("n_within"), F.lit(None).cast(docs.schema[id_col].dataType).alias("first_within"))
+    return asked.union(rest)
 
 
-def search(index: DataFrame, asked: DataFrame, radius: int = 3, word: int = 0) -> DataFrame:
-    """(``asked_id``, ``id``, ``distance``): all fingerprints of ``index`` within ``radius`` bits of the asked ones.
-
-    Both tables have ``id`` and ``fp``; word number ``word`` of the fingerprints is searched. Its 64 bits are cut
-    into ``radius + 2`` blocks; two fingerprints within the radius agree in two blocks, so each pair of blocks is a
-    table with those bits in front (the permuted table), joined on them, and the candidates are checked. Equal
-    fingerprints are joined as one class, and expanded only in the result.
-    """
+def _blocks(fp: Column, words: int, radius: int) -> list[Column]:
+    """``radius + 2`` runs of bits that make up the fingerprint, the same for every word of it."""
     n = radius + 2
-    cuts = [round(64 * i / n) for i in range(n + 1)]
+    total, out = 64 * words, []
+    cuts = [round(total * i / n) for i in range(n + 1)]
+    for a, b in zip(cuts, cuts[1:]):
+        parts = []
+        for w in range(a // 64, (b - 1) // 64 + 1):
+            low, high = max(a - 64 * w, 0), min(b - 64 * w, 64)
+            bits = F.shiftrightunsigned(F.get(fp, F.lit(w)), low)
+            parts.append(bits if high - low == 64 else bits.bitwiseAND(F.lit((1 << (high - low)) - 1)))
+        out.append(parts[0] if len(parts) == 1 else F.xxhash64(*parts))
+    return out
+
+
+def pairs_within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int = len(SEEDS), crowd: int = CROWD) -> DataFrame:
+    """(x, y, distance): all pairs of asked (``fp``) and indexed (``fp``) distinct fingerprints within ``radius`` bits.
+
+    The fingerprint's bits, of all its words, are cut into ``radius + 2`` blocks. Two fingerprints within the radius
+    agree in two blocks at least, so each pair of blocks is a table with those bits in front (a permuted table), and
+    the tables are joined on them. A pair is taken in the first table that has it. Where more than ``crowd`` indexed
+    fingerprints share a table's bits, they are dealt over salts that every asked one goes to, so no group is one
+    task's and none is left out.
+    """
+    pairs = list(combinations(range(radius + 2), 2))
 
     def tables(classes: DataFrame, name: str) -> DataFrame:
-        keys = []
-        for t, pair in enumerate(combinations(range(n), 2)):
-            a, b = (F.shiftrightunsigned("f", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in pair)
-            keys.append(F.struct(F.lit(t).alias("t"), a.alias("a"), b.alias("b")))
-        return classes.select(F.explode(F.array(*keys)).alias("k"), F.col("f").alias(name)).select("k.t", "k.a", "k.b", name)
-
-    left = asked.select(F.col("id").alias("asked_id"), F.col("fp")[word].alias("f"))
-    right = index.select("id", F.col("fp")[word].alias("f"))
-    found = tables(left.select("f").distinct(), "x").join(tables(right.select("f").distinct(), "y"), ["t", "a", "b"])
-    found = found.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).filter(F.col("distance") <= radius).select("x", "y", "distance").distinct()
-    return left.join(found, left["f"] == found["x"]).select("asked_id", "y", "distance").join(right, F.col("y") == F.col("f")).select("asked_id", "id", "distance")
+        blocks = F.array(*_blocks(F.col("fp"), words, radius))
+        made = classes.select(F.col("fp").alias(name), blocks.alias(f"{name}_blocks"))
+        keys = F.array(*[F.struct(F.lit(t).alias("t"), F.get(f"{name}_blocks", F.lit(i)).alias("a"), F.get(f"{name}_blocks", F.lit(j)).alias("b")) for t, (i, j) in enumerate(pairs)])
+        return made.select(name, f"{name}_blocks", F.explode(keys).alias("k")).select(name, f"{name}_blocks", "k.t", "k.a", "k.b")
+
+    left, right = tables(asked, "x"), tables(index, "y")
+    parts = right.groupBy("t", "a", "b").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("t", "a", "b", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    left = left.join(parts, ["t", "a", "b"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    right = right.join(parts, ["t", "a", "b"], "left").withColumn("salt", F.pmod(F.xxhash64("y"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    distance = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+    agree = [F.get("x_blocks", F.lit(i)) == F.get("y_blocks", F.lit(i)) for i in range(radius + 2)]
+    first = None  # the number of the first pair of blocks that agree
+    for t, (i, j) in enumerate(pairs):
+        first = F.when(agree[i] & agree[j], t) if first is None else first.when(agree[i] & agree[j], t)
+    met = left.join(right, ["t", "a", "b", "salt"]).filter((first == F.col("t")) & (distance <= radius))
+    return met.select("x", "y", distance.alias("distance"))
+
+
+def within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int = len(SEEDS)) -> DataFrame:
+    """(fp, n_within, first_within) of the distinct asked fingerprints: the rows and least id of the indexed classes
+    (``fp``, ``n``, ``least``) within ``radius`` bits. Copies are counted by their class, never expanded."""
+    found = pairs_within(index, asked, radius, words)
+    return found.join(index, F.col("y") == F.col("fp")).groupBy("x").agg(F.sum("n").alias("n_within"), F.min("least").alias("first_within")).withColumnRenamed("x", "fp")
+
+
+def search(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int = len(SEEDS)) -> DataFrame:
+    """(``asked_id``, ``id``, ``distance``): all rows of ``index`` within ``radius`` bits of the asked rows.
+
+    Both tables have ``id`` and ``fp``, arrays of ``words`` longs. Equal fingerprints are searched as one class and
+    expanded only in this result; ``within`` counts them instead.
+    """
+    found = pairs_within(index.select("fp").distinct(), asked.select("fp").distinct(), radius, words)
+    rows = asked.select(F.col("id").alias("asked_id"), F.col("fp").alias("x")).join(found, "x").select("asked_id", "y", "distance")
+    return rows.join(index.select("id", F.col("fp").alias("y")), "y").select("asked_id", "id", "distance")

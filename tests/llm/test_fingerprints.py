@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomworks.llm import fingerprints as fp
@@ -55,20 +56,45 @@ def test_votes_equal_brute_force(spark):
         assert got & (1 << 64) - 1 == want
 
 
-def test_search_equals_brute_force(spark):
+def planted(words):
+    """Random fingerprints and copies of them with up to 5 bits flipped, as unsigned words."""
     import random
 
     rng = random.Random(2)
-    base = [rng.getrandbits(64) for _ in range(40)]
-    values = base + [b ^ sum(1 << rng.randrange(64) for _ in range(k)) & (1 << 64) - 1 for b in base for k in (1, 3)]
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(i, [v]) for i, v in enumerate(signed)], "id long, fp array<long>")
-    asked = df.filter("id % 20 = 0")
-    got = {(r.asked_id, r.id, r.distance) for r in fp.search(df, asked, radius=3).collect()}
-    want = {(i, j, (values[i] ^ values[j]).bit_count()) for i in range(0, len(values), 20) for j in range(len(values)) if (values[i] ^ values[j]).bit_count() <= 3}
-    assert got == want
+    base = [rng.getrandbits(64 * words) for _ in range(40)]
+    values = base + [b ^ sum(1 << k for k in rng.sample(range(64 * words), n)) for b in base for n in (1, 3, 4, 5)] + base[:3]
+    return [[v >> 64 * w & (1 << 64) - 1 for w in range(words)] for v in values]
+
+
+@pytest.mark.parametrize("words,radius", [(1, 3), (2, 4)])
+def test_search_equals_brute_force(spark, words, radius):
+    values = planted(words)
+    signed = [[v - (1 << 64) if v >> 63 else v for v in row] for row in values]
+    df = spark.createDataFrame(list(enumerate(signed)), "id long, fp array<long>")
+    got = [(r.asked_id, r.id, r.distance) for r in fp.search(df, df.filter("id % 20 = 0"), radius, words).collect()]
+
+    def far(i, j):
+        return sum((a ^ b).bit_count() for a, b in zip(values[i], values[j]))
+
+    want = {(i, j, far(i, j)) for i in range(0, len(values), 20) for j in range(len(values)) if far(i, j) <= radius}
+    assert len(got) == len(set(got)) and set(got) == want
+    crowds = fp.pairs_within(df.select("fp").distinct(), df.filter("id % 20 = 0").select("fp").distinct(), radius, words, crowd=1)
+    assert crowds.count() == len({(tuple(values[i]), tuple(values[j])) for i, j, _ in want})
+
+
+def test_query_searches_all_rows(docs, odd_docs):
+    got = fp.compare_edited(docs, asks=F.col("doc_id") % 2 == 0).collect()
+    plain = {r.doc_id: r.fingerprint for r in got}
+    assert len(got) == len(odd_docs)
+    for r in got:
+        if r.doc_id is None or r.doc_id % 2:
+            assert r.n_within is None and r.first_within is None
+        else:
+            near = [x[0] for x in odd_docs if brute(words(plain[x[0]]), words(r.fingerprint)) >= 1 - fp.RADIUS / 128]
+            assert (r.n_within, r.first_within) == (len(near), min(i for i in near if i is not None))
 
 
 def test_empty_and_extra(empty, docs):
     assert fp.compare_edited(empty).collect() == []
+    assert fp.compare_edited(empty, asks=F.col("doc_id") % 20 == 0).collect() == []
     assert fp.compare_edited(docs.withColumn("block", F.lit(1)).withColumn("fp", F.lit(2))).count() == docs.count()
