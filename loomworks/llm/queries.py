@@ -34,11 +34,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' ids written as wavelet matrices, one a shard, and read back."""
+    """All documents' ids written as wavelet matrices, one a shard, and read back; first ids and end ids by access, rank and select."""
     made = wavelet.shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     path = f"{shared_dir(spark)}/wavelet-{uuid.uuid4().hex}"
     wavelet.write(made, path)
-    return wavelet.documents_of(wavelet.read(spark, path))
+    return wavelet.documents_of(wavelet.read(spark, path), end_id=2)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

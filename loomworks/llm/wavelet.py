@@ -4,13 +4,19 @@ A wavelet matrix stores a sequence of n ids below 2**L as L planes of n bits: pl
 in an order in which each plane's zeros come before its ones in the next. Rank on the planes gives any token,
 the number of an id's occurrences before a place, and the places of an id, without decoding the rest.
 
-Shards are ranges of doc_id: one exchange of the texts deals them out, a task encodes its shard's distinct words
-and builds the matrix. A shard file is one row of a Parquet table (its bytes are the file), so any store that
-Spark reads and writes will do, and a lost executor's shards are written again by Spark's commit protocol.
-
-File, little-endian: magic, then int64 n, levels, documents; ids of documents (int64) and a byte each that is 1
-if the id is null; int64 token counts of the documents; int64 zeros of each plane; then each plane as int64
-length and zstd frame of its bits, least bit first in a byte.
+A file holds each plane in blocks of ``BLOCK_BITS`` bits, compressed each alone, with a rank directory: the ones
+before each block. A reader takes the blocks it asks for and keeps them; access, count and occurrence lookup
+decompress a block a plane and place at most, whatever the shard's size.
+
+Shards are ranges of doc_id of at most about ``BLOCK_BYTES`` of text: one exchange of the texts deals them out, a
+task encodes its shard's distinct words and builds the matrix. A shard file is one row of a Parquet table (its bytes
+are the file), so any store that Spark reads and writes will do, and a lost executor's shards are written again by
+Spark's commit protocol.
+
+File, little-endian: magic, then int64 n, levels, documents, block bits; ids of documents (int64) and a byte each that
+is 1 if the id is null; int64 token counts of the documents; int64 zeros of each plane; the rank directory, int64 ones
+before each block, plane by plane; int64 ends of the blocks' frames, counted from the first; the zstd frames of the
+blocks' bits, least bit first in a byte.
 """
 
 from __future__ import annotations
@@ -27,9 +33,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, range_block, small_batches
+from .common import blocks_of, range_block, small_batches
 
-MAGIC = b"LOOMWM01"
+MAGIC, BLOCK_BITS = b"LOOMWM02", 1 << 19
 SHARD_SCHEMA = T.StructType([T.StructField("shard", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("file", T.BinaryType())])
 _WORDS_KEPT, _SPLIT_ROWS, _GATHER_WORDS = 400_000, 500, 1_000_000
 #: The tokenizer's white space.
@@ -41,44 +47,87 @@ PLAIN = f"^[{LETTERS}]*[{re.escape(SYMBOLS)}]*$"
 
 
 class WaveletMatrix:
-    """A sequence of ids as bit planes, with rank and select."""
+    """A sequence of ids as bit planes in blocks, with rank and select; blocks are made or decompressed when asked for."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: np.ndarray):
-        """``planes``: packed bits, padded to whole 64-bit words, from the most significant bit down."""
-        self.n, self.levels, self.planes, self.zeros = n, len(planes), planes, zeros
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, zeros: np.ndarray, before: np.ndarray, frame, block_bits: int = BLOCK_BITS):
+        """``before[k, b]``: ones of plane k before block b; ``frame(k, b)``: the bytes of that block's bits."""
+        self.n, self.levels, self.zeros, self.before, self.block_bits = n, len(zeros), zeros, before, block_bits
+        self._frame, self._loaded = frame, {}
 
     @classmethod
-    def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
+    def build(cls, ids: np.ndarray, levels: int, block_bits: int = BLOCK_BITS) -> WaveletMatrix:
+        """The matrix of ``ids``; ``block_bits`` is a multiple of 64."""
         v = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, zeros = [], np.zeros(levels, np.int64)
         for k in range(levels):
             bits = (v >> v.dtype.type(levels - 1 - k)).astype(np.uint8) & np.uint8(1)
-            planes.append(_words(np.packbits(bits, bitorder="little")))
+            packed = np.packbits(bits, bitorder="little")
+            planes.append(np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]))
             ones = bits.view(bool)
             low = v[~ones]
             zeros[k] = len(low)
             v = np.concatenate([low, v[ones]])
-        return cls(len(ids), planes, zeros)
+        size = block_bits // 8
+        starts = np.arange(0, max(-(-len(ids) // 8), 1), size)
+        sums = [[int(np.bitwise_count(p[i : i + size]).sum(dtype=np.int64)) for i in starts] for p in planes]
+        before = np.cumsum(np.array(sums, np.int64).reshape(levels, -1), axis=1) - np.array(sums, np.int64).reshape(levels, -1)
+        return cls(len(ids), zeros, before, lambda k, b: planes[k][b * size : (b + 1) * size].tobytes(), block_bits)
+
+    def frame(self, k: int, b: int) -> bytes:
+        """The bits of block ``b`` of plane ``k``, as bytes."""
+        return self._frame(k, b)
+
+    def _block(self, k: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Block ``b`` of plane ``k`` as 64-bit words, and the ones of the plane before each word and after the last."""
+        got = self._loaded.get((k, b))
+        if got is None:
+            words = np.frombuffer(self.frame(k, b), "<u8")
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]) + self.before[k, b]
+            got = self._loaded[k, b] = (np.append(words, np.uint64(0)), ones)
+        return got
 
     def decode(self) -> np.ndarray:
         """All ids: the partitions undone from the last plane to the first."""
         v = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for k in reversed(range(self.levels)):
-            ones = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            packed = np.frombuffer(b"".join(self.frame(k, b) for b in range(self.before.shape[1])), np.uint8)
+            ones = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             z, out = int(self.zeros[k]), np.empty_like(v)
             out[~ones] = v[:z]
             out[ones] = v[z:] | v.dtype.type(1 << (self.levels - 1 - k))
             v = out
         return v
 
-    def _rank(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Ones of plane ``k`` before each place."""
-        if self._ranks is None:
-            self._ranks = [np.concatenate([[0], np.cumsum(np.bitwise_count(p).astype(np.int64))]) for p in self.planes]
-        word, bit = at >> 6, (at & 63).astype(np.uint64)
-        padded = np.append(self.planes[k], np.uint64(0))
-        return self._ranks[k][word] + np.bitwise_count(padded[word] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
+    def _by_block(self, blocks: np.ndarray):
+        """(block, indexes) of equal values."""
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks[order])) + 1
+        for part in np.split(order, cuts) if len(order) else ():
+            yield int(blocks[part[0]]), part
+
+    def _rank(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ones of plane ``k`` before each place, and the bit there (0 behind the end)."""
+        ones, bits = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for b, part in self._by_block(np.minimum(at // self.block_bits, self.before.shape[1] - 1)):
+            words, before = self._block(k, b)
+            inside = at[part] - b * self.block_bits
+            word, bit = inside >> 6, (inside & 63).astype(np.uint64)
+            ones[part] = before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            bits[part] = (words[word] >> bit) & np.uint64(1)
+        return ones, bits
+
+    def _select(self, k: int, one: int, nth: np.ndarray) -> np.ndarray:
+        """The places in plane ``k`` of the ``nth`` (from 0) bits of value ``one``."""
+        out = np.zeros(len(nth), np.int64)
+        starts = self.before[k] if one else np.arange(self.before.shape[1]) * self.block_bits - self.before[k]
+        for b, part in self._by_block(np.searchsorted(starts, nth, side="right") - 1):
+            words, before = self._block(k, b)
+            upto = before if one else b * self.block_bits + 64 * np.arange(len(before)) - before
+            word = np.searchsorted(upto, nth[part], side="right") - 1
+            bits = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == one
+            hit = (np.cumsum(bits, axis=1) == (nth[part] - upto[word] + 1)[:, None]) & bits
+            out[part] = b * self.block_bits + 64 * word + hit.argmax(axis=1)
+        return out
 
     def access(self, at) -> np.ndarray:
         """The ids at the places ``at``."""
@@ -87,74 +136,74 @@ class WaveletMatrix:
             raise IndexError("no such place")
         out = np.zeros(len(at), np.int64)
         for k in range(self.levels):
-            bit = (self.planes[k][at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            ones = self._rank(k, at)
-            out = (out << 1) | bit.astype(np.int64)
+            ones, bit = self._rank(k, at)
+            out = (out << 1) | bit
             at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
         return out
 
-    def _range(self, symbol: int, end: int) -> tuple[int, int]:
-        """Where the occurrences of ``symbol`` before ``end`` are after the last plane."""
-        span = np.array([0, end], np.int64)
+    def _down(self, symbol: int, ends: np.ndarray) -> np.ndarray:
+        """Where the occurrences of ``symbol`` before each of ``ends`` stop, behind the last plane."""
         for k in range(self.levels):
-            ones = self._rank(k, span)
-            span = self.zeros[k] + ones if symbol >> (self.levels - 1 - k) & 1 else span - ones
-        return int(span[0]), int(span[1])
+            ones = self._rank(k, ends)[0]
+            ends = self.zeros[k] + ones if symbol >> (self.levels - 1 - k) & 1 else ends - ones
+        return ends
+
+    def counts(self, symbol: int, ends) -> np.ndarray:
+        """Occurrences of ``symbol`` before each of the places ``ends``."""
+        ends = np.atleast_1d(np.asarray(ends, np.int64))
+        if symbol < 0 or symbol >> self.levels:
+            return np.zeros(len(ends), np.int64)
+        found = self._down(symbol, np.concatenate([[0], ends]))
+        return found[1:] - found[0]
 
     def count(self, symbol: int, end: int | None = None) -> int:
         """Occurrences of ``symbol`` before place ``end`` (default: all)."""
-        if symbol < 0 or symbol >> self.levels:
-            return 0
-        low, high = self._range(symbol, self.n if end is None else end)
-        return high - low
+        return int(self.counts(symbol, self.n if end is None else end)[0])
 
-    def positions(self, symbol: int) -> np.ndarray:
-        """The places of all occurrences of ``symbol``, ascending: select, plane by plane upwards."""
+    def positions(self, symbol: int, first: int = 0, most: int | None = None) -> np.ndarray:
+        """The places of the occurrences of ``symbol``, ascending, from number ``first`` on: select, plane by plane upwards."""
         if symbol < 0 or symbol >> self.levels:
             return np.zeros(0, np.int64)
-        low, high = self._range(symbol, self.n)
-        at = np.arange(low, high)
+        low, high = self._down(symbol, np.array([0, self.n], np.int64)).tolist()
+        low = min(low + first, high)
+        at = np.arange(low, high if most is None else min(high, low + most))
         for k in reversed(range(self.levels)):
             one = symbol >> (self.levels - 1 - k) & 1
-            bits = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little")
-            at = np.flatnonzero(bits == one)[at - self.zeros[k] * one]
-        return np.sort(at)
-
-
-def _words(packed: np.ndarray) -> np.ndarray:
-    return np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<u8")
+            at = self._select(k, one, at - self.zeros[k] * one)
+        return at
 
 
 def to_file(matrix: WaveletMatrix, doc_ids: list[int | None], counts: np.ndarray) -> bytes:
     """The shard file of a matrix whose documents have ``counts`` tokens each."""
     known = np.array([0 if i is None else i for i in doc_ids], "<i8")
     null = np.array([i is None for i in doc_ids], np.uint8)
-    head = np.array([matrix.n, matrix.levels, len(doc_ids)], "<i8")
-    parts = [MAGIC, head.tobytes(), known.tobytes(), null.tobytes(), np.asarray(counts, "<i8").tobytes(), matrix.zeros.astype("<i8").tobytes()]
-    for plane in matrix.planes:
-        frame = zstandard.ZstdCompressor(level=1).compress(plane.tobytes())
-        parts += [len(frame).to_bytes(8, "little"), frame]
-    return b"".join(parts)
+    head = np.array([matrix.n, matrix.levels, len(doc_ids), matrix.block_bits], "<i8")
+    press = zstandard.ZstdCompressor(level=1).compress
+    frames = [press(matrix.frame(k, b)) for k in range(matrix.levels) for b in range(matrix.before.shape[1])]
+    ends = np.cumsum([len(x) for x in frames]).astype("<i8")
+    tables = [known, null, np.asarray(counts, "<i8"), matrix.zeros.astype("<i8"), matrix.before.astype("<i8"), ends]
+    return b"".join([MAGIC, head.tobytes(), *[t.tobytes() for t in tables], *frames])
 
 
 def from_file(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The matrix, document ids and token counts of a shard file."""
+    """The matrix, document ids and token counts of a shard file; blocks stay compressed until they are asked for."""
     if data[:8] != MAGIC:
         raise ValueError("not a shard file")
-    n, levels, docs = np.frombuffer(data, "<i8", 3, 8).tolist()
-    at = 32
-    ids = np.frombuffer(data, "<i8", docs, at).tolist()
-    null = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
-    counts = np.frombuffer(data, "<i8", docs, at + 9 * docs).astype(np.int64)
-    at += 17 * docs
-    zeros = np.frombuffer(data, "<i8", levels, at).astype(np.int64)
-    at += 8 * levels
-    planes = []
-    for _ in range(levels):
-        size = int.from_bytes(data[at : at + 8], "little")
-        planes.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + 8 : at + 8 + size]), "<u8"))
-        at += 8 + size
-    return WaveletMatrix(n, planes, zeros), [None if z else i for i, z in zip(ids, null)], counts
+    n, levels, docs, block_bits = np.frombuffer(data, "<i8", 4, 8).tolist()
+    blocks, at = max(1, -(-n // block_bits)), 40
+    taken = []
+    for kind, size in (("<i8", docs), (np.uint8, docs), ("<i8", docs), ("<i8", levels), ("<i8", levels * blocks), ("<i8", levels * blocks)):
+        taken.append(np.frombuffer(data, kind, size, at))
+        at += taken[-1].nbytes
+    ids, null, counts, zeros, before, ends = taken
+    open_frame = zstandard.ZstdDecompressor().decompress
+
+    def frame(k: int, b: int) -> bytes:
+        i = k * blocks + b
+        return open_frame(data[at + (int(ends[i - 1]) if i else 0) : at + int(ends[i])])
+
+    matrix = WaveletMatrix(n, zeros.astype(np.int64), before.astype(np.int64).reshape(levels, blocks), frame, block_bits)
+    return matrix, [None if z else i for i, z in zip(ids.tolist(), null)], counts.astype(np.int64)
 
 
 class _Encoder:
@@ -270,10 +319,11 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
     """One row a shard: ``shard``, ``n_docs``, ``n_tokens``, ``file``; shards and the documents in them ascend by ``id_col``.
 
     Null and empty texts have the end id alone. Null ids come first; rows of one id are in order of their text,
-    in one shard. Empty tables give no shards. Other columns are not read.
+    in one shard. A very long text is one document of one shard, held in memory there. Empty tables give no shards.
+    Other columns are not read, so their names can't clash.
     """
     small_batches(docs.sparkSession)
-    n_shards = n_shards or 2 * partitions(docs.sparkSession)
+    n_shards = n_shards or blocks_of(docs, text_col, 2)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.withColumn("shard", range_block(rows, "id", n_shards))
 
@@ -299,24 +349,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
-def documents_of(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row a document, from the files: ``id_col``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "id", "at", "n_tokens", "ids_crc32")])
+def documents_of(files: DataFrame, id_col: str = "doc_id", end_id: int | None = None) -> DataFrame:
+    """One row a document, from the files: ``id_col``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
+
+    With ``end_id``, also what the matrix itself tells: ``first_id``, by access at the start, ``n_end_ids``, by rank at
+    both ends, and ``end_at``, the place in the document of its last ``end_id``, by select.
+    """
+    extra = [] if end_id is None else ["first_id", "n_end_ids", "end_at"]
+    names = ["shard", "id", "at", "n_tokens", "ids_crc32", *extra]
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
 
     def run(batches):
         for b in batches:
             for shard, data in zip(b.column(0).to_pylist(), b.column(1)):
                 matrix, doc_ids, counts = from_file(data.as_py())
+                ends = np.cumsum(counts)
+                begins = ends - counts
+                more = []
+                if extra:
+                    upto = matrix.counts(end_id, np.concatenate([begins, ends[-1:]]))
+                    last = matrix.positions(end_id)[upto[1:] - 1]
+                    more = [matrix.access(begins), np.diff(upto), last - begins]
                 raw = memoryview(matrix.decode().astype("<u4")).cast("B")
-                ends = np.cumsum(counts).tolist()
-                begins = [0, *ends[:-1]]
-                sums = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sums), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(begins, pa.int64()), pa.array(counts), pa.array(sums, pa.int64())], ["shard", "id", "at", "n_tokens", "ids_crc32"])
+                sums = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begins.tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(sums), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(begins), pa.array(counts), pa.array(sums, pa.int64()), *map(pa.array, more)], names)
 
     told = files.select("shard", "file").mapInArrow(run, schema)
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("shard", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("first"))
-    return told.join(starts, "shard").select(F.col("id").alias(id_col), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return told.join(starts, "shard").select(F.col("id").alias(id_col), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *extra)
 
 
 def occurrences(files: DataFrame, symbol: int) -> DataFrame:

@@ -14,19 +14,36 @@ PATH = P.path("word_bpe_49k.json")
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 1000), max_size=400), st.integers(10, 17))
-def test_matrix(ids, levels):
+@given(st.lists(st.integers(0, 1000), max_size=400), st.integers(10, 17), st.sampled_from([64, 128, wm.BLOCK_BITS]))
+def test_matrix(ids, levels, block_bits):
     a = np.array(ids, np.int64)
-    matrix = wm.WaveletMatrix.build(a, levels)
+    matrix = wm.WaveletMatrix.build(a, levels, block_bits)
     counts = np.array([len(ids)], np.int64)
     matrix, doc_ids, got = wm.from_file(wm.to_file(matrix, [None], counts))
     assert matrix.decode().tolist() == ids and doc_ids == [None] and got.tolist() == [len(ids)]
     assert matrix.access(np.arange(len(ids))).tolist() == ids
     for s in [*ids[:5], 3, 1 << 18]:
         assert matrix.positions(s).tolist() == np.flatnonzero(a == s).tolist()
+        assert matrix.positions(s, 1, 2).tolist() == np.flatnonzero(a == s)[1:3].tolist()
         assert matrix.count(s) == ids.count(s) and matrix.count(s, len(ids) // 2) == ids[: len(ids) // 2].count(s)
 
 
+def test_lookups_open_few_blocks():
+    """An access, a count and an occurrence of a shard of 3 million ids decompress at most two blocks a plane."""
+    ids = np.random.default_rng(1).integers(0, 40_000, 3_000_000)
+    matrix = wm.from_file(wm.to_file(wm.WaveletMatrix.build(ids, 16), [1], np.array([len(ids)])))[0]
+    opened, frame = [], matrix._frame
+    matrix._frame = lambda k, b: opened.append((k, b)) or frame(k, b)
+    assert matrix.before.shape == (16, 6)
+    assert matrix.access(1_234_567).tolist() == [ids[1_234_567]] and len(opened) <= 16
+    del opened[:]
+    matrix._loaded.clear()
+    assert matrix.count(77, 2_000_001) == int((ids[:2_000_001] == 77).sum()) and len(opened) <= 32
+    del opened[:]
+    matrix._loaded.clear()
+    assert matrix.positions(77, 3, 1).tolist() == [int(np.flatnonzero(ids == 77)[3])] and len(opened) <= 48
+
+
 def test_files_equal_library(spark, docs, odd_docs, tmp_path):
     wm.write(wm.shards(docs, PATH, 2, n_shards=3), str(tmp_path / "w"))
     files = wm.read(spark, str(tmp_path / "w"))
@@ -40,6 +57,9 @@ def test_files_equal_library(spark, docs, odd_docs, tmp_path):
         start += len(ids)
         every += ids
     assert [tuple(r) for r in got] == want
+    told = sorted(wm.documents_of(files, end_id=2).collect(), key=lambda r: r.start)
+    assert [(r.first_id, r.n_end_ids) for r in told] == [(every[r.start], every[r.start : r.start + r.n_tokens].count(2)) for r in told]
+    assert all(r.end_at == r.n_tokens - 1 for r in told)
     assert sum(r.n for r in wm.occurrences(files, 2).collect()) == every.count(2)
 
 
