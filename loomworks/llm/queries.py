@@ -20,9 +20,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's host, path, rule and verdict; words are learned from all documents, tokens from all pages."""
+    """Every page's host, path, rule and verdict; words are learned from all documents, the verdict from labelled URLs."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    model = url_filter.learn(pages, url_filter.unigrams(documents(spark, sf_dir)))
+    model = url_filter.learn(url_filter.examples(spark), url_filter.unigrams(documents(spark, sf_dir)))
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "segments")
 
 

@@ -1,44 +1,64 @@
 """URL filters: explicit host and path rules, then a learned verdict on segmented hosts and paths.
 
-Hosts are often names run together (``freecasinobets``). Each label of a host is split into the words of the
-highest probability under a unigram model (Viterbi); path tokens are split at their marks. A multinomial naive
-Bayes model then scores the tokens of a URL. It learns from the URLs themselves: those whose segmented host has
-a word of the seed list (themes that web filters usually block) teach "block", the others "allow".
-
-Both models have a stated size: the unigram model the ``VOCABULARY`` most frequent words, the Bayes model the
-``TOKENS`` most frequent tokens. They are counted over all rows by partial sums in tasks and Spark's aggregation,
-and only then cut, so what is broadcast does not grow with the data. Scoring is one pass without a shuffle.
+Hosts are often names run together (``freecasinobets``). Each name of a URL, a run of letters, is split into the words
+of the highest probability under a unigram model (Viterbi). A multinomial naive Bayes model then scores the words of
+the host and the path.
+
+The unigram model is the count of every word of all texts: a table, never cut or collected. Only distinct names are
+segmented: their parts meet the words in a join, a name's parts that are words come back to it, and one Viterbi pass
+over them, in a task, gives its words and scores. URLs then join their names, and rows their URLs. Names, words and
+URLs that hold a large share of the rows are at most ``HEAVY`` in number, so those are broadcast and the rest joined
+by shuffle.
+
+The Bayes model learns from labelled URLs, at most ``TRAIN_ROWS``, each once; which words they have comes from the same
+segmentation. The tables have no labels of URLs, so ``EXAMPLES`` stand in where none are given; no word of them is
+matched as such, and tests hold out hosts of them.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import without
-
-VOCABULARY, TOKENS, MOST = 50_000, 100_000, 24
-#: Words of hosts that teach "block", by theme (gambling, adult, pharmacy, spam and fraud, malware, advertising).
-BLOCK_WORDS = (
-    "bet", "bets", "betting", "bingo", "casino", "gamble", "gambling", "jackpot", "lotto", "poker", "roulette", "slots",
-    "adult", "escort", "erotic", "nude", "porn", "sex", "xxx",
-    "cialis", "pharma", "pill", "pills", "viagra",
-    "bait", "clickbait", "replica", "scam", "spam", "spammer", "warez",
-    "crack", "keygen", "malware", "phishing", "torrent", "virus",
-    "adserver", "ads", "adtrack", "banner", "popunder", "track", "tracker", "tracking",
+from .common import SharedTables, small_batches, without
+
+LONGEST, TRAIN_ROWS, HEAVY, SALTS = 24, 20_000, 1000, 32
+#: Labelled hosts with a path, invented for this purpose: what web filters usually block (gambling, adult content,
+#: pharmacy spam, link farms, malware, advertising), and plain sites.
+BLOCKED = (
+    "freecasinobets.com/play", "www.casinowin.net/en/", "bestcasinoslots.org/bonus", "online-poker-casino.com/", "bet-win.net/live", "www.livebets.com/en/", "freebets-bonus.org/", "slotsjackpot.com/win",
+    "bingojackpot.net/", "pokerslots.org/play", "bets-online.com/track", "casinobonus.net/en/free", "adult-x.net/", "www.xxxadult.com/live", "adultvideos.org/free", "hotadultchat.com/",
+    "xxxvideos.net/en/", "adultlive.com/x", "livesexchat.net/", "freesexvideos.com/", "cheap-pills.com/buy", "buypillsonline.net/", "www.pillsshop.org/cheap", "cheapviagra.com/pills",
+    "onlinepharmacypills.net/", "viagra-pills.org/buy", "cheapmeds.com/en/", "dietpills.net/win", "spam-farm.org/", "linkfarm.net/links", "seo-spam.com/links", "www.linkspam.org/farm",
+    "buylinks-farm.com/", "spamlinks.net/en/", "clickfarm.org/ads", "spamtraffic.com/", "freecracks.net/keygen", "warez-download.org/crack", "keygencrack.com/", "malware-download.net/free",
+    "crackedgames.org/warez", "virusdownload.com/", "ads-track.com/click", "adtracker.net/track", "clickads.org/banner", "www.bannerads.com/", "trackclick.net/ads", "adserver-click.com/track",
+    "popads.org/banner", "trackads.net/en/",
+)
+PLAIN = (
+    "riverstone.com/en/", "www.citylibrary.org/books", "blog.gardenhome.net/en/", "mountainhotel.com/rooms", "schoolnews.org/en/", "m.dailynews.com/world", "openmaps.org/en/", "www.cookbook.net/recipes",
+    "travelguide.com/de/", "bookshop.org/en/", "oldtown.net/history", "www.musicschool.com/", "weather-report.org/today", "blog.lightwork.com/en/", "greenfarmhouse.net/", "sciencelab.org/papers",
+    "www.healthcare.org/en/", "familydoctor.com/", "trainstation.net/times", "localpaper.com/news", "blog.seaside.org/fr/", "universitypress.net/", "www.artmuseum.org/en/", "footballclub.com/results",
+    "homegarden.net/tools", "codeforum.org/en/", "www.pythonhelp.com/docs", "startrail.net/", "bikeshop.com/repair", "m.filmfestival.org/", "worldhistory.net/en/", "childrensbooks.com/",
+    "www.freesoftware.org/download", "opensource-games.net/", "chessgames.org/play", "blog.wintersport.com/en/", "livestock.net/farm", "farmersmarket.org/", "onlinecourses.com/en/", "www.bestpractice.net/",
+    "cheapflights.com/en/", "clickandlearn.org/", "tracksidephotos.net/", "runningtrack.com/club", "shoplocal.org/", "www.linkinghands.net/", "adventure.com/es/", "readings.org/en/",
+    "m.betterhomes.com/", "pillarchurch.org/fr/",
+)
+EXAMPLES = tuple((f"http://{u}", 1) for u in BLOCKED) + tuple((f"http://{u}", 0) for u in PLAIN)
+#: Words that are common in host names and rare in prose; the model counts each as one of 10,000 words at least.
+HOST_WORDS = (
+    "ads", "adult", "app", "best", "bets", "blog", "buy", "casino", "cheap", "click", "club", "com", "crack", "deal", "download", "farm", "free", "game", "games", "home", "info", "link", "links", "live", "mail", "net", "news",
+    "now", "online", "org", "page", "pills", "play", "poker", "sex", "shop", "site", "slots", "spam", "store", "top", "track", "video", "videos", "viagra", "web", "win", "world", "www", "xxx",
 )
-#: Words that are common in host names and rare in prose.
-HOST_WORDS = ("best", "blog", "buy", "cheap", "club", "deal", "deals", "farm", "free", "game", "games", "home", "info", "link", "links", "live", "mail", "net", "news", "now", "online", "page", "play", "shop", "site", "store", "top", "web", "win", "wins", "world")
 #: The rules of the contract, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PART = re.compile(r"[a-z]+|[0-9]+|[^\W\d_]+")
+_PARTS = r"[\p{L}\p{M}]+|\p{N}+"
+_NAMES = T.StructType([T.StructField("name", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("host_score", T.DoubleType()), T.StructField("path_score", T.DoubleType())])
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -63,139 +83,189 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (none, none) if name is None else (name, verdict)
 
 
-class Segmenter:
-    """Splits a name into the words of the highest unigram probability.
+def viterbi(name: str, found: dict[tuple[int, int], int], total: int) -> list[str]:
+    """The words of the highest unigram probability that make up ``name``.
 
-    A word outside the vocabulary has probability 10 / (total * 10**length), so long unknown words cost more than
-    any split into known ones; among equal splits the one with the longest last word is taken.
+    ``found`` has the counts of its parts (begin, end) that are words, of ``total``. Any other part, however long, has
+    probability 10 / (total * 10**length), so long unknown words cost more than any split into known ones. Among equal
+    splits the one with the longest last word is taken. Work grows with the name and with what was found.
     """
+    ten, base, whole = math.log(10), math.log(10 / max(total, 10)), math.log(max(total, 1))
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for (i, j), n in found.items():
+        ends.setdefault(j, []).append((i, math.log(n) - whole))
+    best, back = [0.0], [0]
+    top, at = 0.0, 0  # of the unknown word that ends here: best[i] + i * log 10
+    for j in range(1, len(name) + 1):
+        value, begin = top + base - j * ten, at
+        for i, p in ends.get(j, ()):
+            if best[i] + p > value + 1e-9 or (best[i] + p > value - 1e-9 and i < begin):
+                value, begin = best[i] + p, i
+        best.append(value)
+        back.append(begin)
+        if value + j * ten > top + 1e-9:
+            top, at = value + j * ten, j
+    out, j = [], len(name)
+    while j:
+        out.append(name[back[j] : j])
+        j = back[j]
+    return out[::-1]
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.known = {w: math.log(n / total) for w, n in counts.items()}
-        self.base = math.log(10 / max(total, 10))
-        self.done: dict[str, list[str]] = {}
-
-    def __call__(self, name: str) -> list[str]:
-        got = self.done.get(name)
-        if got is None:
-            if len(self.done) > 100_000:
-                self.done.clear()
-            got = self.done[name] = self._split(name)
-        return got
-
-    def _split(self, name: str) -> list[str]:
-        best, back = [0.0], [0]
-        for j in range(1, len(name) + 1):
-            top, at = -math.inf, 0
-            for i in range(max(0, j - MOST), j):
-                p = best[i] + self.known.get(name[i:j], self.base - (j - i) * math.log(10))
-                if p > top:
-                    top, at = p, i
-            best.append(top)
-            back.append(at)
-        out, j = [], len(name)
-        while j:
-            out.append(name[back[j] : j])
-            j = back[j]
-        return out[::-1]
-
-
-def _tokens(host: str, path: str, segment: Segmenter) -> tuple[list[str], list[str]]:
-    """Host tokens (segmented) and path tokens; numbers are one token."""
-    of_host = [w for part in _PART.findall(host) for w in (segment(part) if not part.isdigit() else ["0"])]
-    of_path = ["/" + ("0" if part.isdigit() else w) for part in _PART.findall(path.lower()) for w in (segment(part) if not part.isdigit() else ["0"])]
-    return of_host, of_path
+
+@dataclass
+class Unigrams:
+    """Every word and its count, as a table (word, n) with one row a word, and the sum of the counts."""
+
+    words: DataFrame
+    total: int
 
 
 @dataclass
 class Model:
-    """The unigram counts and the naive Bayes weights: log P(token | block) - log P(token | allow)."""
+    """The unigram table and the naive Bayes weights: log P(token | block) - log P(token | allow); path tokens begin with /."""
 
-    counts: dict[str, int]
+    unigrams: Unigrams
     weights: dict[str, float]
     prior: float
 
 
-def unigrams(texts: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the ``size`` most frequent words of 2 to 24 letters a-z in all texts, with the host and seed words."""
+def unigrams(texts: DataFrame, text_col: str = "text", longest: int = LONGEST, host_words=HOST_WORDS) -> Unigrams:
+    """Counts of all words of 2 to ``longest`` letters, of any script, in all texts, and the host words.
+
+    Words are runs without ASCII white space, lower-cased, less the punctuation around them. Null, empty and blank
+    texts have none, repeated rows count each, and a very long text is read whole. Tasks count each batch first.
+    """
+    small_batches(texts.sparkSession)
 
     def run(batches):
         for b in batches:
             n: dict[bytes, int] = {}
             for text in b.column(0).cast(pa.large_binary()).to_pylist():
-                for w in (text or b"").lower().split():
+                for w in (text or b"").split():
                     n[w] = n.get(w, 0) + 1
             by: dict[str, int] = {}
             for w, k in n.items():
-                w = w.strip(b".,;:!?\"'()")
-                if 2 <= len(w) <= MOST and w.isalpha() and w.isascii():
-                    by[w.decode()] = by.get(w.decode(), 0) + k
+                word = w.strip(b".,;:!?\"'()").decode().lower()
+                if 2 <= len(word) <= longest and word.isalpha():
+                    by[word] = by.get(word, 0) + k
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array(list(by.values()), pa.int64())], ["word", "n"])
 
-    counted = texts.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    out = {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()}
-    usual = max(1, sum(out.values()) // 10_000)
-    for w in (*BLOCK_WORDS, *HOST_WORDS):
-        out[w] = max(out.get(w, 0), usual)
-    return out
+    tables = SharedTables(texts.sparkSession, "unigrams")
+    counted = tables.put(texts.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    usual = max(1, total // 10_000)
+    own = texts.sparkSession.createDataFrame([(w, usual) for w in host_words], "word string, n bigint")
+    words = tables.put(counted.union(own).groupBy("word").agg(F.max("n").alias("n")))
+    return Unigrams(words, total + usual * len(host_words))
 
 
-def learn(urls: DataFrame, counts: dict[str, int], url_col: str = "url", size: int = TOKENS) -> Model:
-    """The naive Bayes model of all ``urls``; those with a seed word in the segmented host teach "block"."""
-    host, path = host_path(F.col(url_col))
-    seeds = frozenset(BLOCK_WORDS)
+def _joined(left: DataFrame, right: DataFrame, key: str, heavy: int = HEAVY) -> DataFrame:
+    """``left`` inner join ``right``, which has one row a ``key`` and ``uses``, the rows of ``left`` it meets.
+
+    Keys of more than one in ``heavy`` of these rows are ``heavy`` at most, and are broadcast. No other key is a large
+    share, so the rest is joined by shuffle.
+    """
+    most = (right.agg(F.sum("uses").alias("n")).first()["n"] or 0) // heavy
+    hot, rest = right.filter(F.col("uses") > most).drop("uses"), right.filter(F.col("uses") <= most).drop("uses")
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+def segment(names: DataFrame, known: Unigrams, weights: dict[str, float] | None = None, longest: int = LONGEST) -> DataFrame:
+    """(name, words, host_score, path_score) of distinct ``names``: their Viterbi words and the sums of their weights.
+
+    A name's parts of up to ``longest`` letters join the table of words. Short parts are in a great many names; words of
+    up to 3 letters are copied to ``SALTS`` salts for them.
+    """
+    weights = weights or {}
+    salt = lambda word, of: F.when(F.length(word) <= 3, of).otherwise(0)
+    begun = names.select("name", F.explode(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1)))).alias("i"))
+    ends = begun.select("name", "i", F.explode(F.expr(f"sequence(2, greatest(2, least({int(longest)}, length(name) - i + 1)))")).alias("l"))
+    parts = ends.filter("i + l - 1 <= length(name)").select("name", "i", "l", F.substring("name", F.col("i"), F.col("l")).alias("word"))
+    parts = parts.withColumn("salt", salt("word", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")))
+    words = known.words.withColumn("salt", F.explode(F.sequence(F.lit(0), salt("word", F.lit(SALTS - 1)))))
+    found = parts.join(words, ["word", "salt"]).groupBy("name").agg(F.collect_list(F.struct("i", "l", "n")).alias("found"))
+    total = known.total
 
     def run(batches):
-        segment = Segmenter(counts)
         for b in batches:
-            n: dict[tuple[str, int], int] = {}
-            for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                of_host, of_path = _tokens(h, p, segment)
-                block = int(not seeds.isdisjoint(of_host))
-                n["", block] = n.get(("", block), 0) + 1
-                for t in (*of_host, *of_path):
-                    n[t, block] = n.get((t, block), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["token", "block", "n"])
-
-    rows = urls.select(host.alias("h"), path.alias("p")).mapInArrow(run, "token string, block bigint, n bigint")
-    seen = F.sum(F.when(F.col("block") == 1, F.col("n")).otherwise(0))
-    other = F.sum(F.when(F.col("block") == 0, F.col("n")).otherwise(0))
-    kept = rows.groupBy("token").agg(seen.alias("b"), other.alias("a")).orderBy(F.col("token") != "", F.desc(F.col("a") + F.col("b")), "token").limit(size + 1).collect()
-    urls_of = next(((r["b"], r["a"]) for r in kept if r["token"] == ""), (0, 0))
-    words = [r for r in kept if r["token"]]
-    total_b, total_a = (sum(r[c] for r in words) + len(words) for c in ("b", "a"))
-    weights = {r["token"]: math.log((r["b"] + 1) / total_b) - math.log((r["a"] + 1) / total_a) for r in words}
-    return Model(counts, weights, math.log((urls_of[0] + 1) / (urls_of[1] + 1)))
+            rows = []
+            for name, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                split = viterbi(name, {(f["i"] - 1, f["i"] - 1 + f["l"]): f["n"] for f in own or ()}, total)
+                rows.append((name, split, math.fsum(weights.get(w, 0.0) for w in split), math.fsum(weights.get("/" + w, 0.0) for w in split)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.list_(pa.string()), pa.float64(), pa.float64()))], _NAMES.names)
+
+    return names.join(found, "name", "left").select("name", "found").mapInArrow(run, _NAMES)
+
+
+def _pieces(urls: DataFrame) -> DataFrame:
+    """(url, at, name): the names of the host (at from 0) and of the path (at from -1 down) of rows (url, host, path); runs of digits are "0"."""
+    of = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit(_PARTS), F.lit(0)), lambda x: F.when(x.rlike(r"^\p{N}"), "0").otherwise(x))
+    host = urls.select("url", F.posexplode(of("host")).alias("at", "name"))
+    return host.union(urls.select("url", F.posexplode(of("path")).alias("at", "name")).select("url", -1 - F.col("at"), "name"))
+
+
+def _distinct(urls: DataFrame, url_col: str) -> DataFrame:
+    """(url, host, path, uses) of the distinct URLs; null is the empty one."""
+    made = urls.groupBy(F.coalesce(F.col(url_col), F.lit("")).alias("url")).agg(F.count("*").alias("uses"))
+    host, path = host_path(F.col("url"))
+    return made.select("url", host.alias("host"), path.alias("path"), "uses")
+
+
+def learn(labelled: DataFrame, known: Unigrams, url_col: str = "url", label_col: str = "block", rows: int = TRAIN_ROWS) -> Model:
+    """The naive Bayes model of at most ``rows`` labelled URLs (1: block, 0: allow), those of the smallest hash.
+
+    A URL counts once, its tokens as often as it has them; URLs of both labels and null ones are left out. With no
+    labelled URL, nothing is blocked. Equal rows in any order give the same model.
+    """
+    spark = labelled.sparkSession
+    told = labelled.filter(F.col(url_col).isNotNull()).groupBy(F.col(url_col).alias("url")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi")).filter("lo = hi AND lo IN (0, 1)")
+    drawn = told.orderBy(F.xxhash64("url"), "url").limit(rows).select("url", F.col("lo").cast("int").alias("block"))
+    drawn = SharedTables(spark, "labelled").put(drawn)
+    host, path = host_path(F.col("url"))
+    pieces = _pieces(drawn.select("url", host.alias("host"), path.alias("path")))
+    split = segment(pieces.select("name").distinct(), known)
+    tokens = pieces.join(drawn, "url").join(split, "name").select("block", F.explode("words").alias("w"), "at").select("block", F.when(F.col("at") < 0, F.concat(F.lit("/"), "w")).otherwise(F.col("w")).alias("token"))
+    counts = {(r["token"], r["block"]): r["n"] for r in tokens.groupBy("token", "block").agg(F.count("*").alias("n")).collect()}
+    urls = {r["block"]: r["n"] for r in drawn.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    # Host and path tokens are two multinomials.
+    weights = {}
+    for in_path in (False, True):
+        words = sorted({t for t, _ in counts if t.startswith("/") == in_path})
+        total = [sum(counts.get((t, c), 0) for t in words) + len(words) for c in (0, 1)]
+        weights |= {t: math.log((counts.get((t, 1), 0) + 1) / total[1]) - math.log((counts.get((t, 0), 0) + 1) / total[0]) for t in words}
+    return Model(known, weights, math.log((urls.get(1, 0) + 1) / (urls.get(0, 0) + 2)))
+
+
+def examples(spark: SparkSession, rows=EXAMPLES) -> DataFrame:
+    """(url, block): the labelled URLs that stand in for a table of them."""
+    return spark.createDataFrame(list(rows), "url string, block int")
 
 
 def judge(urls: DataFrame, model: Model, rules=RULES, url_col: str = "url") -> DataFrame:
     """``urls`` with ``host``, ``path``, ``rule``, ``verdict``, ``segments`` and ``block_score`` (log odds of block).
 
     The verdict is the longest fitting rule's; without one it is block if the log odds are above 0, else allow.
-    Tokens outside the model count nothing. Null URLs, and those without ``://``, have empty host and path, no rule,
-    and the prior's verdict. Repeated rows agree. An empty table gives an empty result. Columns named so are
-    replaced; others pass through.
+    Tokens that no labelled URL has count nothing. Null URLs, and those without ``://``, have empty host and path, no
+    rule, and the prior's verdict. Repeated rows agree. A very long URL's names are segmented whole. An empty table
+    gives an empty result. Columns named so are replaced; others pass through.
     """
     made = ["host", "path", "rule", "verdict", "segments", "block_score"]
-    urls = without(urls, made)
-    host, path = host_path(F.col(url_col))
-    parsed = urls.withColumn("host", host).withColumn("path", path)
-    names, at = parsed.columns, len(parsed.columns) - 2
-    weights, prior, counts = model.weights, model.prior, model.counts
-
-    def run(batches):
-        segment = Segmenter(counts)
-        for b in batches:
-            scores, segments = [], []
-            for h, p in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist()):
-                of_host, of_path = _tokens(h, p, segment)
-                scores.append(prior + sum(weights.get(t, 0.0) for t in (*of_host, *of_path)))
-                segments.append(" ".join(of_host))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(segments, pa.string()), pa.array(scores, pa.float64())], [*names, "segments", "block_score"])
-
-    schema = T.StructType([*parsed.schema.fields, T.StructField("segments", T.StringType()), T.StructField("block_score", T.DoubleType())])
-    scored = parsed.mapInArrow(run, schema)
+    key = "__uf_url"
+    rows = without(urls, [*made, key])
+    tables = SharedTables(urls.sparkSession, "urls")
+    each = tables.put(_distinct(rows, url_col))
+    pieces = tables.put(_pieces(each))
+    uses = pieces.groupBy("name").agg(F.count("*").alias("uses"))
+    split = tables.put(segment(uses.select("name"), model.unigrams, model.weights).join(uses, "name"))
+    scored = _joined(pieces, split, "name")
+    score = F.when(F.col("at") < 0, F.col("path_score")).otherwise(F.col("host_score"))
+    of_url = scored.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", score.alias("s"), "words"))).alias("p"))
+    total = F.aggregate("p", F.lit(float(model.prior)), lambda a, x: a + x["s"])
+    segments = F.array_join(F.flatten(F.transform(F.filter("p", lambda x: x["at"] >= 0), lambda x: x["words"])), " ")
+    told = each.join(of_url.select("url", F.round(total, 9).alias("block_score"), segments.alias("segments")), "url", "left")
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    told = scored.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("block_score") > 0, "block").otherwise("allow")))
-    return told.select(*[f"`{c}`" for c in urls.columns], *made)
+    told = told.withColumn("block_score", F.coalesce("block_score", F.lit(float(model.prior)))).withColumn("segments", F.coalesce("segments", F.lit("")))
+    told = told.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("block_score") > 0, "block").otherwise("allow")))
+    told = tables.put(told.select(F.col("url").alias(key), *made, "uses"))
+    out = _joined(rows.withColumn(key, F.coalesce(F.col(url_col), F.lit(""))), told, key)
+    return out.select(*[f"`{c}`" for c in rows.columns], *made)

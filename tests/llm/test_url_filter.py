@@ -1,11 +1,20 @@
+import math
 from itertools import product
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loomworks.llm import url_filter as uf
 
 
-def test_parts_and_rules(spark):
+@pytest.fixture(scope="module")
+def known(spark):
+    texts = [("the river runs free and the cold river, Größe! x",), (None,), ("",), ("stone river the the 日本 a" + "b" * 30,)]
+    return uf.unigrams(spark.createDataFrame(texts, "text string"))
+
+
+def test_parts_and_rules(spark, known):
     cases = [
         (1, "https://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),
         (2, "http://example.net/EN/x", "example.net", "/EN/x", "net/", "block"),
@@ -19,50 +28,91 @@ def test_parts_and_rules(spark):
         (10, "x://ÄB.org/fr/\n", "Äb.org", "/fr/\n", "org/fr/", "allow"),
     ]
     df = spark.createDataFrame([(c[0], c[1]) for c in cases], "page_id long, url string")
-    got = {r.page_id: r for r in uf.judge(df, uf.Model({}, {}, -1.0)).collect()}
+    got = {r.page_id: r for r in uf.judge(df, uf.Model(known, {}, -1.0)).collect()}
     for i, _, host, path, rule, verdict in cases:
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
         assert got[i].verdict == (verdict or "allow")
 
 
-def test_segmentation_equals_brute_force():
-    counts = {"free": 50, "casino": 20, "bets": 9, "be": 90, "ts": 3, "cas": 4, "in": 70, "ob": 2, "o": 5}
-    seg = uf.Segmenter(counts)
-
-    def value(words):
-        return sum(seg.known.get(w, seg.base - len(w) * 2.302585092994046) for w in words)
-
-    for name in ("freecasino", "freebets", "casinobets", "zzfree", "x"):
-        splits = []
-        for cut in product([0, 1], repeat=len(name) - 1):
-            words, word = [], name[0]
-            for c, ch in zip(cut, name[1:]):
-                if c:
-                    words.append(word)
-                    word = ch
-                else:
-                    word += ch
-            splits.append([*words, word])
-        assert abs(value(seg(name)) - max(map(value, splits))) < 1e-9
-    assert seg("freecasinobets") == ["free", "casino", "bets"]
-
-
-def test_learned_verdicts(spark):
-    rows = [(i, f"http://www.{'freecasino' if i % 5 == 0 else 'river' + 'abcde'[i % 5]}.example.com/{'win/' if i % 5 == 0 else 'en/'}{i}") for i in range(200)]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    texts = spark.createDataFrame([("the river runs free and cold river",)] * 5, "text string")
-    model = uf.learn(pages, uf.unigrams(texts))
-    got = {r.page_id: r for r in uf.judge(pages, model, rules=()).collect()}
-    assert all((r.verdict == "block") == (i % 5 == 0) for i, r in got.items())
-    assert got[0].segments == "www free casino example com"
-    again = uf.learn(pages.repartition(5), uf.unigrams(texts.repartition(2)))
-    assert again.weights == model.weights
-
-
-def test_empty_and_clash(spark):
+def value(words, counts, total):
+    return sum(math.log(counts[w] / total) if w in counts else math.log(10 / max(total, 10)) - len(w) * math.log(10) for w in words)
+
+
+def best(name, counts, total):
+    """Every split of ``name``: the value of the best."""
+    splits = []
+    for cut in product([0, 1], repeat=max(0, len(name) - 1)):
+        words, word = [], name[0]
+        for c, ch in zip(cut, name[1:]):
+            words, word = ([*words, word], ch) if c else (words, word + ch)
+        splits.append(value([*words, word], counts, total))
+    return max(splits)
+
+
+def test_segmentation_equals_brute_force(spark):
+    counts = {"free": 50, "casino": 20, "bets": 9, "be": 90, "ts": 3, "cas": 4, "in": 70, "ob": 2, "o": 5, "größe": 7}
+    total = sum(counts.values())
+    known = uf.Unigrams(spark.createDataFrame(list(counts.items()), "word string, n bigint"), total)
+    names = ["freecasino", "freebets", "casinobets", "zzfree", "x", "größebets", "freecasinobets", "q" * 14, "0"]
+    got = {r.name: r.words for r in uf.segment(spark.createDataFrame([(n,) for n in names], "name string"), known).collect()}
+    counts.pop("o")  # parts of one letter are no words
+    for name in names:
+        assert "".join(got[name]) == name and abs(value(got[name], counts, total) - best(name, counts, total)) < 1e-6
+    assert got["freecasinobets"] == ["free", "casino", "bets"] and got["größebets"] == ["größe", "bets"] and got["q" * 14] == ["q" * 14]
+    long = uf.viterbi("ab" * 50_000, {(0, 2): 5}, 100)
+    assert long == ["ab", "ab" * 49_999]
+
+
+def test_unigrams(known):
+    got = {r.word: r.n for r in known.words.collect()}
+    assert {w: got[w] for w in ("the", "river", "größe", "日本", "cold")} == {"the": 4, "river": 3, "größe": 1, "日本": 1, "cold": 1}
+    assert got["casino"] == 1 and "a" + "b" * 30 not in got and "x" not in got
+
+
+def test_bayes_equals_brute_force(spark, known):
+    rows = [("http://freecasino.com/win", 1), ("http://freecasino.com/win", 1), ("http://casino.org/", 1), ("http://river.com/en/free", 0), ("http://stone.org/12", 0), ("http://both.org/", 0), ("http://both.org/", 1), (None, 1)]
+    model = uf.learn(spark.createDataFrame(rows, "url string, block int"), known)
+    hosts = {1: ["free", "casino", "com", "casino", "org"], 0: ["river", "com", "stone", "org"]}
+    paths = {1: ["/win"], 0: ["/en", "/free", "/0"]}
+    want = {}
+    for of in (hosts, paths):
+        v = set(of[0] + of[1])
+        want |= {t: math.log((of[1].count(t) + 1) / (len(of[1]) + len(v))) - math.log((of[0].count(t) + 1) / (len(of[0]) + len(v))) for t in v}
+    assert model.weights.keys() == want.keys() and all(abs(model.weights[t] - w) < 1e-12 for t, w in want.items())
+    assert abs(model.prior - math.log(3 / 4)) < 1e-12
+    asked = spark.createDataFrame([(1, "http://casinoriver.com/win/7?x")], "page_id long, url string")
+    got = uf.judge(asked, model, rules=()).first()
+    assert got.segments == "casino river com" and got.verdict == ("block" if got.block_score > 0 else "allow")
+    assert abs(got.block_score - model.prior - sum(want[t] for t in ("casino", "river", "com", "/win", "/0"))) < 1e-6
+
+
+def test_held_out_hosts(spark, known):
+    """Each half of the labelled hosts, judged by a model of the other: 78 of 100 agree, against 50 by chance."""
+    rows = [(*r, i) for i, r in enumerate(uf.EXAMPLES)]
+    frame = spark.createDataFrame(rows, "url string, block int, i int")
+    right = 0
+    for fold in range(2):
+        model = uf.learn(frame.filter(F.col("i") % 2 != fold), known)
+        right += uf.judge(frame.filter(F.col("i") % 2 == fold), model, rules=()).filter((F.col("verdict") == "block") == (F.col("block") == 1)).count()
+    assert right >= 0.75 * len(rows)
+
+
+def test_hot_names_and_urls(spark, known, monkeypatch):
+    """With every key too frequent, or none, the joins give the same rows."""
+    rows = [(i, "http://a.example.com/en/" if i % 3 else f"http://casino{'abcde'[i % 5]}.example.com/{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    model = uf.learn(uf.examples(spark), known)
+    got = []
+    for heavy in (1, 10**9):
+        monkeypatch.setattr(uf._joined, "__defaults__", (heavy,))
+        got.append(sorted(map(tuple, uf.judge(df, model).collect())))
+    assert got[0] == got[1] and len(got[0]) == 60
+
+
+def test_empty_and_clash(spark, known):
     none = spark.createDataFrame([], "page_id long, url string")
-    model = uf.learn(none, uf.unigrams(spark.createDataFrame([], "text string")))
-    assert uf.judge(none, model).collect() == []
-    df = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c")], "page_id long, url string").withColumn("host", F.lit(3)).withColumn("extra", F.lit(4))
+    model = uf.learn(spark.createDataFrame([], "url string, block int"), uf.unigrams(spark.createDataFrame([], "text string")))
+    assert uf.judge(none, model).collect() == [] and model.prior < 0
+    df = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, None)], "page_id long, url string").withColumn("host", F.lit(3)).withColumn("uses", F.lit(4))
     out = uf.judge(df, model)
-    assert out.columns == ["page_id", "url", "extra", "host", "path", "rule", "verdict", "segments", "block_score"] and out.count() == 2
+    assert out.columns == ["page_id", "url", "uses", "host", "path", "rule", "verdict", "segments", "block_score"] and out.count() == 3
