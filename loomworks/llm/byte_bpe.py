@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import partitions, small_batches, without
+from .common import blocks_of, small_batches, without
 
 BLOCK_CHARS = 2_000_000
 DECODE_BYTES = 4_000_000
@@ -134,10 +134,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """(``id_col``, ``ids``): the token ids of every row's whole text, each match of ``pattern`` encoded apart.
 
     The ids equal those of the tiktoken library's encode_ordinary. Null and empty texts have no ids. Rows of one
-    id, and null ids, are rows of their own. An empty table gives an empty result. Other columns are not read.
+    id, and null ids, are rows of their own. A text is never split: a very long one is a block of its own. An empty
+    table gives an empty result. Other columns are not read, so their names can't clash.
     """
     small_batches(docs.sparkSession)
-    buckets = buckets or partitions(docs.sparkSession)
+    buckets = buckets or blocks_of(docs, text_col, 1)
     ranks = {b: i for i, b in enumerate(read_ranks(ranks_path))}
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one row an id of the vocabulary
     source = docs.select(id_col, text_col)

@@ -50,6 +50,17 @@ def _grams(text: str | None, letters: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _chunks(text: str | None):
+    """Parts of about ``_CHUNK`` characters that begin at no letter, so all n-grams of the parts are those of the text."""
+    begin, n = 0, len(text or "")
+    while begin < n:
+        end = min(begin + _CHUNK, n)
+        while end < n and text[end].isalpha():
+            end += 1
+        yield text[begin:end]
+        begin = end
+
+
 def _ranked(codes: np.ndarray, most: int) -> np.ndarray:
     """The most frequent codes, most frequent first, ties by code."""
     grams, counts = np.unique(codes, return_counts=True)
@@ -61,7 +72,11 @@ def _ranked(codes: np.ndarray, most: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, np.ndarray]:
-    """The ranked n-grams of each language of ``docs``; rows with a null language or no letter teach nothing."""
+    """The ranked n-grams of each language of ``docs``; rows with a null language or no letter teach nothing.
+
+    Repeated rows count each; ties go to the smaller n-gram. Very long texts are counted in parts, whole. Other columns
+    are not read. No rows give no profile.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -69,8 +84,8 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", si
         for b in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i in range(0, len(text or ""), _CHUNK):
-                    by.setdefault(lang, []).append(_grams(text[i : i + _CHUNK], letters))
+                for part in _chunks(text):
+                    by.setdefault(lang, []).append(_grams(part, letters))
             for lang, parts in by.items():
                 grams, counts = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
@@ -113,7 +128,7 @@ class _Judge:
 def predict(docs: DataFrame, models: dict[str, np.ndarray], text_col: str = "text", size: int = PROFILE) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1: the mean of the margin over the next language and of the fit).
 
-    ``und`` and 0 for null texts, texts without a letter and if no language was learned; equal distances go to the
+    Very long texts are ranked whole. ``und`` and 0 for null texts, texts without a letter and if no language was learned; equal distances go to the
     first language by name. An empty table gives an empty result. Columns named so are replaced; others pass through.
     """
     small_batches(docs.sparkSession)

@@ -58,7 +58,7 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, sha
     Documents are taken whole: the first that would go beyond the budget ends the mix. None is taken more than
     ``repeats`` times.
 
-    Null sources are a source of their own. Null sizes count 0; documents of size 0 are taken, at no cost, if their
+    Null sources are a source of their own. Texts are only measured; a very long one is one row like any other. Null sizes count 0; documents of size 0 are taken, at no cost, if their
     place in the queue comes before the end. The order depends on seed, id and repetition, so reruns agree; rows
     of one id and equal size are interchangeable. An empty table gives an empty result. Sizes are worked out once
     and kept as a narrow table in the shared folder.

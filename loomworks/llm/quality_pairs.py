@@ -115,7 +115,11 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 3, rid
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, held_out: Column | None = None) -> Model:
-    """Learns from at most ``rows`` labelled documents outside ``held_out``; labels of an id that differ or are null are left out."""
+    """Learns from at most ``rows`` labelled documents outside ``held_out``; labels of an id that differ or are null are left out.
+
+    Ids that several documents share are left out too, so no more than ``rows`` rows of features reach the driver. Null,
+    empty and very long texts teach like any other. Without rows, or with one label, ``fit`` says what is learned.
+    """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__qp_id"), F.col(label_col).cast("int").alias("__qp_label")).filter("__qp_id IS NOT NULL")
     known = known.groupBy("__qp_id").agg(F.min("__qp_label").alias("lo"), F.max("__qp_label").alias("hi")).filter("lo = hi AND lo IN (0, 1)")
@@ -123,7 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = known.filter(~held_out)
     drawn = known.orderBy(F.xxhash64("__qp_id"), "__qp_id").limit(rows).select("__qp_id", F.col("lo").alias("__qp_label"))
     texts = docs.select(F.col(id_col).alias("__qp_key"), F.col(text_col).alias("__qp_text"))
-    found = texts.join(F.broadcast(drawn), F.col("__qp_key") == F.col("__qp_id")).select("__qp_id", "__qp_label", "__qp_text")
+    hit = F.col("__qp_key") == F.col("__qp_id")
+    once = texts.select("__qp_key").join(F.broadcast(drawn), hit).groupBy("__qp_id", "__qp_label").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    found = texts.join(F.broadcast(once), hit).select("__qp_id", "__qp_label", "__qp_text")
 
     def run(batches):
         for b in batches:
@@ -144,8 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is ``cut`` or more).
 
-    Null, empty and blank texts have the same features and so one score. Equal texts have equal scores. An empty
-    table gives an empty result. Columns named so are replaced; all others pass through.
+    Null, empty and blank texts have the same features and so one score. Equal texts have equal scores; a very
+    long one is read whole. An empty table gives an empty result. Columns named so are replaced; others pass through.
     """
     small_batches(docs.sparkSession)
     docs = without(docs, ["score", "predicted"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, range_block, small_batches, without
+from .common import blocks_of, range_block, small_batches, without
 
 WINDOW = 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -152,17 +152,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     ``n_words`` counts the words of the input text; ``spans`` has the maximal removed intervals as word
     numbers ``[start, end)``. A text without repeats returns unchanged; otherwise the words are cut in place
-    and the white space before them stays. ``blocks`` and ``buckets`` default to twice the shuffle partitions.
+    and the white space before them stays. ``blocks`` and ``buckets`` default to twice the shuffle partitions, or as
+    many as ``BLOCK_BYTES`` of text a block make. A very long text is one document of one block, held there whole.
 
     Null texts have no words and stay null. Texts of fewer words than the window have none removed. Rows of
     one doc_id count as separate documents in order of their text, equal ones in any order: all but the first
     copy lose their windows. A null doc_id precedes all others. An empty table gives an empty result. Input
     columns named ``n_words`` or ``spans`` are replaced; all others pass through.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    blocks = blocks or 2 * partitions(spark)
-    buckets = buckets or 2 * partitions(spark)
+    small_batches(docs.sparkSession)
+    if not blocks or not buckets:
+        dealt_to = blocks_of(docs, text_col, 2)
+        blocks, buckets = blocks or dealt_to, buckets or dealt_to
     docs = without(docs, ["n_words", "spans", BLOCK, BUCKET, DATA])
     dealt = docs.withColumn(BLOCK, range_block(docs, id_col, blocks))
 

@@ -37,6 +37,17 @@ def test_profiles_equal_brute_force(spark):
     assert got.tolist() == want
 
 
+def test_parts_of_a_long_text_count_as_the_whole(monkeypatch):
+    text, letters = "The cat, the CAT 7 at " + "x" * 50 + " été\u0301 fin. " * 9, li._letters()
+    whole = Counter(li._grams(text, letters).tolist())
+    for size in (1, 2, 3, 7, 40):
+        monkeypatch.setattr(li, "_CHUNK", size)
+        parts = list(li._chunks(text))
+        assert "".join(parts) == text
+        assert sum((Counter(li._grams(p, letters).tolist()) for p in parts), Counter()) == whole
+    assert list(li._chunks(None)) == list(li._chunks("")) == []
+
+
 def test_distance_equals_brute_force(models):
     judge, letters = li._Judge(models, 300), li._letters()
     codes = li._grams("the night was dark and full of stars", letters)
