@@ -21,9 +21,9 @@ def overlaps(expected: DataFrame, detected: DataFrame, least: float = 0.5) -> Da
     return told.withColumn("ratio", F.col("overlap") / F.greatest("n", "m")).filter(F.col("ratio") >= least).select("expected", "detected", "overlap", "ratio")
 
 
-def compare(expected: DataFrame, detected: DataFrame, negatives: DataFrame) -> DataFrame:
+def compare(expected: DataFrame, detected: DataFrame, negatives: DataFrame, least: float = 0.5) -> DataFrame:
     """One row tp, fp, fn, tn: matching pairs, unmatched groups and detected negatives, missed groups, other negatives."""
-    found = overlaps(expected, detected)
+    found = overlaps(expected, detected, least)
     seen = detected.select("member").distinct()
     counts = [
         found.agg(F.count("*").alias("tp")),

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .duplicates import _Rounds
+from .graph import components
 
 
 def top_tokens(occurrences: DataFrame, n: int = 30) -> DataFrame:
@@ -60,20 +60,9 @@ def peer_pairs(occurrences: DataFrame, threshold: float = 0.35) -> DataFrame:
     return near.union(same)
 
 
-def clusters(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
+def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, cluster): the smallest id reachable over ``pairs`` (i, j), for every row of ``nodes`` (id)."""
-    rounds = _Rounds(nodes.sparkSession)
-    edges = rounds.put(pairs.select("i", "j").union(pairs.select(F.col("j"), F.col("i"))).distinct())
-    labels = rounds.put(nodes.select("id", F.col("id").alias("cluster")).distinct())
-    for _ in range(most_rounds):
-        near = edges.join(labels, F.col("j") == F.col("id")).groupBy("i").agg(F.min("cluster").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("i"), "left").select("id", F.least("cluster", F.coalesce("near", "cluster")).alias("to"), F.col("cluster").alias("was"))
-        up = labels.select(F.col("id").alias("to"), F.col("cluster").alias("up"))
-        step = rounds.put(step.join(up, "to").select("id", F.least("to", "up").alias("cluster"), "was"))
-        labels = step.select("id", "cluster")
-        if step.filter("cluster <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"clusters did not settle in {most_rounds} rounds")
+    return components(nodes, pairs)
 
 
 def shared_tokens(members: DataFrame, share: float = 0.6, most: int = 10) -> DataFrame:

@@ -12,16 +12,16 @@ leader takes all later free blocks that match. That is the first maximal indepen
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import annotations, scoring, text
 from ..functions.lcs import lcs_similarity
+from .graph import Rounds
 
 STRUCTURAL, SEMANTIC, QUALITY = 0.85, 0.70, 0.70
+#: Classes of characters whose counts bound a longest common subsequence; together they hold every character.
+_LETTERS = ("[a-f]", "[g-l]", "[m-r]", "[s-u]", "[v-z]", "[A-Z]", "[0-9]", r"[ \t\n]", r"[(){}\[\]]", r"[;,.:]", r"(?s)[^a-zA-Z0-9 \t\n(){}\[\];,.:]")
 
 
 def dedup_blocks(blocks: DataFrame) -> DataFrame:
@@ -45,10 +45,8 @@ def _groups(members: DataFrame, method: str, prefix: str = "dg_") -> DataFrame:
         head,
         F.count("*").alias("occurrences"),
         F.sum("line_count").cast("long").alias("total_lines"),
-        F.countDistinct("file_path").alias("files"),
-        F.countDistinct("repository").alias("repositories"),
-        F.countDistinct("category").alias("categories"),
-        F.countDistinct("pattern_id").alias("patterns"),
+        *[_distinct(c).alias(n) for c, n in (("repository", "repositories"), ("category", "categories"), ("pattern_id", "patterns"))],
+        _distinct("file_path").alias("files"),
         F.max("similarity").alias("similarity"),
         F.min("ord").alias("ord"),
     )
@@ -73,6 +71,11 @@ def _groups(members: DataFrame, method: str, prefix: str = "dg_") -> DataFrame:
     )
 
 
+def _distinct(column: str) -> Column:
+    """Distinct values by a set in the same aggregation; counting them apart would copy every row once a column."""
+    return F.size(F.collect_set(column)).cast("long")
+
+
 def exact_groups(blocks: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """Groups of equal content hash; with ``check``, those whose members agree in chains, codes, logic and methods.
 
@@ -103,27 +106,15 @@ def exact_groups(blocks: DataFrame, check: bool = True) -> tuple[DataFrame, Data
     return groups.drop("group"), members
 
 
-class _Rounds:
-    """Tables of an iteration, in the shared folder of the session; a local one only where it has none (tests)."""
-
-    def __init__(self, spark):
-        found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="loomworks-")
-        self.spark, self.path, self.n = spark, f"{found.rstrip('/')}/rounds-{uuid.uuid4().hex}", 0
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(f"{self.path}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
-
-
 def leaders(edges: DataFrame) -> DataFrame:
     """(``node``, ``leader``) of the nodes of ``edges`` (i, j, i < j): the greedy pass in order of the nodes.
 
     Each round, open nodes without an open earlier neighbour lead, and their neighbours are taken. Of nodes with one
     open earlier neighbour, every second one leads along the chain, which pointer jumping settles at once, so a chain
-    of versions is one round; it ends when no edge is open. Then each taken node goes to its least leader.
+    of versions is one round; it ends when no edge is open. Then each taken node goes to its least leader. The greedy
+    pass is serial by nature: where nodes wait for each other in turn and branch, rounds grow with that wait.
     """
-    rounds = _Rounds(edges.sparkSession)
+    rounds = Rounds(edges.sparkSession)
     every = left = rounds.put(edges.select("i", "j").distinct())
     led = None
     while not left.isEmpty():
@@ -145,45 +136,52 @@ def leaders(edges: DataFrame) -> DataFrame:
     return nodes.join(taken, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
 
 
+def _alike(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``first``: the least ``ord`` of the blocks that no structural test tells from it.
+
+    These have equal pattern, category, code, line count and, if they are tagged functions, equal file and function.
+    """
+    place = F.when(F.coalesce(text.function_tag(F.col("tags")), F.lit("")) != "", F.concat_ws("\n", "file_path", text.function_tag(F.col("tags"))))
+    sign = F.sha2(F.concat_ws("|", "pattern_id", "category", "line_count", F.sha2("source_code", 256), F.coalesce(place, F.lit(""))), 256)
+    signed = blocks.withColumn("sign", sign)
+    return signed.join(signed.groupBy("sign").agg(F.min("ord").alias("first")), "sign").drop("sign")
+
+
 def structural_pairs(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFrame:
     """(i, j, similarity) of blocks of one pattern and category whose structural similarity reaches ``threshold``.
 
-    Cheap tests come first: the line ratio, equal code, equal normal form, and the bound that the lengths put on
-    the longest common subsequence; only pairs within it reach the Python function. Blocks of one bucket are
-    compared where their lengths are in neighbouring bands, so this is for buckets of some thousand blocks.
+    Blocks are paired by their narrow facts: neighbouring bands of length, the line ratio, the bounds that the lengths
+    and the letter counts put on the longest common subsequence (both exact). Codes join the pairs that are left, and
+    only those whose normal forms differ reach the Python function. Give it the first of equal blocks alone: copies
+    would be paired all with all.
     """
     code = F.col("source_code")
-    sides = blocks.select(
-        F.col("ord"),
-        "pattern_id",
-        "category",
-        "line_count",
-        "file_path",
-        code.alias("code"),
-        text.function_tag(F.col("tags")).alias("fn"),
-        text.normal_form(code).alias("norm"),
-        text.method_chain(code).alias("chain"),
-        text.status_codes(code).alias("codes"),
-        text.operators(code).alias("ops"),
-        text.called_methods(code).alias("calls"),
-    ).filter(F.length("code") > 0)
+    norm = text.normal_form(code)
+    rounds = Rounds(blocks.sparkSession)
+    sides = blocks.filter(F.length(code) > 0).select(
+        "ord", "pattern_id", "category", "line_count", "file_path", text.function_tag(F.col("tags")).alias("fn"), code.alias("code"), norm.alias("norm"),
+        text.method_chain(code).alias("chain"), text.status_codes(code).alias("codes"), text.operators(code).alias("ops"), text.called_methods(code).alias("calls"),
+    )
+    sides = rounds.put(sides)
     # The least LCS ratio that can reach the threshold, with a full chain similarity and no penalty.
     least = min(threshold, (threshold - 0.3) / 0.7)
-    band = F.floor(F.log(F.greatest(F.length("norm"), F.lit(1))) / F.log(F.lit((2 - least) / least))).cast("int")
-    sides = sides.withColumn("band", band)
-    a = sides.select(*[F.col(c).alias(f"a_{c}") for c in sides.columns]).withColumn("to_band", F.explode(F.sequence(F.col("a_band") - 1, F.col("a_band") + 1)))
-    b = sides.select(*[F.col(c).alias(f"b_{c}") for c in sides.columns])
-    meets = (F.col("a_pattern_id") == F.col("b_pattern_id")) & (F.col("a_category") == F.col("b_category")) & (F.col("to_band") == F.col("b_band"))
-    pairs = a.join(b, meets).filter(F.col("a_ord") < F.col("b_ord"))
+    size = F.length("norm")
+    band = F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit((2 - least) / least))).cast("int")
+    letters = F.array(*[F.regexp_count("norm", F.lit(p)) for p in _LETTERS])
+    facts = rounds.put(sides.select("ord", "pattern_id", "category", "line_count", "file_path", "fn", F.sha2("norm", 256).alias("nh"), size.alias("n"), band.alias("band"), letters.alias("letters")))
+    a = facts.select(*[F.col(c).alias(f"a_{c}") for c in facts.columns]).withColumn("to_band", F.explode(F.sequence(F.col("a_band") - 1, F.col("a_band") + 1)))
+    b = facts.select(*[F.col(c).alias(f"b_{c}") for c in facts.columns])
     lines = F.least("a_line_count", "b_line_count") / F.greatest("a_line_count", "b_line_count")
     same_function = F.coalesce((F.col("a_fn") == F.col("b_fn")) & (F.col("a_fn") != "") & (F.col("a_file_path") == F.col("b_file_path")), F.lit(False))
-    pairs = pairs.filter((lines >= 0.5) & ~same_function)
-    n, m = F.length("a_norm"), F.length("b_norm")
-    pairs = pairs.filter((F.col("a_norm") == F.col("b_norm")) | (2 * F.least(n, m) / (n + m) >= least))
+    both = F.aggregate(F.zip_with("a_letters", "b_letters", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    near = (F.col("a_nh") == F.col("b_nh")) | (2 * both / (F.col("a_n") + F.col("b_n")) >= least)
+    meets = (F.col("a_pattern_id") == F.col("b_pattern_id")) & (F.col("a_category") == F.col("b_category")) & (F.col("to_band") == F.col("b_band"))
+    pairs = rounds.put(a.join(b, meets & (F.col("a_ord") < F.col("b_ord")) & (lines >= 0.5) & ~same_function & near).select(F.col("a_ord").alias("i"), F.col("b_ord").alias("j")))
+    kept = ("code", "norm", "chain", "codes", "ops", "calls")
+    pairs = pairs.join(sides.select(F.col("ord").alias("i"), *[F.col(c).alias(f"a_{c}") for c in kept]), "i").join(sides.select(F.col("ord").alias("j"), *[F.col(c).alias(f"b_{c}") for c in kept]), "j")
     needs = F.col("a_norm") != F.col("b_norm")
     some = pairs.filter(needs).withColumn("lcs", lcs_similarity("a_norm", "b_norm"))
-    rest = pairs.filter(~needs).withColumn("lcs", F.lit(1.0))
-    scored = some.unionByName(rest)
+    scored = some.unionByName(pairs.filter(~needs).withColumn("lcs", F.lit(1.0)))
     chain = text.chain_similarity(F.col("a_chain"), F.col("b_chain"))
     base = F.when(F.col("a_norm") == F.col("b_norm"), 0.95).when(chain < 1, F.col("lcs") * 0.7 + chain * 0.3).otherwise(F.col("lcs"))
     penalty = F.lit(1.0)
@@ -191,25 +189,28 @@ def structural_pairs(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFr
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
         penalty = penalty * F.when((F.size(x) > 0) & (F.size(y) > 0) & (x != y), factor).otherwise(1.0)
     similarity = F.when(F.col("a_code") == F.col("b_code"), 1.0).otherwise(base * penalty)
-    return scored.select(F.col("a_ord").alias("i"), F.col("b_ord").alias("j"), similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
-
-
-def _clustered(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Blocks with ``group`` (their leader's order) and ``similarity``, the mean of its pairs with its members."""
-    found = leaders(pairs)
-    taken = found.filter("node <> leader")
-    pair = pairs.join(taken, (F.col("i") == F.col("leader")) & (F.col("j") == F.col("node"))).groupBy("leader").agg(F.avg("similarity").alias("similarity"))
-    rows = found.join(pair, "leader").select(F.col("node").alias("ord"), F.col("leader").alias("group"), "similarity")
-    return blocks.join(rows, "ord").withColumn("hash", text.content_hash(F.col("source_code")))
+    return rounds.put(scored.select("i", "j", similarity.alias("similarity")).filter(F.col("similarity") >= threshold))
 
 
 def structural_groups(blocks: DataFrame, threshold: float = STRUCTURAL) -> tuple[DataFrame, DataFrame]:
     """Groups of structurally similar blocks of one pattern and category.
 
     A group whose members are not all compatible with each other is dropped: line counts beyond 1 to 2, or one
-    function of one file twice. Its members stay free for the semantic layer, not for this one.
+    function of one file twice. Its members stay free for the semantic layer, not for this one. Equal blocks act as
+    one, the first of them, with the weight of all; all are members and counted.
     """
-    members = _clustered(blocks, structural_pairs(blocks, threshold))
+    rounds = Rounds(blocks.sparkSession)
+    signed = rounds.put(_alike(blocks))
+    sizes = signed.groupBy("first").agg(F.count("*").alias("k"), F.max(F.coalesce(text.function_tag(F.col("tags")), F.lit(""))).alias("fn"))
+    firsts = signed.filter("ord = first")
+    pairs = structural_pairs(firsts.drop("first"), threshold)
+    found = leaders(pairs)
+    # Copies of a block are alike to it by 1, unless they are one function of one file.
+    own = sizes.filter("k > 1 AND fn = ''").select(F.col("first").alias("group"), F.lit(1.0).alias("s"), (F.col("k") - 1).alias("w"))
+    led = rounds.put(firsts.select("first").join(found, F.col("first") == F.col("node"), "left").select("first", F.coalesce("leader", "first").alias("group")))
+    others = pairs.join(led.filter("first <> group"), (F.col("i") == F.col("group")) & (F.col("j") == F.col("first"))).join(sizes.select("first", "k"), "first")
+    means = others.select("group", F.col("similarity").alias("s"), F.col("k").alias("w")).union(own.join(led.filter("first = group").select("group"), "group")).groupBy("group").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("similarity"))
+    members = signed.join(led, "first").join(means, "group").drop("first").withColumn("hash", text.content_hash(F.col("source_code")))
     name = F.nullif(text.function_tag(F.col("tags")), F.lit(""))
     place = F.when(name.isNotNull(), F.concat_ws(":", F.col("file_path"), name))
     fits = members.groupBy("group").agg((F.min("line_count") >= 0.5 * F.max("line_count")).alias("lines"), (F.count(place) == F.countDistinct(place)).alias("functions"))
@@ -237,9 +238,15 @@ def semantic_groups(blocks: DataFrame, threshold: float = SEMANTIC) -> tuple[Dat
     signed = marked.select("*", F.sha2(F.concat_ws("|", *keys), 256).alias("sign"))
     signed = signed.filter(F.col("ann.intent") != "unknown")
     classes = signed.groupBy("sign").agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.min_by("category", "ord").alias("category"), F.min_by("ann", "ord").alias("ann"))
-    a, b = classes.select("category", F.col("first").alias("i"), F.col("ann").alias("x")), classes.select("category", F.col("first").alias("j"), F.col("ann").alias("y"))
-    pairs = a.join(b, "category").filter(F.col("i") < F.col("j")).withColumn("similarity", annotations.similarity("x", "y"))
-    pairs = pairs.filter((F.col("similarity") >= threshold) & annotations.intents_meet(F.col("x.intent"), F.col("y.intent"))).select("i", "j", "similarity")
+    rounds = Rounds(blocks.sparkSession)
+    classes = rounds.put(classes)
+    # Intents meet in a member of their first parts: classes are paired there, and kept at the first member they share.
+    firsts = F.array_sort(F.filter(F.split(F.split_part("ann.intent", F.lit("|"), F.lit(1)), r"\+"), lambda t: t != ""))
+    keyed = classes.select("category", "first", "ann", firsts.alias("members")).withColumn("m", F.explode("members"))
+    a = keyed.select("category", "m", F.col("first").alias("i"), F.col("ann").alias("x"), F.col("members").alias("p"))
+    b = keyed.select("category", "m", F.col("first").alias("j"), F.col("ann").alias("y"), F.col("members").alias("q"))
+    pairs = a.join(b, ["category", "m"]).filter((F.col("i") < F.col("j")) & (F.array_min(F.array_intersect("p", "q")) == F.col("m")))
+    pairs = rounds.put(pairs.withColumn("similarity", annotations.similarity("x", "y")).filter(F.col("similarity") >= threshold).select("i", "j", "similarity"))
     found = leaders(pairs)
     led = classes.join(found, classes["first"] == found["node"], "left").select("sign", "first", "n", F.coalesce("leader", "first").alias("group"))
     near = pairs.select(F.col("i").alias("group"), F.col("j").alias("first"), "similarity")
@@ -255,7 +262,7 @@ def semantic_groups(blocks: DataFrame, threshold: float = SEMANTIC) -> tuple[Dat
 
 def detect(blocks: DataFrame, threshold: float = STRUCTURAL) -> tuple[DataFrame, DataFrame]:
     """All layers: each works on the complex blocks that no group before it holds. Groups in order of layer and leader."""
-    rounds = _Rounds(blocks.sparkSession)
+    rounds = Rounds(blocks.sparkSession)
     left = rounds.put(complex_blocks(blocks))
     groups, members = [], []
     for layer in (exact_groups, lambda b: structural_groups(b, threshold), semantic_groups):

@@ -9,8 +9,9 @@ from ..functions import scoring
 
 
 def lines(files: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, line_no, line, content) of every line of every file, numbered from 1."""
-    return files.select(key, F.posexplode(F.split(F.col(content), "\n")).alias("at", "line"), content).select(key, (F.col("at") + 1).alias("line_no"), "line", content)
+    """(key, line_no, line) of every line of every file, numbered from 1, with the other columns but the content."""
+    others = [c for c in files.columns if c not in (key, content)]
+    return files.select(key, *others, F.posexplode(F.split(F.col(content), "\n")).alias("at", "line")).select(key, (F.col("at") + 1).alias("line_no"), "line", *others)
 
 
 def ahead(key: str, order: str, hit: Column, n: int) -> Column:
@@ -24,15 +25,17 @@ def timeout_findings(files: DataFrame, key: str = "file_path", content: str = "c
     A race without a timeout; a loading flag without ``finally`` on the next 20 lines; an async function without
     try and catch on the next 50; a timeout in a file that never clears one. The window is over the lines of one file.
     """
-    rows = lines(files, key, content)
-    line, text = F.col("line"), F.col(content)
+    # What the whole file tells goes along as one flag; the content itself is on no line's row.
+    clears = F.col(content).contains("clearTimeout") | F.col(content).contains("return () =>")
+    rows = lines(files.select(key, content, clears.alias("clears")), key, content)
+    line = F.col("line")
     rows = rows.withColumn("fin", ahead(key, "line_no", line.contains("finally"), 20))
     rows = rows.withColumn("tri", ahead(key, "line_no", line.rlike(r"\btry\b"), 50)).withColumn("cat", ahead(key, "line_no", line.rlike(r"\bcatch\b"), 50))
     found = F.array(
         F.when(line.contains("Promise.race") & ~F.lower(line).contains("timeout"), F.struct(F.lit("high").alias("severity"), F.lit("promise_race_no_timeout").alias("category"))),
         F.when((line.contains("setLoading(true)") | line.contains("setLoading( true )")) & ~F.col("fin"), F.struct(F.lit("medium"), F.lit("loading_without_finally"))),
         F.when(line.rlike(r"^\s*async\s+(function\s+\w+|function|\w+)\s*\(") & ~(F.col("tri") & F.col("cat")), F.struct(F.lit("low"), F.lit("async_no_error_handling"))),
-        F.when(line.contains("setTimeout") & ~text.contains("clearTimeout") & (line.contains("reject") | F.lower(line).contains("timeout")) & ~text.contains("return () =>"), F.struct(F.lit("low"), F.lit("settimeout_no_cleanup"))),
+        F.when(line.contains("setTimeout") & ~F.col("clears") & (line.contains("reject") | F.lower(line).contains("timeout")), F.struct(F.lit("low"), F.lit("settimeout_no_cleanup"))),
     )
     hits = rows.select(key, "line_no", F.trim("line").alias("snippet"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
     return hits.select(key, "line_no", "f.severity", "f.category", "snippet")

@@ -6,15 +6,15 @@ Jobs are ``events`` (a row an event), blocks are ``documents`` or ``part``, repo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import annotations, errors, scoring, text
-from ..operators import accuracy, activity, constants, duplicates, jobs, metrics, scanners
+from ..operators import accuracy, activity, constants, duplicates, graph, jobs, metrics, scanners
 from ..streaming import lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,15 +418,7 @@ def accuracy_eval(spark, sf_dir):
     expected = d.select("doc_id", "source").join(labels.filter("quality = 0"), "doc_id").select(F.col("source").alias("group_id"), F.col("doc_id").cast("string").alias("member"))
     found = document_blocks(spark, sf_dir).filter("line_count <= 3").select(F.concat(F.lit("g"), (F.col("ord") % 25).cast("string")).alias("group_id"), F.col("block_id").alias("member"))
     negatives = labels.filter("toxic = 1").select(F.col("doc_id").cast("string").alias("member"))
-    matched = accuracy.overlaps(expected, found, 0.1)
-    seen = found.select("member").distinct()
-    tp = matched.agg(F.count("*").alias("tp")).withColumn("one", F.lit(1))
-    fn = expected.select(F.col("group_id").alias("expected")).distinct().join(matched, "expected", "left_anti").agg(F.count("*").alias("fn")).withColumn("one", F.lit(1))
-    g = found.select(F.col("group_id").alias("detected")).distinct().join(matched, "detected", "left_anti").agg(F.count("*").alias("g")).withColumn("one", F.lit(1))
-    hit = negatives.join(seen, "member", "left_semi").agg(F.count("*").alias("hit")).withColumn("one", F.lit(1))
-    tn = negatives.join(seen, "member", "left_anti").agg(F.count("*").alias("tn")).withColumn("one", F.lit(1))
-    counts = tp.join(fn, "one").join(g, "one").join(hit, "one").join(tn, "one").select("tp", (F.col("g") + F.col("hit")).alias("fp"), "fn", "tn")
-    return accuracy.metrics(counts).drop("grade")
+    return accuracy.metrics(accuracy.compare(expected, found, negatives, 0.1)).drop("grade")
 
 
 _COUNT_PATTERNS = {"bars": r"\|", "shouts": "!!", "numbers": "[0-9]+"}
@@ -483,8 +475,7 @@ def part_blocks(spark, sf_dir) -> DataFrame:
 
 @query()
 def structural_groups(spark, sf_dir):
-    blocks = part_blocks(spark, sf_dir).dropDuplicates(["pattern_id", "category", "source_code"])
-    return duplicates.structural_groups(blocks)[0].select("group_id", "pattern_id", "category", "occurrences", "similarity", "impact", "ord")
+    return duplicates.structural_groups(part_blocks(spark, sf_dir))[0].select("group_id", "pattern_id", "category", "occurrences", "similarity", "impact", "ord")
 
 
 @query()
@@ -509,8 +500,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     last batch is the whole result, in update mode all batches are.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomworks-")
-    root = f"{shared.rstrip('/')}/drained-{uuid.uuid4().hex}"
+    root = f"{graph.shared_dir(spark)}/drained-{uuid.uuid4().hex}"
     last: list[int] = []
 
     def put(batch: DataFrame, number: int) -> None:
@@ -519,10 +509,12 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
     writer = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True)
     writer.option("checkpointLocation", f"{root}/state").start().awaitTermination()
+    schema = stream.schema if mode == "complete" else T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     if not last:  # no batch: the input is empty
-        return spark.createDataFrame([], stream.schema)
-    read = spark.read.schema(stream.schema)
-    return read.parquet(f"{root}/out/batch={max(last)}") if mode == "complete" else read.parquet(*[f"{root}/out/batch={n}" for n in sorted(set(last))])
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{root}/out/batch={max(last)}")
+    return spark.read.schema(schema).option("basePath", f"{root}/out").parquet(*[f"{root}/out/batch={n}" for n in sorted(set(last))])
 
 
 def _stream(spark, sf_dir):
@@ -544,7 +536,7 @@ def stream_rate_windows(spark, sf_dir):
 @query()
 def stream_job_states(spark, sf_dir):
     rows = drain(lifecycle.job_states(_stream(spark, sf_dir)), "update")
-    return rows.groupBy("job_id").agg(F.max_by(F.struct("status", "retries", "rejected"), F.struct("retries", "rejected")).alias("s")).select("job_id", "s.*")
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("status", "retries", "rejected"), "batch").alias("s")).select("job_id", "s.*")
 
 
 @query(f"SELECT job_id, event FROM (SELECT user_id AS job_id, {_CASE} AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

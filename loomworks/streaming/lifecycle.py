@@ -51,10 +51,16 @@ def activities(events: DataFrame) -> DataFrame:
 
 
 def subscribed(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(client, event ...) for each subscription (client, channel) of the event's channel or ``*``."""
-    own = events.join(subscriptions, events["channel"] == subscriptions["channel"]).select("client", events["*"])
-    everything = subscriptions.filter(F.col("channel") == "*").select("client", F.lit(1).alias("one"))
-    return own.unionByName(events.withColumn("one", F.lit(1)).join(everything, "one").select("client", *events.columns))
+    """(client, event ...) for each subscription (client, channel) of the event's channel.
+
+    A subscription to ``*`` is no pair with every event: it is one row a client in ``everything``.
+    """
+    return events.join(subscriptions.filter("channel <> '*'"), "channel").select("client", events["*"])
+
+
+def everything(subscriptions: DataFrame) -> DataFrame:
+    """The clients of ``*``, who read the whole event table."""
+    return subscriptions.filter("channel = '*'").select("client").distinct()
 
 
 def keep_recent(rows: DataFrame, path: str, n: int = 50) -> None:
@@ -107,14 +113,13 @@ def last_states(events: DataFrame) -> DataFrame:
 BREAKER_OUT = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("state", T.StringType()), T.StructField("failures", T.LongType())])
 
 
-def breaker(rows: pd.DataFrame, threshold: int = 3, rest_seconds: float = 3600.0) -> pd.DataFrame:
-    """The state of a circuit breaker after each of a service's events, in order.
+def breaker(rows: pd.DataFrame, threshold: int = 3, rest_seconds: float = 3600.0, held: tuple = ("CLOSED", 0, None)) -> tuple[pd.DataFrame, tuple]:
+    """The state of a circuit breaker after each of a service's events, in order, and what it holds at the end.
 
     ``threshold`` failures in a row open it; the first event after ``rest_seconds`` finds it half open, where a success
     closes it and a failure opens it again. While it is open, events are not counted.
     """
-    rows = rows.sort_values(["ts", "event_id"])
-    state, failures, opened = "CLOSED", 0, None
+    state, failures, opened = held
     states, counts = [], []
     for ts, ok in zip(rows["ts"], rows["ok"]):
         if state == "OPEN" and (ts - opened).total_seconds() >= rest_seconds:
@@ -127,12 +132,28 @@ def breaker(rows: pd.DataFrame, threshold: int = 3, rest_seconds: float = 3600.0
                 state, opened = "OPEN", ts
         states.append(state)
         counts.append(failures)
-    return pd.DataFrame({"job_id": rows["job_id"], "event_id": rows["event_id"], "state": states, "failures": counts})
+    return pd.DataFrame({"job_id": rows["job_id"], "event_id": rows["event_id"], "state": states, "failures": counts}), (state, failures, opened)
 
 
 def breaker_states(events: DataFrame, threshold: int = 3, rest_seconds: float = 3600.0) -> DataFrame:
-    """``breaker`` for each service (job_id) of a table (job_id, event_id, ts, ok); a service's events fit one task."""
-    return events.select("job_id", "event_id", "ts", "ok").groupBy("job_id").applyInPandas(lambda rows: breaker(rows, threshold, rest_seconds), BREAKER_OUT)
+    """``breaker`` for each service (job_id) of a table (job_id, event_id, ts, ok).
+
+    A service's events are in one partition, sorted there by Spark, and pass through in batches of bounded size with the
+    breaker's small state carried on; they are never gathered, however many they are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, ("CLOSED", 0, None)
+        for batch in batches:
+            for job, rows in batch.groupby("job_id", sort=False, dropna=False):
+                if last is None or not (job == last[0] or pd.isna(job) and pd.isna(last[0])):
+                    held = ("CLOSED", 0, None)
+                told, held = breaker(rows, threshold, rest_seconds, held)
+                last = (job,)
+                yield told
+
+    rows = events.select("job_id", "event_id", "ts", "ok").repartition("job_id").sortWithinPartitions("job_id", "ts", "event_id")
+    return rows.mapInPandas(run, BREAKER_OUT)
 
 
 def retry_lineage(jobs: DataFrame, most: int = 10) -> DataFrame:
