@@ -31,11 +31,15 @@ def timeout_findings(files: DataFrame, key: str = "file_path", content: str = "c
     line = F.col("line")
     rows = rows.withColumn("fin", ahead(key, "line_no", line.contains("finally"), 20))
     rows = rows.withColumn("tri", ahead(key, "line_no", line.rlike(r"\btry\b"), 50)).withColumn("cat", ahead(key, "line_no", line.rlike(r"\bcatch\b"), 50))
+
+    def finding(severity: str, category: str) -> Column:
+        return F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"))
+
     found = F.array(
-        F.when(line.contains("Promise.race") & ~F.lower(line).contains("timeout"), F.struct(F.lit("high").alias("severity"), F.lit("promise_race_no_timeout").alias("category"))),
-        F.when((line.contains("setLoading(true)") | line.contains("setLoading( true )")) & ~F.col("fin"), F.struct(F.lit("medium"), F.lit("loading_without_finally"))),
-        F.when(line.rlike(r"^\s*async\s+(function\s+\w+|function|\w+)\s*\(") & ~(F.col("tri") & F.col("cat")), F.struct(F.lit("low"), F.lit("async_no_error_handling"))),
-        F.when(line.contains("setTimeout") & ~F.col("clears") & (line.contains("reject") | F.lower(line).contains("timeout")), F.struct(F.lit("low"), F.lit("settimeout_no_cleanup"))),
+        F.when(line.contains("Promise.race") & ~F.lower(line).contains("timeout"), finding("high", "promise_race_no_timeout")),
+        F.when((line.contains("setLoading(true)") | line.contains("setLoading( true )")) & ~F.col("fin"), finding("medium", "loading_without_finally")),
+        F.when(line.rlike(r"^\s*async\s+(function\s+\w+|function|\w+)\s*\(") & ~(F.col("tri") & F.col("cat")), finding("low", "async_no_error_handling")),
+        F.when(line.contains("setTimeout") & ~F.col("clears") & (line.contains("reject") | F.lower(line).contains("timeout")), finding("low", "settimeout_no_cleanup")),
     )
     hits = rows.select(key, "line_no", F.trim("line").alias("snippet"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
     return hits.select(key, "line_no", "f.severity", "f.category", "snippet")

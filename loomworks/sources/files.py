@@ -19,12 +19,22 @@ def jobs_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.JOBS).parquet(path)
 
 
-def jobs_jdbc(spark: SparkSession, url: str, table: str = "jobs", parts: int = 8, **options) -> DataFrame:
-    """A jobs table of a database, read in ``parts`` slices of the id's hash."""
-    slices = [f"mod(abs(hashtext(id)), {parts}) = {k}" for k in range(parts)]
+def jobs_jdbc(spark: SparkSession, url: str, table: str = "jobs", bounds: list[str] = (), **options) -> DataFrame:
+    """A jobs table of a database, read in ranges of the id at ``bounds``, a task each; null ids are in the first."""
+    cuts = [None, *sorted(b.replace("'", "''") for b in bounds), None]
+    slices = []
+    for low, high in zip(cuts, cuts[1:]):
+        parts = [f"\"id\" >= '{low}'" * (low is not None), f"\"id\" < '{high}'" * (high is not None)]
+        where = " AND ".join(p for p in parts if p) or "1 = 1"
+        slices.append(where if low is not None or high is None else f"({where} OR \"id\" IS NULL)")
     return spark.read.jdbc(url, table, predicates=slices, properties={k: str(v) for k, v in options.items()})
 
 
+def write_jobs_jdbc(jobs: DataFrame, url: str, table: str = "jobs", mode: str = "append", writers: int = 8, **options) -> None:
+    """Writes jobs to a database over at most ``writers`` connections; a new table's ids hold 100 characters, as ids may have."""
+    jobs.coalesce(writers).write.mode(mode).option("createTableColumnTypes", "id VARCHAR(100)").jdbc(url, table, properties={k: str(v) for k, v in options.items()})
+
+
 def sql(spark: SparkSession, query: str, **tables_and_args) -> DataFrame:
     """A parameterised query; DataFrames among the arguments are tables in ``{name}``, others are ``:name`` values."""
     tables = {k: v for k, v in tables_and_args.items() if isinstance(v, DataFrame)}
@@ -33,7 +43,7 @@ def sql(spark: SparkSession, query: str, **tables_and_args) -> DataFrame:
 
 def _named_json(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     whole = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(folder)
-    return whole.select(F.col("value").alias("raw"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
+    return whole.select(F.col("value").alias("raw"), F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
 
 
 def _or(*json_paths: str) -> Column:
