@@ -111,8 +111,10 @@ def annotate(code: Column, tags: Column | None = None) -> dict[str, Column]:
     A loop that appends under a condition does what filter and map do, and counts as both.
     """
     named = _named(code, OPERATIONS)
-    composite = F.array_contains(named, "iterate") & F.array_contains(named, "append") & code.rlike(r"\bif\s{0,20}\(")
-    named = F.when(composite, F.array_union(named, F.array(F.lit("filter"), F.lit("map")))).otherwise(named)
+    both = F.array(F.lit("filter"), F.lit("map"))
+    # Bound in a lambda, so that the patterns are tried once.
+    composite = lambda n: F.array_contains(n, "iterate") & F.array_contains(n, "append") & code.rlike(r"\bif\s{0,20}\(")
+    named = F.get(F.transform(F.array(named), lambda n: F.when(composite(n), F.array_union(n, both)).otherwise(n)), F.lit(0))
     text = code if tags is None else F.concat_ws(" ", code, F.array_join(tags, " "))
     words = {name: (rf"\b(?:{alternatives})\b",) for name, alternatives in DOMAINS.items()}
     return {

@@ -222,7 +222,8 @@ def structural_groups(blocks: DataFrame, threshold: float = STRUCTURAL) -> tuple
 def annotate(blocks: DataFrame) -> DataFrame:
     """Blocks with ``ann``: operations, domains, patterns, data_types and intent."""
     made = annotations.annotate(F.col("source_code"), F.coalesce("tags", F.array().cast("array<string>")))
-    out = blocks.select("*", *[v.alias(f"__{k}") for k, v in made.items()])
+    # A generator, which Spark doesn't merge with what reads it: the patterns are tried once a block.
+    out = blocks.select("*", F.inline(F.array(F.struct(*[v.alias(f"__{k}") for k, v in made.items()]))))
     intent = annotations.intent(F.col("__operations"), F.col("__domains"), F.col("__patterns"))
     return out.withColumn("ann", F.struct(*[F.col(f"__{k}").alias(k) for k in made], intent.alias("intent"))).drop(*[f"__{k}" for k in made])
 
@@ -233,12 +234,12 @@ def semantic_groups(blocks: DataFrame, threshold: float = SEMANTIC) -> tuple[Dat
     Blocks of equal category and annotation act as one (the first of them leads or is taken, and the rest with it),
     so only distinct annotations are paired.
     """
-    marked = annotate(blocks)
+    rounds = Rounds(blocks.sparkSession)
+    marked = rounds.put(annotate(blocks).select("ord", "category", "ann"))
     keys = [F.col("category"), *[F.array_join(f"ann.{c}", "+").alias(c) for c in annotations.WEIGHTS]]
-    signed = marked.select("*", F.sha2(F.concat_ws("|", *keys), 256).alias("sign"))
+    signed = marked.select("ord", "category", "ann", F.sha2(F.concat_ws("|", *keys), 256).alias("sign"))
     signed = signed.filter(F.col("ann.intent") != "unknown")
     classes = signed.groupBy("sign").agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.min_by("category", "ord").alias("category"), F.min_by("ann", "ord").alias("ann"))
-    rounds = Rounds(blocks.sparkSession)
     classes = rounds.put(classes)
     # Intents meet in a member of their first parts: classes are paired there, and kept at the first member they share.
     firsts = F.array_sort(F.filter(F.split(F.split_part("ann.intent", F.lit("|"), F.lit(1)), r"\+"), lambda t: t != ""))
@@ -255,7 +256,8 @@ def semantic_groups(blocks: DataFrame, threshold: float = SEMANTIC) -> tuple[Dat
     weight = F.col("n") - F.when(F.col("group") == F.col("first"), 1).otherwise(0)
     means = scored.groupBy("group").agg((F.sum(F.col("similarity") * weight) / F.sum(weight)).alias("similarity"))
     rows = led.join(means, "group").filter(F.col("similarity").isNotNull()).select("sign", "group", "similarity")
-    members = signed.join(rows, "sign").withColumn("hash", text.content_hash(F.col("source_code")))
+    grouped = signed.join(rows, "sign").select("ord", "group", "similarity")
+    members = blocks.join(grouped, "ord").withColumn("hash", text.content_hash(F.col("source_code")))
     groups = _groups(members, "semantic")
     return groups.drop("group"), members.join(groups.select("group", "group_id"), "group").select("group_id", "block_id")
 
