@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
+
 #: What separates words in every contract of this subpackage: ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,17 +74,6 @@ def range_block(docs: DataFrame, key: str, blocks: int) -> Column:
     return F.expr(f"CAST(CASE WHEN {x} IS NULL OR {x} < {bounds[0]} THEN 0 ELSE ({coarse} - 1) * {step} + {fine} END AS BIGINT)")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session makes one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="loomworks-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 class SharedTables:
     """Parquet tables in the shared folder that cut the lineage of iterative jobs; losing an executor loses none.
 
