@@ -1,7 +1,8 @@
 """Registered queries of the engine's operators over the driver's tables, each beside its DuckDB SQL.
 
 Jobs are ``events`` (a row an event), blocks are ``documents`` or ``part``, repositories are ``nation`` and
-``customer``, files are ``pages``. A query without SQL keeps state or iterates; tests hold it to brute force.
+``customer``, files are ``pages``. A query without SQL keeps state or iterates; tests/test_brute.py
+holds it, or for the layers their operators on small blocks, to plain Python.
 """
 
 from __future__ import annotations
