@@ -12,7 +12,7 @@ leader takes all later free blocks that match. That is the first maximal indepen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import annotations, scoring, text
@@ -147,6 +147,37 @@ def _alike(blocks: DataFrame) -> DataFrame:
     return signed.join(signed.groupBy("sign").agg(F.min("ord").alias("first")), "sign").drop("sign")
 
 
+def _within(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``within``: for each (keys, line_count) of ``counts``, the sum of ``n`` over line counts of half to twice it.
+
+    Running sums over the distinct line counts, taken at twice the count and just below its half; no pairs are made.
+    """
+    at = F.col("line_count").cast("long")
+    mark = lambda place, n, sign: F.struct(place.alias("at"), n.alias("n"), F.lit(sign).alias("sign"), F.col("line_count"))
+    none = F.lit(0).cast("long")
+    marks = counts.select(*keys, F.inline(F.array(mark(at, F.col("n"), 0), mark(at * 2, none, 1), mark(F.floor((at - 1) / 2), none, -1))))
+    upto = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = marks.withColumn("upto", F.sum("n").over(upto)).filter("sign <> 0")
+    return summed.groupBy(*keys, "line_count").agg(F.sum(F.col("upto") * F.col("sign")).alias("within"))
+
+
+def line_ratio_links(blocks: DataFrame) -> DataFrame:
+    """(ord, n_links): how many other blocks the structural layer may compare each block with.
+
+    These are of its pattern and category, their line counts are within 1 to 2, and they are not the same function of
+    the same file. Nulls in pattern, category or line count: no links. Copies are blocks like any other.
+    """
+    name = F.nullif(text.function_tag(F.col("tags")), F.lit(""))
+    rows = blocks.select("ord", "pattern_id", "category", "line_count", F.when(name.isNotNull(), F.col("file_path")).alias("file"), name.alias("fn"))
+    kind, place = ["pattern_id", "category"], ["pattern_id", "category", "file", "fn"]
+    known = rows.dropna(subset=[*kind, "line_count"])
+    every = _within(known.groupBy(*kind, "line_count").agg(F.count("*").alias("n")), kind)
+    named = known.dropna(subset=["file", "fn"])
+    same = _within(named.groupBy(*place, "line_count").agg(F.count("*").alias("n")), place).withColumnRenamed("within", "own")
+    found = rows.join(every, [*kind, "line_count"], "left").join(same, [*place, "line_count"], "left")
+    return found.select("ord", F.coalesce(F.col("within") - F.coalesce("own", F.lit(1)), F.lit(0)).alias("n_links"))
+
+
 def structural_pairs(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFrame:
     """(i, j, similarity) of blocks of one pattern and category whose structural similarity reaches ``threshold``.
 
@@ -192,6 +223,15 @@ def structural_pairs(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFr
     return rounds.put(scored.select("i", "j", similarity.alias("similarity")).filter(F.col("similarity") >= threshold))
 
 
+def structural_links(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFrame:
+    """(kind, i, j, similarity): ``structural_pairs`` of the first block of each class of equal ones (kind ``pair``), and
+    each further block of a class with its first (kind ``copy``), so that copies aren't paired all with all."""
+    signed = Rounds(blocks.sparkSession).put(_alike(blocks))
+    pairs = structural_pairs(signed.filter("ord = first").drop("first"), threshold)
+    copies = signed.filter("ord <> first").select(F.lit("copy").alias("kind"), F.col("first").alias("i"), F.col("ord").alias("j"), F.lit(1.0).alias("similarity"))
+    return pairs.select(F.lit("pair").alias("kind"), "i", "j", "similarity").union(copies)
+
+
 def structural_groups(blocks: DataFrame, threshold: float = STRUCTURAL) -> tuple[DataFrame, DataFrame]:
     """Groups of structurally similar blocks of one pattern and category.
 

@@ -158,3 +158,30 @@ def step_kind(text: Column) -> Column:
     for kind, pattern in reversed(STEP_KINDS):
         out = F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 1).alias("subject"))).otherwise(out)
     return out
+
+
+def step_files(steps: DataFrame, files: DataFrame) -> DataFrame:
+    """(suggestion_id, step_no, file_path): the files that each migration step of (suggestion_id, step_no, text, example) is for.
+
+    A path in the comment that an example begins with names the file; it stops at the first ending that fits (``.jsx``
+    is read as ``.js``), as in the reference design. Other steps are for the files (file_path,
+    content) that import, call or declare their subject: files are cut into these mentions, which join the steps on
+    kind and subject. Added imports without a path are for all files so found for their suggestion. Steps of no kind,
+    and nulls, are for none; rows are distinct.
+    """
+    path = F.regexp_extract("example", r"^//\s*(.+?\.(?:js|ts|jsx|tsx))", 1)
+    told = steps.select("suggestion_id", "step_no", F.coalesce(path, F.lit("")).alias("path"), step_kind(F.col("text")).alias("s"))
+    told = told.select("suggestion_id", "step_no", "path", F.col("s.kind").alias("kind"), F.col("s.subject").alias("subject"))
+    named = told.filter("path <> ''").select("suggestion_id", "step_no", F.col("path").alias("file_path"))
+    found = lambda kind, pattern: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("subject")))
+    mentions = F.concat(
+        found("update-import", r"from\s+['\"]([^'\"]+)['\"]"),
+        found("replace-call", r"\b(\w+)\s*\("),
+        found("remove-declaration", r"(?:function|const|let|var|class)(?=\s+(\w+))"),
+    )
+    at = files.select("file_path", F.inline(F.array_distinct(mentions)))
+    other = told.filter("path = ''")
+    matched = other.join(at, ["kind", "subject"]).select("suggestion_id", "step_no", "file_path")
+    added = other.filter("kind = 'add-import'").select("suggestion_id", "step_no")
+    joined = added.join(matched.select("suggestion_id", "file_path").distinct(), "suggestion_id")
+    return named.unionByName(matched).unionByName(joined).distinct()

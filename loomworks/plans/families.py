@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import activity, duplicates, jobs, reports
+from ..operators import activity, duplicates, graph, jobs, reports
 from ..streaming import lifecycle
-from .catalog import _SUGGEST_SQL, JOBS_SQL, _exact, document_blocks, drain, event_jobs, exact_dup_groups, query, table
+from .catalog import _SUGGEST_SQL, JOBS_SQL, _exact, document_blocks, drain, event_jobs, exact_dup_groups, part_blocks, query, table
 
 _NOW = "(SELECT max(ts) FROM events)"
 
@@ -270,11 +272,39 @@ def tag_overlap_jaccard(spark, sf_dir):
 
 @query("SELECT event_id, 'Job ' || user_id || ' ' || CASE event_type WHEN 'view' THEN 'created' WHEN 'click' THEN 'started' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS message FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')")
 def activity_messages(spark, sf_dir):
-    kinds = {"view": "job:created", "click": "job:started", "purchase": "job:completed", "error": "job:failed"}
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job_id"), scoring.lookup(F.col("event_type"), kinds, None).alias("event"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("job_id"), scoring.lookup(F.col("event_type"), _KINDS, None).alias("event"))
     return lifecycle.activities(e).select("event_id", "message")
 
 
+_KINDS = {"view": "job:created", "click": "job:started", "purchase": "job:completed", "error": "job:failed"}
+
+
+@query("SELECT event_id, 'Job ' || user_id || ' ' || CASE event_type WHEN 'view' THEN 'created' WHEN 'click' THEN 'started' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS message FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error') ORDER BY ts DESC, event_id DESC LIMIT 50")
+def stream_feed_top50(spark, sf_dir):
+    schema, path = table(spark, sf_dir, "events").schema, f"{graph.shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    e = stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job_id"), scoring.lookup(F.col("event_type"), _KINDS, None).alias("event"))
+    rows = lifecycle.activities(e).select("event_id", "ts", "message")
+    writer = rows.writeStream.foreachBatch(lambda batch, _: lifecycle.keep_recent(batch, f"{path}/feed")).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    return lifecycle.recent(spark, f"{path}/feed").select("event_id", "message")
+
+
+@query(
+    "WITH w AS (SELECT p_partkey AS ord, p_brand AS pattern, p_type AS category, p_partkey % 50 + 1 AS lines, p_brand || '/' || (p_partkey % 40) AS file, CASE WHEN p_partkey % 2 = 0 THEN 'f' || (p_partkey % 3) END AS fn FROM part) "
+    "SELECT a.ord, count(b.ord) AS n_links FROM w a LEFT JOIN w b ON a.pattern = b.pattern AND a.category = b.category AND a.ord <> b.ord AND 2 * least(a.lines, b.lines) >= greatest(a.lines, b.lines) AND NOT coalesce(a.file = b.file AND a.fn = b.fn, FALSE) GROUP BY a.ord"
+)
+def line_ratio_pairs(spark, sf_dir):
+    n = F.col("ord")
+    tags = F.when(n % 2 == 0, F.array(F.concat(F.lit("function:f"), (n % 3).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return duplicates.line_ratio_links(part_blocks(spark, sf_dir).withColumn("line_count", (n % 50 + 1).cast("int")).withColumn("tags", tags))
+
+
+@query()
+def structural_pairs(spark, sf_dir):
+    return duplicates.structural_links(part_blocks(spark, sf_dir))
+
+
 @query(
     "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, event_type AS event, count(*) AS n FROM (SELECT event_type, unnest(generate_series(time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '45 minutes', time_bucket(INTERVAL '15 minutes', ts), INTERVAL '15 minutes')) AS w FROM events) GROUP BY 1, 2"
 )

@@ -15,6 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: The transitions that a job may take.
 NEXT = {"": ("queued",), "queued": ("running", "cancelled", "paused"), "running": ("completed", "failed", "cancelled", "paused"), "paused": ("queued", "running", "cancelled"), "completed": (), "failed": ("queued",), "cancelled": ()}
+#: States that retention may forget.
+ENDED = ("completed", "failed", "cancelled")
 #: Messages of the activity feed by event.
 MESSAGES = {"job:created": "created", "job:started": "started", "job:completed": "completed", "job:failed": "failed", "retry:created": "retry scheduled", "retry:max-attempts": "retries used up"}
 
@@ -63,20 +65,28 @@ def everything(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.filter("channel = '*'").select("client").distinct()
 
 
-def keep_recent(rows: DataFrame, path: str, n: int = 50) -> None:
-    """Merges a micro-batch into the feed at ``path``: the newest ``n``. For ``foreachBatch``; two folders take turns."""
-    spark = rows.sparkSession
-    turn = [f"{path}/a", f"{path}/b"]
+def _turn(spark: SparkSession, path: str) -> int | None:
+    """Which of a feed's two folders holds it; none before the first batch."""
     try:
-        state = spark.read.text(f"{path}/turn").first()["value"]
-        old = spark.read.parquet(turn[int(state)])
-    except Exception as e:  # no feed yet
+        return int(spark.read.text(f"{path}/turn").first()["value"])
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        state, old = "1", None
-    both = rows if old is None else old.unionByName(rows).dropDuplicates(["event_id"])
-    new = 1 - int(state)
-    both.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n).write.mode("overwrite").parquet(turn[new])
+        return None
+
+
+def recent(spark: SparkSession, path: str) -> DataFrame:
+    """The feed that ``keep_recent`` holds at ``path``."""
+    return spark.read.parquet(f"{path}/{'ab'[_turn(spark, path)]}")
+
+
+def keep_recent(rows: DataFrame, path: str, n: int = 50) -> None:
+    """Merges a micro-batch into the feed at ``path``: the newest ``n``. For ``foreachBatch``; two folders take turns."""
+    spark = rows.sparkSession
+    turn = _turn(spark, path)
+    both = rows if turn is None else recent(spark, path).unionByName(rows).dropDuplicates(["event_id"])
+    new = 0 if turn is None else 1 - turn
+    both.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n).write.mode("overwrite").parquet(f"{path}/{'ab'[new]}")
     spark.createDataFrame([(str(new),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/turn")
 
 
@@ -100,8 +110,33 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     yield pd.DataFrame({"job_id": [key[0]], "status": [status], "retries": [retries], "rejected": [rejected]})
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """The state of each job after each micro-batch, by the guarded state machine."""
+def _advance_and_expire(keep_ms: int):
+    """``_advance`` that forgets an ended job ``keep_ms`` after its last event, with a last row of status expired."""
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            _, retries, rejected = state.get
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "status": ["expired"], "retries": [retries], "rejected": [rejected]})
+            return
+        frames = list(batches)
+        yield from _advance(key, iter(frames), state)
+        if state.get[0] in ENDED:
+            last = max(int(f["ts"].max().timestamp() * 1000) for f in frames)
+            state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+    return run
+
+
+def job_states(events: DataFrame, keep_seconds: float | None = None, late: str = "10 minutes") -> DataFrame:
+    """The state of each job after each micro-batch, by the guarded state machine.
+
+    With ``keep_seconds``, an ended job leaves the state so long after its last event, in event time, once the
+    watermark (``late``) has passed; a later event of it starts anew. Without, state is kept for ever.
+    """
+    if keep_seconds is not None:
+        grouped = events.withWatermark("ts", late).groupBy("job_id")
+        return grouped.applyInPandasWithState(_advance_and_expire(int(keep_seconds * 1000)), JOB_OUT, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return events.groupBy("job_id").applyInPandasWithState(_advance, JOB_OUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomworks.functions import text
-from loomworks.operators import constants, duplicates
+from loomworks.operators import constants, duplicates, scanners
 from loomworks.operators.graph import components
 from loomworks.plans import catalog
 from loomworks.streaming import lifecycle
@@ -261,3 +261,51 @@ def test_layer_queries_equal_operators(spark):
     assert (catalog.structural_groups(spark, DIR).count(), catalog.semantic_groups(spark, DIR).count()) == made
     assert {r.method for r in catalog.layered_groups(spark, DIR).collect()} <= {"exact_match", "structural", "semantic"}
     assert constants.least_shared(5, 0.6) == 3
+
+
+def test_structural_links(spark):
+    rows = blocks()
+    got = duplicates.structural_links(spark.createDataFrame(rows, BLOCK)).collect()
+    assert {r.kind for r in got} <= {"pair", "copy"} and any(r.kind == "pair" for r in got)
+    by = {b[0]: b for b in rows}
+    assert all(by[r.i][9] == by[r.j][9] and r.i < r.j for r in got if r.kind == "copy")
+    linked = {(r.i, r.j): r.similarity for r in got if r.kind == "pair"}
+    first = set(by) - {r.j for r in got if r.kind == "copy"}
+    fn = lambda b: next((t[9:] for t in b[10] if t.startswith("function:")), "")
+    for i in first:
+        for j in first:
+            a, b = by[i], by[j]
+            if i < j and a[9] and b[9] and a[2:4] == b[2:4] and min(a[8], b[8]) / max(a[8], b[8]) >= 0.5 and not (fn(a) and fn(a) == fn(b) and a[5] == b[5]):
+                s = structural(a[9], b[9])
+                assert (abs(linked.pop((i, j)) - s) < 1e-9) if s >= 0.85 else (i, j) not in linked
+    assert not linked
+
+
+def test_ended_jobs_expire(spark, tmp_path):
+    schema = "job_id long, event_id long, ts timestamp, event string"
+    days = [[(1, 1, 0, "queued"), (1, 2, 0, "running"), (1, 3, 0, "completed"), (2, 4, 0, "queued")], [(2, 5, 10, "running")], [(3, 6, 20, "queued")]]
+    for k, rows in enumerate(days):
+        made = spark.createDataFrame([(j, e, d, x) for j, e, d, x in rows], "job_id long, event_id long, d long, event string")
+        made.select("job_id", "event_id", F.timestamp_seconds(F.col("d") * 86_400 + F.col("event_id")).alias("ts"), "event").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    schema = spark.read.parquet(str(tmp_path / "in" / "0")).schema
+    stream = lifecycle.read_events(spark, str(tmp_path / "in" / "*"), schema)
+    out = catalog.drain(lifecycle.job_states(stream, keep_seconds=86_400.0), "update").orderBy("batch").collect()
+    last = {r.job_id: r.status for r in out}
+    assert last == {1: "expired", 2: "running", 3: "queued"}
+
+
+def test_step_files(spark):
+    steps = [
+        (1, 1, "Update import from './old'", None),
+        (1, 2, "Replace calls to fetchAll", "no path"),
+        (1, 3, "Add import helper", None),
+        (1, 4, "Remove duplicate declaration of helper", "// src/named.ts\nx"),
+        (2, 1, "Remove declaration of helper", ""),
+        (2, 2, "Add import other", "// lib/a.jsx"),
+        (3, 1, "Add import lonely", None),
+        (3, 2, "Think", None),
+        (3, 3, None, None),
+    ]
+    files = [("a.ts", 'import x from "./old";\nfetchAll (1); fetchAll(2)'), ("b.ts", "refetchAll(1); const  helper = 1"), ("c.ts", "myfetchAll; class helper2 {}"), ("d.ts", None)]
+    got = scanners.step_files(spark.createDataFrame(steps, "suggestion_id int, step_no int, text string, example string"), spark.createDataFrame(files, "file_path string, content string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "a.ts"), (1, 2, "a.ts"), (1, 3, "a.ts"), (1, 4, "src/named.ts"), (2, 1, "b.ts"), (2, 2, "lib/a.js")]  # the path ends at the first ending that fits
