@@ -213,8 +213,13 @@ class _Encoder:
     its words' ids in order (tests hold this against whole texts). Arrow splits the texts and numbers the words.
     Plain words, Latin-1 letters with ASCII symbols behind them, are at most two pre-tokens, which go straight to
     the library's BPE model; any other word goes through the whole tokenizer.
+
+    Not every tokenizer file is like that. ``_PROBES`` are tried when the file is opened: where they show that words
+    aren't independent, whole texts are encoded; where plain words aren't two pieces, every word is tokenized in whole.
     """
 
+    _PROBES = (*LETTERS, *SYMBOLS, "Hello,", "WORLD!?", "straße.", "Été;", "a<|>", "(x", "...", "foo_bar", "na-ive&&")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -224,6 +229,10 @@ class _Encoder:
         self.table = str.maketrans({c: "".join(p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
         self.pieces: dict[str, list[int]] = {}
         self.others: dict[str, list[int]] = {}
+        alone = [self._other(p) for p in self._PROBES]
+        flat = [i for ids in alone for i in ids]
+        self.by_word = all(self._other(gap.join(self._PROBES)) == flat for gap in (" ", "\n", "\t", " \r\n ", "\u00a0"))
+        self.by_piece = self.by_word and all(self._plain(p) == ids for p, ids in zip(self._PROBES, alone) if re.match(PLAIN, p))
 
     @staticmethod
     def _split(texts: pa.ChunkedArray) -> tuple[pa.ChunkedArray, np.ndarray]:
@@ -242,12 +251,16 @@ class _Encoder:
     def _piece(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.table))] if piece else []
 
+    def _plain(self, word: str) -> list[int]:
+        """The ids of a plain word: of its letters, then of its symbols."""
+        return self._piece(word.rstrip(SYMBOLS).lower()) + self._piece(word.lstrip(LETTERS))
+
     def _other(self, word: str) -> list[int]:
         return self.whole.encode(word, add_special_tokens=False).ids
 
     def _vocabulary(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each word, and all their ids joined."""
-        plain = pc.match_substring_regex(words, PLAIN)
+        plain = pc.match_substring_regex(words, PLAIN if self.by_piece else "^$")
         known, others = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
         heads, tails = pc.utf8_lower(pc.utf8_rtrim(known, SYMBOLS)), pc.utf8_ltrim(known, LETTERS)
         pieces, at = _numbered(pa.chunked_array([heads, tails, pa.array([""])]))
@@ -263,6 +276,9 @@ class _Encoder:
 
     def __call__(self, texts: pa.ChunkedArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end_id``, and the count of each."""
+        if not self.by_word:
+            lists = [[*self._other(t or ""), end_id] for t in texts.to_pylist()]
+            return np.fromiter((i for x in lists for i in x), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
         split, counts = self._split(texts)
         words, at = _numbered(split)
         sizes, flat = self._vocabulary(words)

@@ -82,6 +82,21 @@ def test_words_equal_library():
     same_ids([])
 
 
+def test_other_tokenizers_equal_library():
+    """A file whose pre-tokens hold white space is read by whole texts; without plain pieces, by whole words."""
+    texts = ["Hello, World!  It's 42.", "don't été&&&\n\nx ", "", None]
+    path = P.path("byte_bpe_50k.json")
+    other, tok = wm._Encoder(path), Tokenizer.from_file(path)
+    assert not other.by_word and encoders()[1].by_piece
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    ids, counts = other(pa.chunked_array([pa.array(texts)]), 2)
+    assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+    slow = wm._Encoder(PATH)
+    slow.by_piece = False
+    want = [encoders()[0].encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert slow(pa.chunked_array([pa.array(texts)]), 2)[0].tolist() == sum(want, [])
+
+
 def test_white_space_equals_library():
     odd = [chr(i) for i in [*range(1, 0x21), *range(0x7F, 0xA1), 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
     same_ids([f"ab{c}cd {c} x{c}" for c in odd])  # with separators among them
