@@ -8,6 +8,9 @@ import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import test_decontaminate
+import test_lexical_search
+import test_variants
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
@@ -32,7 +35,9 @@ def folder(tmp_path_factory, odd_docs):
     pq.write_table(pa.table({n: pa.array(list(c), t) for (n, t), c in zip((("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())), zip(*labels))}), top / "labels.parquet")
     urls = ["https://A.Example.NET/en/x?q#f", "http://example.net/EN", "http://b.example.com/de/1", "http://c.org/fr/", "http://freecasinobets.com/play", "http://river.com/", None, "no scheme", "http://river.com/"]
     pq.write_table(pa.table({"page_id": list(range(len(urls))), "url": pa.array(urls, pa.string()), "html": pa.array([None] * len(urls), pa.string())}), top / "pages.parquet")
-    return str(top), sorted(rows)
+    items = [(1, "the river0 of"), (2, None), (3, rows[7][1][:90]), (4, "café 42 absent"), (5, "")]
+    pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())}), top / "benchmark.parquet")
+    return str(top), sorted(rows), items
 
 
 def run(spark, folder, name, columns):
@@ -154,3 +159,20 @@ def test_op10(spark, folder):
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or ""))
+
+
+def test_op11(spark, folder):
+    got = run(spark, folder, "op11_lexical_search", {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"})
+    assert sorted(map(tuple, got), key=str) == test_lexical_search.brute([r[:2] for r in folder[1]], folder[2])
+
+
+def test_op12(spark, folder):
+    got = run(spark, folder, "op12_spelling_variants", {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"})
+    assert sorted(map(tuple, got)) == test_variants.brute([r[:2] for r in folder[1]])
+
+
+def test_op13(spark, folder):
+    columns = {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"}
+    got = run(spark, folder, "op13_decontamination", columns)
+    want = test_decontaminate.brute([r[:2] for r in folder[1]], folder[2])
+    assert sorted(map(tuple, got), key=str) == want and any(r[5] for r in want)
