@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +45,53 @@ def sequence_ids(rows: DataFrame, at: str, order: str, lead: str = "job") -> Dat
     return rows.withColumn("id", F.concat(F.lit(f"{lead}-"), ms.cast("string"), F.when(nth > 0, F.concat(F.lit("-"), nth.cast("string"))).otherwise("")))
 
 
+def _stems(id_: str, most: int) -> Column:
+    """The ids that ``id_`` may be a suffixed form of: one, two ... trailing ``-1`` to ``-most`` dropped, and itself."""
+    parts = F.split(F.col(id_), "-")
+    k = F.size(parts)
+    suffix = lambda p: p.rlike("^[1-9][0-9]{0,8}$") & (F.when(p.rlike("^[1-9][0-9]{0,8}$"), p).cast("int") <= most)
+    cuts = F.filter(F.sequence(F.lit(0), k - 1), lambda n: F.forall(F.slice(parts, k - n + 1, n), suffix))
+    return F.transform(cuts, lambda n: F.array_join(F.slice(parts, 1, k - n), "-"))
+
+
+def take_id(asked: str, used: set[str], most: int) -> str | None:
+    """The asked id, or it with the first of ``-1`` to ``-most`` that is not in use; null if all are. It is in use then."""
+    for k in range(most + 1):
+        made = f"{asked}-{k}" if k else asked
+        if made not in used:
+            used.add(made)
+            return made
+    return None
+
+
 def unique_ids(rows: DataFrame, id_: str, order: str, most: int = 100) -> DataFrame:
-    """``rows`` with ``unique_id``: the id, ``-1``, ``-2`` ... for its repeats in ``order``; null beyond ``most``."""
-    nth = F.row_number().over(Window.partitionBy(id_).orderBy(order)) - 1
-    return rows.withColumn("unique_id", F.when(nth == 0, F.col(id_)).when(nth <= most, F.concat(F.col(id_), F.lit("-"), nth.cast("string"))))
+    """``rows`` with ``unique_id``: in ``order``, the id, or with the first suffix that no earlier row's id has; null
+    where all ``most`` are used.
+
+    Only rows that may meet are taken in turn: an id that is asked for twice, and the ids that are suffixed forms of
+    it, are a family. A family's rows are sorted by Spark and pass through a task with the ids in use, which are at
+    most ``most`` and one for each distinct id. All other rows keep their id. Null ids stay null. ``order`` has no ties.
+    """
+    ids = rows.groupBy(F.col(id_).alias("__asked")).agg(F.count("*").alias("__n")).filter("__asked IS NOT NULL")
+    stems = ids.select("__asked", F.explode(_stems("__asked", most)).alias("__stem"))
+    twice = ids.filter("__n > 1").select(F.col("__asked").alias("__stem"))
+    family = stems.join(twice, "__stem").groupBy("__asked").agg(F.min_by("__stem", F.length("__stem")).alias("__family"))
+    told = rows.join(family, F.col(id_) == F.col("__asked"), "left").drop("__asked")
+    alone = told.filter("__family IS NULL").withColumn("unique_id", F.col(id_)).drop("__family")
+    place = [i for i, c in enumerate(told.columns) if c == id_][0]
+
+    def run(batches):
+        last, used = None, set()
+        for b in batches:
+            made = []
+            for key, asked in zip(b.column(b.num_columns - 1).to_pylist(), b.column(place).to_pylist()):
+                if key != last:
+                    last, used = key, set()
+                made.append(take_id(asked, used, most))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.string())], [*b.schema.names[:-1], "unique_id"])
+
+    mixed = told.filter("__family IS NOT NULL").repartition("__family").sortWithinPartitions("__family", order)
+    return alone.unionByName(mixed.mapInArrow(run, alone.schema))
 
 
 def automatable(suggestions: DataFrame, least: float = 50.0) -> DataFrame:

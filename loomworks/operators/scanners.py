@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import scoring, text
 
 
 def lines(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -148,40 +148,20 @@ def inject_after_heading(content: Column, block: Column) -> Column:
     return F.array_join(F.concat(F.slice(rows, 1, at), F.array(block), F.slice(rows, at + 1, F.size(rows) + 1)), "\n")
 
 
-#: Kinds of migration steps by their text, in the order in which they are tried.
-STEP_KINDS = (("update-import", r"(?i)update\s+imports?\s+from\s+'([^']+)'"), ("replace-call", r"(?i)replace\s+calls?\s+to\s+(\w+)"), ("remove-declaration", r"(?i)remove\s+(?:duplicate\s+)?(?:declaration\s+of\s+)?(\w+)"), ("add-import", r"(?i)add\s+import\s+(\w+)"))
+def block_names(blocks: DataFrame, lines_: DataFrame, key: str = "file_path", window: int = 10) -> DataFrame:
+    """``blocks`` (key, line_start, code ...) with ``function_name``: the name in the code itself, else the nearest
+    declaration at ``line_start`` or up to ``window`` + 1 lines above it in the file's ``lines_`` (key, line_no, line).
 
-
-def step_kind(text: Column) -> Column:
-    """Struct (kind, subject) of a migration step; nulls if no pattern fits."""
-    out = F.lit(None).cast("struct<kind:string,subject:string>")
-    for kind, pattern in reversed(STEP_KINDS):
-        out = F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 1).alias("subject"))).otherwise(out)
-    return out
-
-
-def step_files(steps: DataFrame, files: DataFrame) -> DataFrame:
-    """(suggestion_id, step_no, file_path): the files that each migration step of (suggestion_id, step_no, text, example) is for.
-
-    A path in the comment that an example begins with names the file; it stops at the first ending that fits (``.jsx``
-    is read as ``.js``), as in the reference design. Other steps are for the files (file_path,
-    content) that import, call or declare their subject: files are cut into these mentions, which join the steps on
-    kind and subject. Added imports without a path are for all files so found for their suggestion. Steps of no kind,
-    and nulls, are for none; rows are distinct.
+    Declarations are few lines; they and the blocks without a name of their own meet in buckets of ``window`` + 1 lines,
+    a block's bucket and the one before. Null or empty code, and blocks without a line, have no name but their own.
     """
-    path = F.regexp_extract("example", r"^//\s*(.+?\.(?:js|ts|jsx|tsx))", 1)
-    told = steps.select("suggestion_id", "step_no", F.coalesce(path, F.lit("")).alias("path"), step_kind(F.col("text")).alias("s"))
-    told = told.select("suggestion_id", "step_no", "path", F.col("s.kind").alias("kind"), F.col("s.subject").alias("subject"))
-    named = told.filter("path <> ''").select("suggestion_id", "step_no", F.col("path").alias("file_path"))
-    found = lambda kind, pattern: F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("subject")))
-    mentions = F.concat(
-        found("update-import", r"from\s+['\"]([^'\"]+)['\"]"),
-        found("replace-call", r"\b(\w+)\s*\("),
-        found("remove-declaration", r"(?:function|const|let|var|class)(?=\s+(\w+))"),
-    )
-    at = files.select("file_path", F.inline(F.array_distinct(mentions)))
-    other = told.filter("path = ''")
-    matched = other.join(at, ["kind", "subject"]).select("suggestion_id", "step_no", "file_path")
-    added = other.filter("kind = 'add-import'").select("suggestion_id", "step_no")
-    joined = added.join(matched.select("suggestion_id", "file_path").distinct(), "suggestion_id")
-    return named.unionByName(matched).unionByName(joined).distinct()
+    wide = window + 1
+    own = blocks.withColumn("__own", text.function_name(F.col("code")))
+    named = lines_.select(F.col(key).alias("__key"), F.col("line_no").alias("__no"), text.function_name(F.col("line")).alias("__name")).filter("__name IS NOT NULL")
+    named = named.withColumn("__bucket", F.floor(F.col("__no") / wide))
+    asks = own.filter("__own IS NULL AND code <> '' AND line_start > 0").select(F.col(key).alias("__key"), F.col("line_start").alias("__line")).distinct()
+    asks = asks.withColumn("__bucket", F.explode(F.array(F.floor(F.col("__line") / wide), F.floor(F.col("__line") / wide) - 1)))
+    met = asks.join(named, ["__key", "__bucket"]).filter((F.col("__no") <= F.col("__line")) & (F.col("__no") >= F.col("__line") - window))
+    found = met.groupBy("__key", "__line").agg(F.max_by("__name", "__no").alias("__found"))
+    able = (own[key] == found["__key"]) & (own["line_start"] == found["__line"]) & F.col("__own").isNull() & (F.col("code") != "")
+    return own.join(found, able, "left").select(*[own[f"`{c}`"] for c in blocks.columns], F.coalesce("__own", "__found").alias("function_name"))

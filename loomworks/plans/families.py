@@ -318,7 +318,7 @@ def stream_rolling_counts(spark, sf_dir):
 @query("WITH RECURSIVE j AS (SELECT event_id AS id, CASE WHEN event_id % 4 <> 0 AND event_id > 3 THEN event_id - 1 END AS up FROM events), c AS (SELECT id, id AS root, 0 AS depth, up FROM j UNION ALL SELECT c.id, j.id, c.depth + 1, j.up FROM c JOIN j ON c.up = j.id) SELECT id, arg_max(root, depth) AS root, CAST(max(depth) AS INTEGER) AS depth FROM c GROUP BY id")
 def retry_lineage(spark, sf_dir):
     n = F.col("event_id")
-    return lifecycle.retry_lineage(table(spark, sf_dir, "events").select(n.alias("id"), F.when((n % 4 != 0) & (n > 3), n - 1).alias("retried_from")), 5)
+    return lifecycle.retry_lineage(table(spark, sf_dir, "events").select(n.alias("id"), F.when((n % 4 != 0) & (n > 3), n - 1).alias("retried_from")))
 
 
 @query(f"WITH {JOBS_SQL} SELECT id, status FROM jobs WHERE status = 'failed' AND pipeline_id = 'p4' ORDER BY created_at DESC, id LIMIT 30")

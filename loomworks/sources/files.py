@@ -129,14 +129,15 @@ def invalid_match() -> Column:
 
 
 def validate_matches(matches: DataFrame, most: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(good, bad with ``problem``). The reference rejects the whole input if any is bad: see ``strict``."""
-    marked = matches.withColumn("problem", invalid_match())
+    """(good, bad with ``problem``). Of an input of more than ``most`` matches all are bad. See ``strict``."""
+    many = matches.agg((F.count("*") > most).alias("many"))  # one row
+    marked = matches.join(F.broadcast(many)).withColumn("problem", F.coalesce(invalid_match(), F.when(F.col("many"), "too many"))).drop("many")
     return marked.filter("problem IS NULL").drop("problem"), marked.filter("problem IS NOT NULL")
 
 
-def strict(matches: DataFrame) -> DataFrame:
-    """All matches, or none if any is bad."""
-    good, bad = validate_matches(matches)
+def strict(matches: DataFrame, most: int = 50_000) -> DataFrame:
+    """All matches, or none if any is bad or they are more than ``most``."""
+    good, bad = validate_matches(matches, most)
     return good.join(bad.select(F.lit(True).alias("any")).limit(1), F.lit(True), "left_anti")
 
 
@@ -255,3 +256,27 @@ def html_table(rows: DataFrame, columns: list[str], most: int = 50) -> str:
     head = "".join(f"<th>{escape(c)}</th>" for c in columns)
     body = "".join("<tr>" + "".join(f"<td>{escape(str(r[c]))}</td>" for c in columns) + "</tr>" for r in rows.select(*columns).limit(most).collect())
     return f"<table><tr>{head}</tr>{body}</table>"
+
+
+#: Folders that a walk for repositories does not enter.
+NOT_WALKED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".nuxt", "vendor", "__pycache__", ".venv", "venv", "target", ".idea", ".vscode", "jobs")
+
+
+def repository_roots(paths: DataFrame, base: str, depth: int = 10, excluded=NOT_WALKED) -> DataFrame:
+    """(path, relative, name, depth) of the repositories that a walk from ``base`` finds in a listing of ``paths`` (path).
+
+    A folder with something below its ``.git`` is a repository; the walk stops there, so those inside another are not
+    found. It enters no hidden and no ``excluded`` folder, and no folder more than ``depth`` levels below ``base``. All
+    folders above a repository are looked up among the repositories by their paths; no folder is walked.
+    """
+    base = base.rstrip("/")
+    inside = F.col("path").startswith(base + "/") & F.col("path").contains("/.git/")
+    below = paths.filter(inside).select(F.substring_index("path", "/.git/", 1).alias("root")).filter(F.length("root") >= len(base)).distinct()
+    parts = F.filter(F.split(F.substring(F.col("root"), len(base) + 2, 1 << 20), "/"), lambda x: x != "")
+    able = below.withColumn("parts", parts).filter(F.size("parts") <= depth)
+    able = able.filter(~F.exists("parts", lambda x: x.startswith(".") | x.isin(*excluded)))
+    above = able.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda k: F.concat(F.lit(base), F.array_join(F.transform(F.slice("parts", F.lit(1), k), lambda x: F.concat(F.lit("/"), x)), "")))).alias("up")).filter("up <> root")
+    nested = above.join(able.select(F.col("root").alias("up")), "up", "left_semi").select("root").distinct()
+    top = able.join(nested, "root", "left_anti")
+    name = F.substring_index("root", "/", -1)
+    return top.select(F.col("root").alias("path"), F.coalesce(F.nullif(F.array_join("parts", "/"), F.lit("")), name).alias("relative"), name.alias("name"), F.size("parts").alias("depth"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import Rounds
+
 #: The transitions that a job may take.
 NEXT = {"": ("queued",), "queued": ("running", "cancelled", "paused"), "running": ("completed", "failed", "cancelled", "paused"), "paused": ("queued", "running", "cancelled"), "completed": (), "failed": ("queued",), "cancelled": ()}
 #: States that retention may forget.
@@ -122,7 +124,7 @@ def _advance_and_expire(keep_ms: int):
         frames = list(batches)
         yield from _advance(key, iter(frames), state)
         if state.get[0] in ENDED:
-            last = max(int(f["ts"].max().timestamp() * 1000) for f in frames)
+            last = max(int(f["at_ms"].max()) for f in frames)
             state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
 
     return run
@@ -135,7 +137,7 @@ def job_states(events: DataFrame, keep_seconds: float | None = None, late: str =
     watermark (``late``) has passed; a later event of it starts anew. Without, state is kept for ever.
     """
     if keep_seconds is not None:
-        grouped = events.withWatermark("ts", late).groupBy("job_id")
+        grouped = events.withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts")).groupBy("job_id")
         return grouped.applyInPandasWithState(_advance_and_expire(int(keep_seconds * 1000)), JOB_OUT, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return events.groupBy("job_id").applyInPandasWithState(_advance, JOB_OUT, JOB_STATE, "update", GroupStateTimeout.NoTimeout)
 
@@ -191,12 +193,22 @@ def breaker_states(events: DataFrame, threshold: int = 3, rest_seconds: float =
     return rows.mapInPandas(run, BREAKER_OUT)
 
 
-def retry_lineage(jobs: DataFrame, most: int = 10) -> DataFrame:
-    """(id, root, depth): the first job that each one retries, over ``retried_from``, at most ``most`` steps."""
-    out = jobs.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("retried_from").alias("up"))
-    parents = jobs.select(F.col("id").alias("pid"), F.col("retried_from").alias("pup"))
-    for _ in range(most):
-        found = out.join(parents, out["up"] == parents["pid"], "left")
-        hit = F.col("pid").isNotNull()
-        out = found.select("id", F.when(hit, F.col("pid")).otherwise(F.col("root")).alias("root"), (F.col("depth") + hit.cast("int")).alias("depth"), F.when(hit, F.col("pup")).alias("up"))
-    return out.drop("up")
+def retry_lineage(jobs: DataFrame) -> DataFrame:
+    """(id, root, depth): the first job that each one retries, over ``retried_from``, and how many steps away it is.
+
+    List ranking: each round every job jumps to where the job it points at points, and adds that one's steps, so the
+    rounds are the logarithm of the longest chain. A parent that is not there is no step. Jobs on a cycle, or behind
+    one, have no first job: their root and depth are null.
+    """
+    rounds = Rounds(jobs.sparkSession)
+    there = jobs.select(F.col("id").alias("up")).distinct()
+    linked = jobs.select("id", F.col("retried_from").alias("up")).join(there, "up", "left_semi")
+    now = rounds.put(jobs.select("id").join(linked, "id", "left").select("id", F.coalesce("up", "id").alias("root"), F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.lit(True).alias("moved")))
+    longest, reached = now.count(), 1
+    while reached <= 2 * longest and not now.filter("moved").isEmpty():
+        up = now.select(F.col("id").alias("at"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        now = rounds.put(now.join(up, F.col("root") == F.col("at")).select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        rounds.drop(rounds.n - 1)
+        reached *= 2
+    whole = ~F.col("moved")
+    return now.select("id", F.when(whole, F.col("root")).alias("root"), F.when(whole, F.col("depth")).alias("depth"))

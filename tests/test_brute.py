@@ -292,20 +292,3 @@ def test_ended_jobs_expire(spark, tmp_path):
     out = catalog.drain(lifecycle.job_states(stream, keep_seconds=86_400.0), "update").orderBy("batch").collect()
     last = {r.job_id: r.status for r in out}
     assert last == {1: "expired", 2: "running", 3: "queued"}
-
-
-def test_step_files(spark):
-    steps = [
-        (1, 1, "Update import from './old'", None),
-        (1, 2, "Replace calls to fetchAll", "no path"),
-        (1, 3, "Add import helper", None),
-        (1, 4, "Remove duplicate declaration of helper", "// src/named.ts\nx"),
-        (2, 1, "Remove declaration of helper", ""),
-        (2, 2, "Add import other", "// lib/a.jsx"),
-        (3, 1, "Add import lonely", None),
-        (3, 2, "Think", None),
-        (3, 3, None, None),
-    ]
-    files = [("a.ts", 'import x from "./old";\nfetchAll (1); fetchAll(2)'), ("b.ts", "refetchAll(1); const  helper = 1"), ("c.ts", "myfetchAll; class helper2 {}"), ("d.ts", None)]
-    got = scanners.step_files(spark.createDataFrame(steps, "suggestion_id int, step_no int, text string, example string"), spark.createDataFrame(files, "file_path string, content string"))
-    assert sorted(map(tuple, got.collect())) == [(1, 1, "a.ts"), (1, 2, "a.ts"), (1, 3, "a.ts"), (1, 4, "src/named.ts"), (2, 1, "b.ts"), (2, 2, "lib/a.js")]  # the path ends at the first ending that fits
