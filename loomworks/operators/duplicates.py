@@ -2,7 +2,7 @@
 
 Blocks have ``ord`` (a total order), ``block_id``, ``pattern_id``, ``category``, ``language``, ``file_path``,
 ``repository``, ``line_start``, ``line_count``, ``source_code`` and ``tags``. Each layer returns ``groups`` (one
-row a group) and ``members`` (``group_id``, ``block_id``): memberships are rows, never one list, so a group may
+row a group) and ``members`` (``group_id``, ``leader``, ``block_id``): memberships are rows, never one list, so a group may
 be of any size.
 
 The reference order is greedy: blocks in order become leaders unless an earlier leader has taken them, and a
@@ -40,13 +40,19 @@ def complex_blocks(blocks: DataFrame, min_lines: int = 1, min_tokens: int = 5) -
 
 def _groups(members: DataFrame, method: str, prefix: str = "dg_") -> DataFrame:
     """Group rows from ``members`` (blocks with ``group`` and ``similarity``): sums, and attributes of the first block."""
+    # By file and repository first: however often a group has one, the distinct ones are counted, never gathered.
     head = F.min_by(F.struct("pattern_id", "category", "language", "file_path", "hash"), "ord").alias("head")
-    made = members.groupBy("group").agg(
-        head,
-        F.count("*").alias("occurrences"),
-        F.sum("line_count").cast("long").alias("total_lines"),
-        *[_distinct(c).alias(n) for c, n in (("repository", "repositories"), ("category", "categories"), ("pattern_id", "patterns"))],
-        _distinct("file_path").alias("files"),
+    one = lambda c: [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
+    parts = members.groupBy("group", "file_path", "repository").agg(head, F.count("*").alias("n"), F.sum("line_count").alias("lines"), F.max("similarity").alias("similarity"), F.min("ord").alias("ord"), *one("category"), *one("pattern_id"))
+    kinds = lambda c: F.when(F.min(f"lo_{c}") == F.max(f"hi_{c}"), 1).otherwise(2)  # noqa: E731  one, or more
+    made = parts.groupBy("group").agg(
+        F.min_by("head", "ord").alias("head"),
+        F.sum("n").alias("occurrences"),
+        F.sum("lines").cast("long").alias("total_lines"),
+        F.countDistinct("repository").alias("repositories"),
+        kinds("category").alias("categories"),
+        kinds("pattern_id").alias("patterns"),
+        F.countDistinct("file_path").alias("files"),
         F.max("similarity").alias("similarity"),
         F.min("ord").alias("ord"),
     )
@@ -71,9 +77,10 @@ def _groups(members: DataFrame, method: str, prefix: str = "dg_") -> DataFrame:
     )
 
 
-def _distinct(column: str) -> Column:
-    """Distinct values by a set in the same aggregation; counting them apart would copy every row once a column."""
-    return F.size(F.collect_set(column)).cast("long")
+def _members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, leader, block_id). A group's id is its first block's hash, which groups of several layers may share;
+    id and ``leader``, the ``ord`` of the first block, name it."""
+    return members.select("group", "block_id").join(groups.select("group", "group_id", F.col("ord").alias("leader")), "group").select("group_id", "leader", "block_id")
 
 
 def exact_groups(blocks: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -93,17 +100,15 @@ def exact_groups(blocks: DataFrame, check: bool = True) -> tuple[DataFrame, Data
             n, m, both = F.count_if(x), F.count_if(y), F.count_if(x & y)
             return (n > 0) & (m > 0) & ~((n == 1) & (m == 1) & (both == 1))
 
-        ok = facts.groupBy("group").agg(
-            (F.countDistinct("chain") == 1).alias("a"),
-            (F.countDistinct(F.nullif("codes", F.lit(""))) <= 1).alias("b"),
-            (F.countDistinct(F.nullif("math", F.lit(""))) <= 1).alias("c"),
-            opposite("===", "!==").alias("d"),
-            opposite("==", "!=").alias("e"),
-        )
+        def alike(c: str):
+            """At most one value besides null, by the least and the greatest."""
+            return F.coalesce(F.min(c) == F.max(c), F.lit(True))
+
+        facts = facts.withColumns({c: F.nullif(c, F.lit("")) for c in ("codes", "math")})
+        ok = facts.groupBy("group").agg(alike("chain").alias("a"), alike("codes").alias("b"), alike("math").alias("c"), opposite("===", "!==").alias("d"), opposite("==", "!=").alias("e"))
         marked = marked.join(ok.filter("a AND b AND c AND NOT d AND NOT e").select("group"), "group", "left_semi")
     groups = _groups(marked, "exact_match")
-    members = marked.join(groups.select("group", "group_id"), "group").select("group_id", "block_id")
-    return groups.drop("group"), members
+    return groups.drop("group"), _members(marked, groups)
 
 
 def leaders(edges: DataFrame) -> DataFrame:
@@ -256,7 +261,7 @@ def structural_groups(blocks: DataFrame, threshold: float = STRUCTURAL) -> tuple
     fits = members.groupBy("group").agg((F.min("line_count") >= 0.5 * F.max("line_count")).alias("lines"), (F.count(place) == F.countDistinct(place)).alias("functions"))
     members = members.join(fits.filter("lines AND functions").select("group"), "group", "left_semi")
     groups = _groups(members, "structural")
-    return groups.drop("group"), members.join(groups.select("group", "group_id"), "group").select("group_id", "block_id")
+    return groups.drop("group"), _members(members, groups)
 
 
 def annotate(blocks: DataFrame) -> DataFrame:
@@ -294,12 +299,12 @@ def semantic_groups(blocks: DataFrame, threshold: float = SEMANTIC) -> tuple[Dat
     scored = led.join(near, ["group", "first"], "left").withColumn("similarity", F.when(F.col("group") == F.col("first"), 1.0).otherwise(F.col("similarity")))
     # The leader is compared to all but itself; copies of its annotation count 1 each.
     weight = F.col("n") - F.when(F.col("group") == F.col("first"), 1).otherwise(0)
-    means = scored.groupBy("group").agg((F.sum(F.col("similarity") * weight) / F.sum(weight)).alias("similarity"))
+    means = scored.groupBy("group").agg(F.try_divide(F.sum(F.col("similarity") * weight), F.sum(weight)).alias("similarity"))
     rows = led.join(means, "group").filter(F.col("similarity").isNotNull()).select("sign", "group", "similarity")
     grouped = signed.join(rows, "sign").select("ord", "group", "similarity")
     members = blocks.join(grouped, "ord").withColumn("hash", text.content_hash(F.col("source_code")))
     groups = _groups(members, "semantic")
-    return groups.drop("group"), members.join(groups.select("group", "group_id"), "group").select("group_id", "block_id")
+    return groups.drop("group"), _members(members, groups)
 
 
 def detect(blocks: DataFrame, threshold: float = STRUCTURAL) -> tuple[DataFrame, DataFrame]:

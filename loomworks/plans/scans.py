@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import errors
 from ..operators import gitlog, migration, reports, scanners, scopes
 from ..sources import files
-from ..streaming import clients, lifecycle, retries
+from ..streaming import clients, retention, retries
 from .catalog import drain, lifecycle_events, query, table
 
 _STEP = "CASE p_partkey % 7 WHEN 0 THEN 'Update import of x from ' || chr(39) || './s' || p_partkey % 100 || chr(39) || ' to \"../lib/t' || p_size || '\"' WHEN 1 THEN 'replace calls to f' || p_partkey % 200 || ' with util.g' || p_size WHEN 2 THEN 'Remove duplicate const c' || p_partkey % 200 || ' from it' WHEN 3 THEN 'Add import ' || chr(39) || '{ a' || p_size || ' }' || chr(39) || ' from \"./n' || p_partkey || '\"' WHEN 4 THEN 'Update import from ./s' || p_size WHEN 5 THEN 'Remove duplicate f' || p_size ELSE p_name END"
@@ -178,3 +178,11 @@ def timed_retries(spark, sf_dir):
     retries.use_timers(spark)
     return drain(retries.retries(_attempts(_events(spark, sf_dir))), "append").drop("batch")
 
+
+
+@query()
+def retained_counters(spark, sf_dir):
+    """Ended jobs that are kept for two days after their end, at the end of each day."""
+    retries.use_timers(spark)
+    told = drain(retention.changes(lifecycle_events(_events(spark, sf_dir)), 2 * 86_400.0), "append")
+    return retention.counters(told).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "status", "n")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomworks.functions import text
-from loomworks.operators import constants, duplicates, scanners
+from loomworks.operators import constants, duplicates
 from loomworks.operators.graph import components
 from loomworks.plans import catalog
 from loomworks.streaming import lifecycle
@@ -206,33 +206,26 @@ def told(layer):
     groups, members = layer
     by = defaultdict(list)
     for r in members.collect():
-        by[r.group_id].append(r.block_id)
-    return sorted((sorted(by[r.group_id]), round(r.similarity, 9)) for r in groups.collect())
+        by[(r.group_id, r.leader)].append(r.block_id)
+    return sorted((sorted(by[(r.group_id, r.ord)]), round(r.similarity, 9)) for r in groups.collect())
 
 
-def test_structural_layer(spark):
-    rows = blocks()
-    fn = lambda b: next((t[9:] for t in b[10] if t.startswith("function:")), "")
+FN = lambda b: next((t[9:] for t in b[10] if t.startswith("function:")), "")
 
-    def alike(a, b):
-        if a[2] != b[2] or a[3] != b[3] or min(a[8], b[8]) / max(a[8], b[8]) < 0.5 or fn(a) and fn(a) == fn(b) and a[5] == b[5]:
-            return None
-        s = structural(a[9], b[9])
-        return s if s >= 0.85 - 1e-12 else None
 
-    def fits(group):
-        places = [(b[5], fn(b)) for b in group if fn(b)]
-        return min(b[8] for b in group) >= 0.5 * max(b[8] for b in group) and len(places) == len(set(places))
+def structurally(a, b):
+    if a[2] != b[2] or a[3] != b[3] or min(a[8], b[8]) / max(a[8], b[8]) < 0.5 or FN(a) and FN(a) == FN(b) and a[5] == b[5]:
+        return None
+    s = structural(a[9], b[9])
+    return s if s >= 0.85 - 1e-12 else None
 
-    want = sorted((ids, round(s, 9)) for ids, s in replay(rows, alike, fits))
-    assert len(want) >= 3 and told(duplicates.structural_groups(spark.createDataFrame(rows, BLOCK))) == want
 
+def compatible(group):
+    places = [(b[5], FN(b)) for b in group if FN(b)]
+    return min(b[8] for b in group) >= 0.5 * max(b[8] for b in group) and len(places) == len(set(places))
 
-def test_semantic_layer(spark):
-    rows = blocks()
-    frame = spark.createDataFrame(rows, BLOCK)
-    ann = {r.ord: r.ann for r in duplicates.annotate(frame).select("ord", "ann").collect()}
 
+def semantically(ann):
     def jaccard(x, y):
         return 1.0 if not x and not y else 0.5 if not x or not y else len(set(x) & set(y)) / len(set(x) | set(y))
 
@@ -244,10 +237,81 @@ def test_semantic_layer(spark):
         s = sum(w * jaccard(p[n], q[n]) for n, w in (("operations", 0.4), ("domains", 0.25), ("patterns", 0.2), ("data_types", 0.15)))
         return s if s >= 0.7 - 1e-12 else None
 
-    want = sorted((ids, round(s, 9)) for ids, s in replay(rows, alike, lambda g: True))
+    return alike
+
+
+def annotations_of(frame):
+    return {r.ord: r.ann for r in duplicates.annotate(frame).select("ord", "ann").collect()}
+
+
+def test_structural_layer(spark):
+    rows = blocks()
+    want = sorted((ids, round(s, 9)) for ids, s in replay(rows, structurally, compatible))
+    assert len(want) >= 3 and told(duplicates.structural_groups(spark.createDataFrame(rows, BLOCK))) == want
+
+
+def test_semantic_layer(spark):
+    rows = blocks()
+    frame = spark.createDataFrame(rows, BLOCK)
+    want = sorted((ids, round(s, 9)) for ids, s in replay(rows, semantically(annotations_of(frame)), lambda g: True))
     assert want and told(duplicates.semantic_groups(frame)) == want
 
 
+def same_meaning(a, b):
+    """The four checks of two blocks of one hash."""
+    chain = lambda c: (lambda n: n if len(n) >= 2 else [])(re.findall(r"\.([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", c))
+    codes = lambda c: set(re.findall(r"(?:res|response)\.status\(([0-9]{3})\)", c))
+    calls = lambda c: {m for m in ("max", "min", "floor", "ceil") if f"Math.{m}" in c}
+
+    def ops(c):
+        return {o for o, yes in (("!==", "!==" in c), ("===", "===" in c), ("!=", "!=" in c and "!==" not in c), ("==", "==" in c and "===" not in c)) if yes}
+
+    if chain(a) != chain(b) or any(f(a) and f(b) and f(a) != f(b) for f in (codes, calls)):
+        return False
+    x, y = ops(a), ops(b)
+    return not any(p in x and q in y or q in x and p in y for p, q in (("===", "!=="), ("==", "!=")))
+
+
+def layered(rows, ann):
+    """All layers in turn over the complex blocks, each on what the layers before left: (method, ids, similarity)."""
+    words = lambda c: len(set(re.findall(r"[A-Za-z0-9_]+", c)))
+    left = [b for b in rows if any(x.strip() for x in b[9].split("\n")) and (words(b[9]) >= 5 or any(w in b[9] for w in text.CONTROL))]
+    by, out = defaultdict(list), []
+    for b in left:
+        by[re.sub(f"{SPACE}+", " ", b[9])].append(b)
+    for g in by.values():
+        if len(g) >= 2 and all(same_meaning(x[9], y[9]) for i, x in enumerate(g) for y in g[i + 1 :]) and good(g, 1.0):
+            out.append(("exact_match", sorted(b[1] for b in g), 1.0))
+    for method, alike, fits in (("structural", structurally, compatible), ("semantic", semantically(ann), lambda g: True)):
+        used = {i for _, ids, _ in out for i in ids}
+        out += [(method, ids, round(s, 9)) for ids, s in replay([b for b in left if b[1] not in used], alike, fits)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_detect_equals_a_serial_replay(spark, seed):
+    rows, rng = blocks(36), random.Random(seed)
+    more = ["x", "if", "  \n", "const a = b === c || d !== e ? f(g) : h;", "const v = Math.max(a1, b1) + Math.min(c1, d1);", "res.status(404).send(a2, b2, c2)", "q.filter(x => x)\n  .map(y => y)", "let t = u == v && w != z;"]
+    for k in range(30):
+        code = rng.choice(more)
+        code = code.replace(" ", rng.choice((" ", "  ", "\n\t", "\u00a0"))) if rng.random() < 0.6 else code
+        i = len(rows)
+        rows.append((i, f"b{i}", rng.choice(("p0", "p1")), rng.choice(("utility", "logger")), "javascript", f"src/n{rng.randrange(3)}.js", f"r{i % 3}", i, code.count("\n") + 1 + 9 * (k % 2), code, [f"function:g{k % 4}"] if k % 3 == 0 else []))
+    frame = spark.createDataFrame(rows, BLOCK)
+    groups, members = duplicates.detect(frame)
+    by = defaultdict(list)
+    for r in members.collect():
+        by[(r.group_id, r.leader)].append(r.block_id)
+    found = groups.collect()
+    got = sorted((r.method, sorted(by[(r.group_id, r.ord)]), round(r.similarity, 9)) for r in found)
+    want = layered(rows, annotations_of(frame))
+    assert got == want and {m for m, *_ in want} >= {"exact_match", "structural"}
+    held = {i: b for i, b in ((b[1], b) for b in rows)}
+    for r in found:
+        own = [held[i] for i in by[(r.group_id, r.ord)]]
+        assert (r.occurrences, r.total_lines, r.files, r.repositories) == (len(own), sum(b[8] for b in own), len({b[5] for b in own}), len({b[6] for b in own}))
+
+
 def test_layers_leave_no_block_twice(spark):
     groups, members = duplicates.detect(spark.createDataFrame(blocks(), BLOCK))
     ids = [r.block_id for r in members.collect()]

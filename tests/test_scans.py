@@ -320,3 +320,36 @@ def test_resolved_ids_equal_a_serial_pass(spark):
     for i, user, *_ in sorted(events()):
         want[i] = reports.take_id(f"u{user % 60}" + (f"-{i % 5 + 1}" if i % 7 == 0 else ""), used, 100)
     assert {r.event_id: r.unique_id for r in scans.resolved_ids(spark, DIR).collect()} == want
+
+
+@needs_tables
+def test_retained_counters_equal_a_serial_replay(spark):
+    kind = {"view": "queued", "click": "running", "purchase": "completed", "error": "failed", "signup": "cancelled"}
+    keep, day = 2 * 86_400_000, 86_400_000
+    held, changes = {}, Counter()
+    for _, job, what, at in events():
+        status, due = held.get(job, ("", None))
+        if due is not None and due <= at:
+            changes[(due // day, status)] -= 1
+            status, due = "", None
+        after = lifecycle.step(status, 0, 0, kind[what])[0]
+        if after != status:
+            changes[(at // day, status)] -= status in lifecycle.ENDED
+            changes[(at // day, after)] += after in lifecycle.ENDED
+            due = at + keep if after in lifecycle.ENDED else None
+        held[job] = after, due
+    last = max(e[3] for e in events()) - 600_000
+    for status, due in held.values():
+        if due is not None and due <= last:
+            changes[(due // day, status)] -= 1
+    n, want = Counter(), {}
+    for d in sorted({d for d, _ in changes if (d + 1) * day <= last}):
+        for s in lifecycle.ENDED:
+            n[s] += changes[(d, s)]
+            want[(d, s)] = n[s]
+    got = {(r.day, r.status): r.n for r in catalog.QUERIES["retained_counters"](spark, DIR).collect()}
+    from datetime import datetime, timezone
+
+    of = lambda d: datetime.fromtimestamp(d * 86_400, timezone.utc).strftime("%Y-%m-%d")
+    assert got and all(want[(d, s)] == got.get((of(d), s), want.get((d - 1, s), want[(d, s)])) for d, s in want) and set(got) <= {(of(d), s) for d, s in want}
+    assert any(c < 0 for c in changes.values())
