@@ -20,10 +20,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's host, path, rule and verdict; words are learned from all documents, the verdict from labelled URLs."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    model = url_filter.learn(url_filter.examples(spark), url_filter.unigrams(documents(spark, sf_dir)))
-    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "segments")
+    """Every page's host, path, rule and verdict; words are learned from all documents, the verdict from what the quality
+    classifier, learned from the labelled documents, says of the pages' texts."""
+    docs, pages = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    quality = quality_pairs.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = url_filter.learn(url_filter.evidence(pages, quality), url_filter.unigrams(docs))
+    return url_filter.judge(pages.drop("html"), model).select("page_id", "host", "path", "rule", "verdict", "segments", "block_score")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,14 @@ URLs that hold a large share of the rows are at most ``HEAVY`` in number, so tho
 by shuffle.
 
 The Bayes model learns from labelled URLs, at most ``TRAIN_ROWS``, each once; which words they have comes from the same
-segmentation. The tables have no labels of URLs, so ``EXAMPLES`` stand in where none are given; no word of them is
-matched as such, and tests hold out hosts of them.
+segmentation. No host, word or label is written here. Where a table of labels is missing, ``evidence`` makes one of the
+pages themselves: a URL is to be blocked if the text of its page is what the quality classifier rejects.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,35 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quality_pairs
 from .common import SharedTables, small_batches, without
 
 LONGEST, TRAIN_ROWS, HEAVY, SALTS = 24, 20_000, 1000, 32
-#: Labelled hosts with a path, invented for this purpose: what web filters usually block (gambling, adult content,
-#: pharmacy spam, link farms, malware, advertising), and plain sites.
-BLOCKED = (
-    "freecasinobets.com/play", "www.casinowin.net/en/", "bestcasinoslots.org/bonus", "online-poker-casino.com/", "bet-win.net/live", "www.livebets.com/en/", "freebets-bonus.org/", "slotsjackpot.com/win",
-    "bingojackpot.net/", "pokerslots.org/play", "bets-online.com/track", "casinobonus.net/en/free", "adult-x.net/", "www.xxxadult.com/live", "adultvideos.org/free", "hotadultchat.com/",
-    "xxxvideos.net/en/", "adultlive.com/x", "livesexchat.net/", "freesexvideos.com/", "cheap-pills.com/buy", "buypillsonline.net/", "www.pillsshop.org/cheap", "cheapviagra.com/pills",
-    "onlinepharmacypills.net/", "viagra-pills.org/buy", "cheapmeds.com/en/", "dietpills.net/win", "spam-farm.org/", "linkfarm.net/links", "seo-spam.com/links", "www.linkspam.org/farm",
-    "buylinks-farm.com/", "spamlinks.net/en/", "clickfarm.org/ads", "spamtraffic.com/", "freecracks.net/keygen", "warez-download.org/crack", "keygencrack.com/", "malware-download.net/free",
-    "crackedgames.org/warez", "virusdownload.com/", "ads-track.com/click", "adtracker.net/track", "clickads.org/banner", "www.bannerads.com/", "trackclick.net/ads", "adserver-click.com/track",
-    "popads.org/banner", "trackads.net/en/",
-)
-PLAIN = (
-    "riverstone.com/en/", "www.citylibrary.org/books", "blog.gardenhome.net/en/", "mountainhotel.com/rooms", "schoolnews.org/en/", "m.dailynews.com/world", "openmaps.org/en/", "www.cookbook.net/recipes",
-    "travelguide.com/de/", "bookshop.org/en/", "oldtown.net/history", "www.musicschool.com/", "weather-report.org/today", "blog.lightwork.com/en/", "greenfarmhouse.net/", "sciencelab.org/papers",
-    "www.healthcare.org/en/", "familydoctor.com/", "trainstation.net/times", "localpaper.com/news", "blog.seaside.org/fr/", "universitypress.net/", "www.artmuseum.org/en/", "footballclub.com/results",
-    "homegarden.net/tools", "codeforum.org/en/", "www.pythonhelp.com/docs", "startrail.net/", "bikeshop.com/repair", "m.filmfestival.org/", "worldhistory.net/en/", "childrensbooks.com/",
-    "www.freesoftware.org/download", "opensource-games.net/", "chessgames.org/play", "blog.wintersport.com/en/", "livestock.net/farm", "farmersmarket.org/", "onlinecourses.com/en/", "www.bestpractice.net/",
-    "cheapflights.com/en/", "clickandlearn.org/", "tracksidephotos.net/", "runningtrack.com/club", "shoplocal.org/", "www.linkinghands.net/", "adventure.com/es/", "readings.org/en/",
-    "m.betterhomes.com/", "pillarchurch.org/fr/",
-)
-EXAMPLES = tuple((f"http://{u}", 1) for u in BLOCKED) + tuple((f"http://{u}", 0) for u in PLAIN)
-#: Words that are common in host names and rare in prose; the model counts each as one of 10,000 words at least.
-HOST_WORDS = (
-    "ads", "adult", "app", "best", "bets", "blog", "buy", "casino", "cheap", "click", "club", "com", "crack", "deal", "download", "farm", "free", "game", "games", "home", "info", "link", "links", "live", "mail", "net", "news",
-    "now", "online", "org", "page", "pills", "play", "poker", "sex", "shop", "site", "slots", "spam", "store", "top", "track", "video", "videos", "viagra", "web", "win", "world", "www", "xxx",
-)
 #: The rules of the contract, as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,11 +105,19 @@ class Model:
     prior: float
 
 
-def unigrams(texts: DataFrame, text_col: str = "text", longest: int = LONGEST, host_words=HOST_WORDS) -> Unigrams:
-    """Counts of all words of 2 to ``longest`` letters, of any script, in all texts, and the host words.
+def is_word(word: str, longest: int = LONGEST) -> bool:
+    """Whether a string is 2 to ``longest`` letters of any script, with combining marks behind the first."""
+    if not 2 <= len(word) <= longest:
+        return False
+    return word.isalpha() or (word[0].isalpha() and all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in word))
+
+
+def unigrams(texts: DataFrame, text_col: str = "text", longest: int = LONGEST) -> Unigrams:
+    """Counts of all words of 2 to ``longest`` letters and marks, of any script, in all texts.
 
     Words are runs without ASCII white space, lower-cased, less the punctuation around them. Null, empty and blank
-    texts have none, repeated rows count each, and a very long text is read whole. Tasks count each batch first.
+    texts have none, repeated rows count each, and a very long text is read whole. Tasks count each batch first. Longer
+    words are left out, as a name's part of that length is more likely several words run together.
     """
     small_batches(texts.sparkSession)
 
@@ -146,17 +130,12 @@ def unigrams(texts: DataFrame, text_col: str = "text", longest: int = LONGEST, h
             by: dict[str, int] = {}
             for w, k in n.items():
                 word = w.strip(b".,;:!?\"'()").decode().lower()
-                if 2 <= len(word) <= longest and word.isalpha():
+                if is_word(word, longest):
                     by[word] = by.get(word, 0) + k
             yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array(list(by.values()), pa.int64())], ["word", "n"])
 
-    tables = SharedTables(texts.sparkSession, "unigrams")
-    counted = tables.put(texts.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    usual = max(1, total // 10_000)
-    own = texts.sparkSession.createDataFrame([(w, usual) for w in host_words], "word string, n bigint")
-    words = tables.put(counted.union(own).groupBy("word").agg(F.max("n").alias("n")))
-    return Unigrams(words, total + usual * len(host_words))
+    counted = SharedTables(texts.sparkSession, "unigrams").put(texts.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    return Unigrams(counted, counted.agg(F.sum("n").alias("n")).first()["n"] or 0)
 
 
 def _joined(left: DataFrame, right: DataFrame, key: str, heavy: int = HEAVY) -> DataFrame:
@@ -236,9 +215,19 @@ def learn(labelled: DataFrame, known: Unigrams, url_col: str = "url", label_col:
     return Model(known, weights, math.log((urls.get(1, 0) + 1) / (urls.get(0, 0) + 2)))
 
 
-def examples(spark: SparkSession, rows=EXAMPLES) -> DataFrame:
-    """(url, block): the labelled URLs that stand in for a table of them."""
-    return spark.createDataFrame(list(rows), "url string, block int")
+def page_text(html: Column) -> Column:
+    """The text of a page: its scripts, styles, comments, tags and character references become blanks."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]+;", " ")
+
+
+def evidence(pages: DataFrame, quality: quality_pairs.Model, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(url, block): 1 where the quality model rejects the text of a URL's page, 0 where it keeps it.
+
+    Pages without a URL or without text tell nothing. A URL whose pages disagree has both labels; ``learn`` leaves it
+    out. Very long pages are judged whole; columns of any other name are not read.
+    """
+    texts = pages.select(F.col(url_col).alias("url"), page_text(F.col(html_col)).alias("text")).filter("url IS NOT NULL AND trim(text) <> ''")
+    return quality_pairs.score(texts, quality).select("url", (1 - F.col("predicted")).alias("block"))
 
 
 def judge(urls: DataFrame, model: Model, rules=RULES, url_col: str = "url") -> DataFrame:

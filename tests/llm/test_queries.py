@@ -34,7 +34,9 @@ def folder(tmp_path_factory, odd_docs):
     labels = [(r[0], int(r[0] < 60), 0) for r in rows if r[0] >= 20]
     pq.write_table(pa.table({n: pa.array(list(c), t) for (n, t), c in zip((("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())), zip(*labels))}), top / "labels.parquet")
     urls = ["https://A.Example.NET/en/x?q#f", "http://example.net/EN", "http://b.example.com/de/1", "http://c.org/fr/", "http://freecasinobets.com/play", "http://river.com/", None, "no scheme", "http://river.com/"]
-    pq.write_table(pa.table({"page_id": list(range(len(urls))), "url": pa.array(urls, pa.string()), "html": pa.array([None] * len(urls), pa.string())}), top / "pages.parquet")
+    urls += [f"http://{'freecasinobets' if i % 2 else 'river'}.com/{i % 3}" for i in range(60)]
+    html = [None] * 9 + [f"<p>{rows[-1][1] if i % 2 else rows[-12][1]}</p>" for i in range(60)]
+    pq.write_table(pa.table({"page_id": list(range(len(urls))), "url": pa.array(urls, pa.string()), "html": pa.array(html, pa.string())}), top / "pages.parquet")
     items = [(1, "the river0 of"), (2, None), (3, rows[7][1][:90]), (4, "café 42 absent"), (5, "")]
     pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())}), top / "benchmark.parquet")
     return str(top), sorted(rows), items

@@ -1,10 +1,11 @@
 import math
+import re
 from itertools import product
 
 import pytest
-
 from pyspark.sql import functions as F
 
+from loomworks.llm import quality_pairs
 from loomworks.llm import url_filter as uf
 
 
@@ -66,7 +67,13 @@ def test_segmentation_equals_brute_force(spark):
 def test_unigrams(known):
     got = {r.word: r.n for r in known.words.collect()}
     assert {w: got[w] for w in ("the", "river", "größe", "日本", "cold")} == {"the": 4, "river": 3, "größe": 1, "日本": 1, "cold": 1}
-    assert got["casino"] == 1 and "a" + "b" * 30 not in got and "x" not in got
+    assert "a" + "b" * 30 not in got and "x" not in got and len(got) == 9
+
+
+def test_words_of_any_script(spark):
+    text = "हिन्दी cafe\u0301 \u0301x naïve a1 ن\u0651ص"
+    got = {r.word for r in uf.unigrams(spark.createDataFrame([(text,)], "text string")).words.collect()}
+    assert got == {"हिन्दी", "cafe\u0301", "naïve", "ن\u0651ص"}
 
 
 def test_bayes_equals_brute_force(spark, known):
@@ -86,22 +93,70 @@ def test_bayes_equals_brute_force(spark, known):
     assert abs(got.block_score - model.prior - sum(want[t] for t in ("casino", "river", "com", "/win", "/0"))) < 1e-6
 
 
-def test_held_out_hosts(spark, known):
-    """Each half of the labelled hosts, judged by a model of the other: 78 of 100 agree, against 50 by chance."""
-    rows = [(*r, i) for i, r in enumerate(uf.EXAMPLES)]
-    frame = spark.createDataFrame(rows, "url string, block int, i int")
-    right = 0
-    for fold in range(2):
-        model = uf.learn(frame.filter(F.col("i") % 2 != fold), known)
-        right += uf.judge(frame.filter(F.col("i") % 2 == fold), model, rules=()).filter((F.col("verdict") == "block") == (F.col("block") == 1)).count()
-    assert right >= 0.75 * len(rows)
+def texts():
+    """Pages of six made-up words: those of ``bad`` ones have junk for text."""
+    good, junk = "The old bridge over the river was built of grey stone, and people walk there. " * 4, "win win win!! $$$ &&& ### click click *** " * 12
+    bad, plain = ("zorka", "blint", "quoff"), ("meadow", "harbor", "window")
+    rows = []
+    for i in range(120):
+        word = (bad + plain)[i % 6]
+        rows.append((i, f"http://{word}{'abc'[i // 6 % 3]}{i % 5}.{word}.com/{i % 7}", f"<html><script>x = '<p>{good}'</script><p>{junk if word in bad else good}&amp;</p></html>"))
+    return rows, bad, plain
+
+
+@pytest.fixture(scope="module")
+def quality(spark):
+    rows, *_ = texts()
+    docs = spark.createDataFrame([(i, h) for i, _, h in rows], "doc_id long, html string").select("doc_id", uf.page_text(F.col("html")).alias("text"))
+    return quality_pairs.train(docs, spark.createDataFrame([(i, int(i % 6 >= 3)) for i, *_ in rows], "doc_id long, quality int"))
+
+
+def test_evidence(spark, quality):
+    rows, bad, _ = texts()
+    odd = [(900, None, rows[0][2]), (901, "http://a/", None), (902, "http://b/", "<p> </p>"), (903, "http://c/", "")]
+    pages = spark.createDataFrame([*rows, *odd], "page_id long, url string, html string").withColumn("score", F.lit("x"))
+    got = uf.evidence(pages, quality).collect()
+    assert sorted((r.url, r.block) for r in got) == sorted((u, int(any(w in u for w in bad))) for _, u, _ in rows)
+
+
+def test_held_out_by_word(spark, known, quality):
+    """A model knows the words of its own hosts and no others: on hosts of other words only what both halves share counts."""
+    rows, bad, plain = texts()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    words = uf.Unigrams(spark.createDataFrame([(w, 10) for w in bad + plain], "word string, n bigint"), 1000)
+    own, other = {bad[0], bad[1], plain[0]}, {bad[2], plain[1], plain[2]}
+    side = lambda half: F.col("url").rlike("|".join(half))
+    model = uf.learn(uf.evidence(frame.filter(side(own)), quality), words)
+    assert own.isdisjoint(other) and own <= model.weights.keys() and other.isdisjoint(model.weights)
+    seen = uf.judge(frame.filter(side(own)).drop("html"), model, rules=()).collect()
+    told = [(r.verdict == "block", any(w in r.url for w in bad)) for r in seen]
+    assert sum(a and b for a, b in told) == sum(b for _, b in told) == sum(a for a, _ in told)  # precision and recall 1
+    for r in uf.judge(frame.filter(side(other)).drop("html"), model, rules=()).collect():
+        shared = [t for t in r.segments.split() if t in model.weights] + ["/0"]
+        assert other & set(r.segments.split()) and abs(r.block_score - model.prior - sum(model.weights[t] for t in shared)) < 1e-6
+
+
+def test_no_word_of_the_tables_in_code():
+    """Nothing of a host is written in the code: no name of the tables' hosts is found there but the rules' own."""
+    import inspect
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no tables")
+    import pyarrow.parquet as pq
+
+    hosts = {u.split("://")[1].split("/")[0].lower() for u in pq.read_table(path, columns=["url"])["url"].to_pylist() if u and "://" in u}
+    names = {n for h in hosts for n in re.findall("[a-z]{4,}", h)} - {"example", "blog"}
+    code = inspect.getsource(uf).lower()
+    assert not [n for n in names if re.search(rf"(?<![a-z]){n}(?![a-z])", code)] and len(names) > 50
 
 
 def test_hot_names_and_urls(spark, known, monkeypatch):
     """With every key too frequent, or none, the joins give the same rows."""
     rows = [(i, "http://a.example.com/en/" if i % 3 else f"http://casino{'abcde'[i % 5]}.example.com/{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    model = uf.learn(uf.examples(spark), known)
+    model = uf.learn(spark.createDataFrame([(u, int("casino" in u)) for _, u in rows[:20]], "url string, block int"), known)
     got = []
     for heavy in (1, 10**9):
         monkeypatch.setattr(uf._joined, "__defaults__", (heavy,))
