@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
 
 
 def top_tokens(occurrences: DataFrame, n: int = 30) -> DataFrame:
@@ -60,11 +57,6 @@ def peer_pairs(occurrences: DataFrame, threshold: float = 0.35) -> DataFrame:
     return near.union(same)
 
 
-def clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, cluster): the smallest id reachable over ``pairs`` (i, j), for every row of ``nodes`` (id)."""
-    return components(nodes, pairs)
-
-
 def shared_tokens(members: DataFrame, share: float = 0.6, most: int = 10) -> DataFrame:
     """(cluster, token, freq, rank): tokens of at least ``share`` of a cluster's members (cluster, tokens)."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
@@ -74,13 +66,15 @@ def shared_tokens(members: DataFrame, share: float = 0.6, most: int = 10) -> Dat
     return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("n")
 
 
-def repeated_values(lines: DataFrame, line: str = "line", most: int = 20) -> DataFrame:
-    """Right sides of exported constants that two or more names share, most first."""
-    pattern = r"^\s*export\s+const\s+([A-Z][A-Z0-9_]*)\s*(?::[^=]+)?=\s*([0-9][0-9_.]*(?:\s*\*\s*[A-Za-z0-9_.]+)*)\s*;?\s*$"
-    found = lines.filter(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).alias("name"), F.regexp_extract(line, pattern, 2).alias("value"))
-    return found.groupBy("value").agg(F.countDistinct("name").alias("n")).filter("n > 1").orderBy(F.desc("n"), "value").limit(most)
+#: Right sides that are a number, a name, or two of these with an operator between.
+_KEPT = r"^(?:-?[0-9][0-9_]*(?:\.[0-9]+)?|[A-Z0-9_]+|[A-Z0-9_]+\s*[*/+\-]\s*[A-Z0-9_]+)$"
 
 
-def least_shared(n: int, share: float) -> int:
-    """Members that must hold a token for it to count as shared."""
-    return max(1, math.ceil(n * share))
+def repeated_values(lines: DataFrame, line: str = "line", most: int = 20) -> DataFrame:
+    """(value, n, names): the right sides that two or more exported constants have, most first, the greater value first
+    among equals; the names in order. Blanks and semicolons at a value's end are no part of it."""
+    pattern = r"^export const ([A-Z0-9_]+)\s*=\s*(.*)$"
+    value = F.regexp_replace(F.regexp_extract(line, pattern, 2), r"[\s;]+$", "")
+    found = lines.filter(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).alias("name"), value.alias("value")).filter(F.col("value").rlike(_KEPT))
+    top = found.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), F.desc("value")).limit(most)
+    return found.join(F.broadcast(top), "value").groupBy("value", "n").agg(F.array_sort(F.collect_list("name")).alias("names")).orderBy(F.desc("n"), F.desc("value"))

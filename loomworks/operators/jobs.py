@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +61,19 @@ def page_by_completion(jobs: DataFrame, limit: int = 10, offset: int = 0) -> Dat
     return jobs.orderBy(F.col("completed_at").desc_nulls_last(), F.col("created_at").desc(), F.col("id")).offset(offset).limit(limit)
 
 
-def page_parameters(limit=None, offset=None, most: int = PAGE_MOST, default: int = PAGE_LIMIT) -> tuple[int, int]:
-    """Limit within 1 and ``most`` and offset of 0 or more, from any text or number."""
+def leading_integer(x) -> int | None:
+    """The integer that the text of ``x`` begins with, after blanks; hexadecimal behind 0x. None if there is none."""
+    found = re.match(r"\s*([+-]?)(?:0[xX]([0-9a-fA-F]+)|([0-9]+))", str(x))
+    if not found:
+        return None
+    value = int(found[2], 16) if found[2] else int(found[3])
+    return -value if found[1] == "-" else value
 
-    def number(x, other: int) -> int:
-        try:
-            return int(float(x))
-        except (TypeError, ValueError):
-            return other
 
-    return max(1, min(most, number(limit, default) or default)), max(0, number(offset, 0))
+def page_parameters(limit=None, offset=None, most: int = PAGE_MOST, default: int = PAGE_LIMIT) -> tuple[int, int]:
+    """Limit within 1 and ``most`` (``default`` if it is no number) and offset of 0 or more, from any text or number."""
+    n, at = leading_integer(limit), leading_integer(offset)
+    return min(max(1, default if n is None else n), most), max(0, at or 0)
 
 
 def page_info(limit: int, offset: int, total: int, returned: int | None = None) -> dict:
@@ -122,11 +127,23 @@ def status_board(pipelines: DataFrame, stats: DataFrame, workers: DataFrame) ->
     return joined.select("pipeline_id", F.coalesce("name", "pipeline_id").alias("name"), *numbers, "last_run", state)
 
 
+#: What a worker counts.
+WORKER_COUNTS = ("total", "queued", "active", "completed", "failed")
+
+
 def worker_totals(workers: DataFrame) -> DataFrame:
-    """Sums over workers (name, active, queued, capacity, default_capacity), and the active counts as a map."""
-    cap = F.sum(F.coalesce("capacity", "default_capacity", F.lit(0))).cast("long")
-    by = F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "active"))))
-    return workers.agg(F.count("*").alias("workers"), F.sum("active").cast("long").alias("active"), F.sum("queued").cast("long").alias("queued"), cap.alias("capacity"), by.alias("by_name"))
+    """One row: the sums of ``WORKER_COUNTS`` over workers (pipeline_id, counts), null ones 0, and ``by_pipeline``, a map
+    of each worker's counts. Workers are few, one a pipeline."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in WORKER_COUNTS]
+    by = F.map_from_entries(F.array_sort(F.collect_list(F.struct("pipeline_id", F.struct(*WORKER_COUNTS).alias("counts")))))
+    return workers.agg(*sums, by.alias("by_pipeline"))
+
+
+def total_capacity(settings: DataFrame, default: int = 5) -> DataFrame:
+    """One row: the jobs that all pipelines (disabled, max_scans, max_jobs) not disabled may run at once; the first
+    number that is set counts, else ``default``."""
+    on = settings.filter(~F.coalesce("disabled", F.lit(False)))
+    return on.agg(F.coalesce(F.sum(F.coalesce("max_scans", "max_jobs", F.lit(default))), F.lit(0)).cast("long").alias("capacity"))
 
 
 def insert_absent(jobs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -182,13 +199,32 @@ def detail(jobs: DataFrame) -> DataFrame:
 
 
 def log_lines(jobs: DataFrame) -> DataFrame:
-    """A job as numbered lines: created, started, completed, error; lines without a value are left out."""
-
-    def line(what: str, column: str) -> Column:
-        clean = F.substring(F.regexp_replace(F.col(column), r"[\r\n\t]", " "), 1, 200)
-        return F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{what}: "), clean))
+    """(id, line_no, line): a job's life as numbered lines, those without a value left out.
 
-    lines = F.array(line("created", "created_at"), line("started", "started_at"), line("status", "status"), line("completed", "completed_at"), line("error", "error"))
+    Creation and start; from ``data`` the repository and the attempt; from ``result`` the duration, summary and number
+    of files; the message of ``error``; and how a completed or failed job ended. Values are one line of 200 characters
+    at most; empty ones, 0 and false count as none. A line's time is the end's, the start's or the creation's.
+    """
+    begin, end = F.coalesce("started_at", "created_at"), F.coalesce("completed_at", "started_at", "created_at")
+
+    def line(at: Column, lead: str, value: Column | None = None, tail: str = "", when: Column | None = None) -> Column:
+        clean = F.lit("") if value is None else F.substring(F.regexp_replace(value, r"[\r\n\t]", " "), 1, 200)
+        told = at.isNotNull() if value is None else ~F.coalesce(value, F.lit("")).isin("", "0", "false")
+        return F.when(told if when is None else told & when, F.concat(F.lit("["), F.coalesce(at, F.lit("")), F.lit(f"] {lead}"), clean, F.lit(tail)))
+
+    of = lambda column, name: F.get_json_object(column, f"$.{name}")
+    lines = F.array(
+        line(F.col("created_at"), "Job created (pipeline: ", F.coalesce("pipeline_id", F.lit("undefined")), ")", F.col("created_at").isNotNull()),
+        line(F.col("started_at"), "Job started"),
+        line(begin, "Repository: ", of("data", "repositoryPath")),
+        line(begin, "Retry attempt: ", of("data", "retryCount")),
+        line(end, "Duration: ", of("result", "duration_seconds"), "s"),
+        line(end, "", of("result", "summary")),
+        line(end, "Files processed: ", of("result", "filesProcessed")),
+        line(end, "ERROR: ", of("error", "message")),
+        line(F.col("completed_at"), "Job completed successfully", when=F.coalesce(F.col("status") == "completed", F.lit(False))),
+        line(F.col("completed_at"), "Job failed", when=F.coalesce(F.col("status") == "failed", F.lit(False))),
+    )
     return jobs.select("id", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("line_no", "line"))
 
 

@@ -50,8 +50,10 @@ def shares(rows: DataFrame, column: str) -> DataFrame:
     return by.join(total.withColumn("one", F.lit(1)), F.lit(1) == F.col("one")).select(column, "n", rounded(F.col("n") / F.col("total") * 100, 1).alias("percent"))
 
 
-def roi_summary(suggestions: DataFrame) -> DataFrame:
-    return suggestions.agg(F.avg("roi").alias("avg_roi"), F.min("roi").alias("min_roi"), F.max("roi").alias("max_roi"), F.max("impact").alias("top_impact"))
+def roi_summary(suggestions: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: mean, least and greatest return of the suggestions, null without any, and the groups' top impact or 0."""
+    top_ = groups.agg(F.coalesce(F.max("impact"), F.lit(0.0)).alias("top_impact"))
+    return suggestions.agg(F.avg("roi").alias("avg_roi"), F.min("roi").alias("min_roi"), F.max("roi").alias("max_roi")).join(F.broadcast(top_))
 
 
 def cross_metrics(cross: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -86,7 +88,9 @@ def config_stats(repositories: DataFrame, groups: DataFrame) -> DataFrame:
     return r.withColumn("one", F.lit(1)).join(g.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-def success_rate(done: DataFrame, ok: str) -> DataFrame:
-    """Counts, and the share of successes as text of two decimals (``0`` without rows)."""
-    n, good = F.count("*"), F.count_if(F.col(ok))
-    return done.agg(n.alias("total"), good.alias("succeeded"), F.when(n > 0, F.format_string("%.2f", 100.0 * good / n)).otherwise("0").alias("success_rate"))
+def success_rate(done: DataFrame, status: str = "status") -> DataFrame:
+    """One row: enhanced, skipped and failed rows, their sum, and the share of enhanced ones among those tried, as text
+    of two decimals; ``0`` without any enhanced."""
+    n = {s: F.count_if(F.col(status) == s) for s in ("enhanced", "skipped", "failed")}
+    share = F.when(n["enhanced"] > 0, F.format_string("%.2f", F.try_divide(100.0 * n["enhanced"], n["enhanced"] + n["failed"]))).otherwise("0")
+    return done.agg(*[x.alias(s) for s, x in n.items()], (n["enhanced"] + n["skipped"] + n["failed"]).alias("total"), share.alias("success_rate"))

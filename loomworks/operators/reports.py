@@ -172,12 +172,14 @@ def cache_stats(entries: DataFrame, key: str, prefix: str, ttl_seconds: int) ->
     return entries.agg(F.count_if(own).alias("total_cached_scans"), F.lit(ttl_seconds).cast("long").alias("ttl_seconds"), F.lit(ttl_seconds // 86_400).cast("long").alias("ttl_days"))
 
 
-def cache_health(files: DataFrame, name: str, at: str, now: Column, most_hours: float = 24.0) -> DataFrame:
-    """One row: the newest file, its age in hours and minutes, whether it is young enough, and how many there are."""
+def cache_health(files: DataFrame, name: str, at: str, now: Column, most_hours: float = 24.0, warn_hours: float = 12.0) -> DataFrame:
+    """One row: the newest file, its age in hours and minutes, whether it is young enough, the severity, and how many
+    there are. Older than ``most_hours`` is critical, than ``warn_hours`` a warning; no files at all are a warning."""
     age = F.unix_millis(now) - F.unix_millis(F.col("newest_at").cast("timestamp"))
     out = files.agg(F.count("*").alias("files"), F.max_by(name, F.struct(at, name)).alias("newest"), F.max(at).alias("newest_at"))
     hours, minutes = F.floor(age / 3_600_000).cast("long"), F.floor(age % 3_600_000 / 60_000).cast("long")
-    return out.select("files", "newest", hours.alias("hours"), minutes.alias("minutes"), F.coalesce(age <= most_hours * 3_600_000, F.lit(False)).alias("healthy"))
+    severity = F.when(F.col("files") == 0, "warning").when(age > most_hours * 3_600_000, "critical").when(age > warn_hours * 3_600_000, "warning").otherwise("healthy")
+    return out.select("files", "newest", F.coalesce(hours, F.lit(0)).alias("hours"), F.coalesce(minutes, F.lit(0)).alias("minutes"), F.coalesce(age <= most_hours * 3_600_000, F.lit(False)).alias("healthy"), severity.alias("severity"))
 
 
 def suffix_counts(names: DataFrame, name: str, suffixes: dict[str, str]) -> DataFrame:

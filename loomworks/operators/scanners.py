@@ -114,22 +114,38 @@ def root_kind(name: Column) -> Column:
     return out.otherwise("other")
 
 
-def document_facts(pages: DataFrame, path: str, content: str) -> DataFrame:
-    """``pages`` with schema ``type``, ``title``, ``description``, ``impact`` and ``rating`` of a Markdown document."""
-    p, text = F.lower(F.col(path)), F.lower(F.col(content))
-    kind = (
-        F.when(p.contains("test") | text.contains("testing guide"), "HowTo")
-        .when(p.contains("api") | text.contains("api reference") | text.contains("endpoints"), "APIReference")
-        .when(text.contains("tutorial") | text.contains("getting started") | text.contains("guide"), "HowTo")
+def schema_type(path: Column, content: Column, package: Column, remote: Column) -> Column:
+    """The kind of a document by its path and content, in turn; a repository with a ``package`` file is an application,
+    one with a ``remote`` source code."""
+    p, text_ = F.lower(path), F.lower(content)
+    has = lambda x: F.coalesce(x, F.lit(False))
+    return (
+        F.when(p.contains("test") | text_.contains("testing guide"), "HowTo")
+        .when(p.contains("api") | text_.contains("api reference") | text_.contains("endpoints"), "APIReference")
+        .when(has(package), "SoftwareApplication")
+        .when(text_.contains("tutorial") | text_.contains("getting started") | text_.contains("guide"), "HowTo")
+        .when(has(remote), "SoftwareSourceCode")
         .otherwise("TechArticle")
     )
-    title = F.nullif(F.trim(F.regexp_extract(F.col(content), r"(?m)^#\s+(.+)$", 1)), F.lit(""))
+
+
+def document_facts(pages: DataFrame, path: str, content: str, package: Column | None = None, remote: Column | None = None) -> DataFrame:
+    """``pages`` with schema ``type``, ``title``, ``description``, ``impact`` and ``rating`` of a Markdown document.
+
+    The title is the first ``# `` line, else the folder, else Documentation. The description is the first line behind a
+    heading that is long enough and no heading, fence or tag, cut to 200 characters; without one, a fixed text.
+    """
+    no = F.lit(False)
+    kind = schema_type(F.col(path), F.col(content), no if package is None else package, no if remote is None else remote)
+    strip = lambda x: F.regexp_replace(x, f"^{text.SPACE}+|{text.SPACE}+$", "")
+    title = F.nullif(strip(F.regexp_extract(F.col(content), f"(?m)^#{text.SPACE}+([^\\n\\r\\u2028\\u2029]+)$", 1)), F.lit(""))
     folder = F.nullif(F.regexp_extract(F.col(path), r"([^/]*)/[^/]*$", 1), F.lit(""))
-    rest = F.split(F.col(content), "\n")
-    after = F.filter(F.transform(rest, lambda x, i: F.when(~x.rlike(r"^\s*(#|```|<)") & (F.length(F.trim(x)) > 20), F.trim(x))), lambda x: x.isNotNull())
-    description = F.when(F.col(content).rlike(r"(?m)^\s*#"), F.get(after, F.lit(0)))
+    rows = F.transform(F.split(F.col(content), "\n"), strip)
+    below = F.slice(rows, F.array_position(F.transform(rows, lambda x: x.startswith("#")), F.lit(True)).cast("int") + 1, F.size(rows))
+    fits = F.filter(below, lambda x: ~x.rlike("^(#|```|<)") & (F.length(x) > 10))
+    description = F.when(F.exists(rows, lambda x: x.startswith("#")), F.get(fits, F.lit(0)))
     short = F.when(F.length(description) > 200, F.concat(F.substring(description, 1, 197), F.lit("..."))).otherwise(description)
-    out = pages.select("*", kind.alias("type"), F.coalesce(title, folder, F.lit("Documentation")).alias("title"), short.alias("description"))
+    out = pages.select("*", kind.alias("type"), F.coalesce(title, folder, F.lit("Documentation")).alias("title"), F.coalesce(short, F.lit("Technical documentation and guides")).alias("description"))
     seo = F.lit(1) + F.when(F.col("description").isNotNull(), 1).otherwise(0)
     rich = F.when(F.col("type").isin("HowTo", "TechArticle"), 1).otherwise(0)
     out = out.withColumn("impact", scoring.schema_impact(seo, rich, F.col("description").isNotNull(), F.lit(False)))

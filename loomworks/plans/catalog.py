@@ -406,7 +406,7 @@ def literal_constants_match(spark, sf_dir):
 @query()
 def peer_clusters(spark, sf_dir):
     occ = _occurrences(spark, sf_dir)
-    found = constants.clusters(occ.select("id"), constants.peer_pairs(occ, 0.5))
+    found = graph.components(occ.select("id"), constants.peer_pairs(occ, 0.5))
     return found.groupBy("cluster").agg(F.count("*").alias("size"))
 
 

@@ -1,0 +1,170 @@
+"""Queries of job details, workers, configuration, documents and errors, each beside its DuckDB SQL, values written out."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import annotations, errors
+from ..operators import constants, duplicates, jobs, metrics, scanners
+from .catalog import _SUGGEST_SQL, _exact, query, table
+
+_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
+_JOB = (
+    "j AS (SELECT event_id AS id, 'p' || user_id % 12 AS pipeline_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, {at} AS created_at, "
+    "CASE WHEN event_id % 3 <> 0 THEN {later5} END AS started_at, CASE WHEN event_type IN ('purchase', 'error') THEN {later90} END AS completed_at, event_id % 4 AS k, user_id FROM events)"
+)
+_JOB_SQL = _JOB.format(at=_ISO, later5=_ISO.replace("(ts,", "(ts + INTERVAL 5 SECOND,"), later90=_ISO.replace("(ts,", "(ts + INTERVAL 90 SECOND,"))
+
+
+def _jobs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    iso = lambda s: F.date_format(F.col("ts").cast("timestamp") + F.expr(f"INTERVAL {s} SECONDS"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
+    k, n = F.col("event_id") % 4, F.col("user_id").cast("string")
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("p"), (F.col("user_id") % 12).cast("string")).alias("pipeline_id"),
+        kind.alias("status"),
+        iso(0).alias("created_at"),
+        F.when(F.col("event_id") % 3 != 0, iso(5)).alias("started_at"),
+        F.when(kind != "running", iso(90)).alias("completed_at"),
+        F.when(k != 0, F.concat(F.lit('{"repositoryPath": "/code/u'), n, F.lit('\\tx", "retryCount": '), k.cast("string"), F.lit("}"))).alias("data"),
+        F.when(k == 1, F.concat(F.lit('{"duration_seconds": '), n, F.lit(', "summary": "", "filesProcessed": 0}'))).when(k == 2, F.concat(F.lit('{"summary": "'), F.repeat(n, 100), F.lit('", "filesProcessed": 7}'))).alias("result"),
+        F.when(kind == "failed", F.concat(F.lit('{"message": "it failed\\nat '), n, F.lit('"}'))).alias("error"),
+    )
+
+
+@query(f"WITH {_JOB_SQL} SELECT id, pipeline_id, status, coalesce(started_at, created_at) AS start_time, completed_at AS end_time, CASE WHEN completed_at IS NOT NULL THEN CAST(CASE WHEN started_at IS NULL THEN 90000 ELSE 85000 END AS BIGINT) END AS duration_ms FROM j")
+def job_detail(spark, sf_dir):
+    return jobs.detail(_jobs(spark, sf_dir))
+
+
+@query(
+    f"WITH {_JOB_SQL}, l AS (SELECT id, unnest([['[' || created_at || '] Job created (pipeline: ' || pipeline_id || ')', '[' || started_at || '] Job started', "
+    "CASE WHEN k > 0 THEN '[' || coalesce(started_at, created_at) || '] Repository: /code/u' || user_id || ' x' END, CASE WHEN k > 0 THEN '[' || coalesce(started_at, created_at) || '] Retry attempt: ' || k END, "
+    "CASE WHEN k = 1 AND user_id <> 0 THEN '[' || coalesce(completed_at, started_at, created_at) || '] Duration: ' || user_id || 's' END, CASE WHEN k = 2 THEN '[' || coalesce(completed_at, started_at, created_at) || '] ' || left(repeat(CAST(user_id AS VARCHAR), 100), 200) END, "
+    "CASE WHEN k = 2 THEN '[' || coalesce(completed_at, started_at, created_at) || '] Files processed: 7' END, CASE WHEN status = 'failed' THEN '[' || completed_at || '] ERROR: it failed at ' || user_id END, "
+    "CASE WHEN status = 'completed' THEN '[' || completed_at || '] Job completed successfully' WHEN status = 'failed' THEN '[' || completed_at || '] Job failed' END]]) AS a FROM j), m AS (SELECT id, [x FOR x IN a IF x IS NOT NULL] AS a FROM l) "
+    "SELECT id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS line_no, unnest(a) AS line FROM m"
+)
+def job_log_lines(spark, sf_dir):
+    return jobs.log_lines(_jobs(spark, sf_dir))
+
+
+_W_SQL = "w AS (SELECT 'p' || user_id % 12 AS p, count(*) AS total, count(*) FILTER (event_type = 'view') AS queued, count(*) FILTER (event_type = 'click') AS active, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1)"
+
+
+@query(f"WITH {_W_SQL} SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(queued) AS BIGINT) AS queued, CAST(sum(active) AS BIGINT) AS active, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(failed) AS BIGINT) AS failed, string_agg(p || ':' || total || '/' || active, ',' ORDER BY p) AS by_pipeline FROM w")
+def worker_totals(spark, sf_dir):
+    kind = lambda t: F.count_if(F.col("event_type") == t)
+    by = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("p"), (F.col("user_id") % 12).cast("string")).alias("pipeline_id"))
+    told = jobs.worker_totals(by.agg(F.count("*").alias("total"), kind("view").alias("queued"), kind("click").alias("active"), kind("purchase").alias("completed"), kind("error").alias("failed")))
+    each = F.transform(F.map_entries("by_pipeline"), lambda x: F.concat_ws("", x["key"], F.lit(":"), x["value"]["total"].cast("string"), F.lit("/"), x["value"]["active"].cast("string")))
+    return told.withColumn("by_pipeline", F.array_join(each, ","))
+
+
+@query("SELECT CAST(sum(coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 7 END, 5)) AS BIGINT) AS capacity FROM supplier WHERE s_suppkey % 4 <> 1")
+def total_capacity(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return jobs.total_capacity(table(spark, sf_dir, "supplier").select(F.when(k % 4 == 1, True).when(k % 4 == 2, False).alias("disabled"), F.when(k % 3 == 0, F.col("s_nationkey")).alias("max_scans"), F.when(k % 5 != 0, (k % 7).cast("int")).alias("max_jobs")))
+
+
+@query(f"WITH {_SUGGEST_SQL} SELECT avg(roi) AS avg_roi, min(roi) AS min_roi, max(roi) AS max_roi, coalesce(max(impact), 0) AS top_impact FROM u")
+def roi_summary(spark, sf_dir):
+    groups = _exact(spark, sf_dir)
+    return metrics.roi_summary(duplicates.suggestions(groups), groups)
+
+
+@query(f"WITH {_SUGGEST_SQL} SELECT 'dg_' || substr(h, 1, 12) AS group_id, impact FROM u ORDER BY impact DESC, group_id LIMIT 25")
+def groups_by_impact(spark, sf_dir):
+    return metrics.top(_exact(spark, sf_dir), "impact", 25, "group_id").select("group_id", "impact")
+
+
+@query(
+    "SELECT count(*) AS repositories, count(*) FILTER (c_custkey % 4 > 0) AS enabled_repositories, " + ", ".join(f"count(*) FILTER (c_custkey % 4 > 0 AND c_nationkey % 4 = {i}) AS {p}" for i, p in enumerate(("critical", "high", "medium", "low")))
+    + ", " + ", ".join(f"count(*) FILTER (c_custkey % 4 > 0 AND c_mktsegment = '{m}') AS {f}" for m, f in (("AUTOMOBILE", "daily"), ("BUILDING", "weekly"), ("FURNITURE", "monthly"), ("MACHINERY", "on_demand")))
+    + ", (SELECT count(*) FROM nation) AS groups, (SELECT count(*) FILTER (n_regionkey > 0) FROM nation) AS enabled_groups FROM customer"
+)
+def config_stats(spark, sf_dir):
+    frequency = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "daily").when(F.col("c_mktsegment") == "BUILDING", "weekly").when(F.col("c_mktsegment") == "FURNITURE", "monthly").when(F.col("c_mktsegment") == "MACHINERY", "on-demand")
+    repositories = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 4 > 0).alias("enabled"), F.element_at(F.array(*[F.lit(p) for p in ("critical", "high", "medium", "low")]), (F.col("c_nationkey") % 4 + 1).cast("int")).alias("priority"), frequency.alias("scanFrequency"))
+    return metrics.config_stats(repositories, table(spark, sf_dir, "nation").select((F.col("n_regionkey") > 0).alias("enabled")))
+
+
+@query(
+    "WITH m AS (SELECT p_size % 20 AS cluster, p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS tokens FROM part WHERE p_partkey % 10 < p_size % 3 + 1), s AS (SELECT cluster, count(*) AS n FROM m GROUP BY 1), "
+    "f AS (SELECT cluster, token, count(*) AS freq FROM (SELECT cluster, unnest(tokens) AS token FROM m) GROUP BY ALL), r AS (SELECT f.*, row_number() OVER (PARTITION BY f.cluster ORDER BY freq DESC, token) AS rank FROM f JOIN s USING (cluster) WHERE freq >= greatest(1, ceil(n * CAST(0.1 AS DOUBLE)))) SELECT cluster, token, freq, rank FROM r WHERE rank <= 10"
+)
+def shared_tokens(spark, sf_dir):
+    """Tokens that a tenth of a cluster's members share."""
+    members = table(spark, sf_dir, "part").filter("p_partkey % 10 < p_size % 3 + 1").select((F.col("p_size") % 20).alias("cluster"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("tokens"))
+    return constants.shared_tokens(members, share=0.1)
+
+
+@query("SELECT count(*) FILTER (event_type = 'purchase') AS enhanced, count(*) FILTER (event_type = 'view') AS skipped, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type IN ('purchase', 'view', 'error')) AS total, CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN printf('%.2f', CAST(100 AS DOUBLE) * count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type IN ('purchase', 'error'))) ELSE '0' END AS success_rate FROM events")
+def enhancement_rate(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "enhanced").when(F.col("event_type") == "view", "skipped").when(F.col("event_type") == "error", "failed")
+    return metrics.success_rate(table(spark, sf_dir, "events").select(kind.alias("status")))
+
+
+_RHS = "CASE p_partkey % 5 WHEN 0 THEN '-' || p_size || '.5' WHEN 1 THEN 'BASE_' || p_size || ' * 60' WHEN 2 THEN p_size || '_000' WHEN 3 THEN 'f(' || p_size || ')' ELSE 'OTHER' || p_size END"
+
+
+@query(f"WITH c AS (SELECT 'C' || p_partkey AS name, {_RHS} AS value FROM part WHERE p_partkey % 5 <> 3 AND p_partkey % 7 > 0) SELECT value, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM c GROUP BY value HAVING count(*) > 1 ORDER BY n DESC, value DESC LIMIT 20")
+def repeated_constants(spark, sf_dir):
+    line = F.concat(F.when(F.col("p_partkey") % 7 > 0, "export const C").otherwise("  export const C"), F.col("p_partkey").cast("string"), F.lit(" = "), F.expr(_RHS), F.lit(" ; "))
+    return constants.repeated_values(table(spark, sf_dir, "part").select(line.alias("line"))).withColumn("names", F.array_join("names", ","))
+
+
+_SNIPPETS = ("for (const x of rows) { if (x.ok) { out.push(x); } }", "for (const x of rows) { out.push(x); }", "rows.map(f)", "if (a) { out.push(b); }", "rows.filter(ok).map(f)", "const y = 1;")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'append,filter,iterate,map' WHEN 1 THEN 'append,iterate' WHEN 2 THEN 'map' WHEN 3 THEN 'append' WHEN 4 THEN 'filter,map' ELSE '' END AS operations FROM events")
+def composite_operations(spark, sf_dir):
+    """The operations of a loop that appends under a condition are also a filter and a map."""
+    code = F.element_at(F.array(*[F.lit(x) for x in _SNIPPETS]), (F.col("event_id") % 6 + 1).cast("int"))
+    named = table(spark, sf_dir, "events").select("event_id", code.alias("code"))
+    return named.select("event_id", F.array_join(annotations.annotate(F.col("code"))["operations"], ",").alias("operations"))
+
+
+_CODES = ("ETIMEDOUT", "ECONNRESET", "ENOENT", "EACCES", "ERR_HTTP_404", "ERR_HTTP_503", "EWHAT", "ENOTFOUND")
+
+
+@query(
+    "WITH e AS (SELECT event_id, event_id % 8 AS k FROM events) SELECT event_id, CASE WHEN k IN (0, 1, 5) THEN 'retryable' ELSE 'non_retryable' END AS category, CASE WHEN k IN (0, 5) THEN 10000 WHEN k = 1 THEN 5000 ELSE 0 END AS delay, "
+    "CASE WHEN k IN (4, 5) THEN 'http' ELSE 'unknown' END AS family FROM e"
+)
+def error_codes(spark, sf_dir):
+    """Errors by their code alone, and the family that the reason's words name."""
+    code = F.element_at(F.array(*[F.lit(x) for x in _CODES]), (F.col("event_id") % 8 + 1).cast("int"))
+    told = table(spark, sf_dir, "events").select("event_id", errors.classify(code, F.lit(None).cast("int"), F.lit(None).cast("string")).alias("c"))
+    return told.select("event_id", "c.category", F.col("c.delay").cast("int").alias("delay"), errors.family(F.col("c.reason")).alias("family"))
+
+
+_REASONS = ("Rate limit hit", "request timeout", "Permission denied here", "no such directory", "network down", "all well")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'network' WHEN 2 THEN 'file_system' WHEN 3 THEN 'file_system' WHEN 4 THEN 'network' ELSE 'unknown' END AS family FROM events")
+def error_families(spark, sf_dir):
+    reason = F.element_at(F.array(*[F.lit(x) for x in _REASONS]), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", errors.family(reason).alias("family"))
+
+
+_DOC = "CASE doc_id % 4 WHEN 0 THEN 'intro before any title, long enough' || chr(10) || '# The title ' || doc_id || chr(10) || '<p>a tag that is skipped</p>' || chr(10) || 'short' || chr(10) || chr(10) || coalesce(t, '') WHEN 1 THEN coalesce(t, '') || chr(10) || 'Getting Started' WHEN 2 THEN '## Sub' || chr(10) || '```' || chr(10) || '  A line of some length.  ' || chr(10) || 'see the endpoints' ELSE '#x' || chr(10) || 'y' END"
+_DOC_PATH = "CASE doc_id % 5 WHEN 0 THEN 'docs/Test/README.md' WHEN 1 THEN 'README.md' ELSE 'lib' || doc_id % 3 || '/README.md' END"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, replace(replace(replace(replace(replace(trim(regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')), 'api', 'ipa'), 'tutorial', ''), 'guide', ''), 'endpoints', ''), 'test', '') AS t FROM documents), "
+    f"c AS (SELECT doc_id, t, {_DOC} AS content, {_DOC_PATH} AS path FROM d), b AS (SELECT *, trim(t) AS body FROM c) SELECT doc_id, "
+    "CASE WHEN doc_id % 5 = 0 OR contains(lower(content), 'testing guide') THEN 'HowTo' WHEN contains(lower(content), 'api reference') OR contains(lower(content), 'endpoints') THEN 'APIReference' WHEN doc_id % 7 = 0 THEN 'SoftwareApplication' WHEN contains(lower(content), 'tutorial') OR contains(lower(content), 'getting started') OR contains(lower(content), 'guide') THEN 'HowTo' WHEN doc_id % 2 = 0 THEN 'SoftwareSourceCode' ELSE 'TechArticle' END AS type, "
+    "CASE WHEN doc_id % 4 = 0 THEN 'The title ' || doc_id WHEN doc_id % 5 = 0 THEN 'Test' WHEN doc_id % 5 = 1 THEN 'Documentation' ELSE 'lib' || doc_id % 3 END AS title, "
+    "CASE WHEN doc_id % 4 = 0 AND len(body) > 10 THEN CASE WHEN len(body) > 200 THEN left(body, 197) || '...' ELSE body END WHEN doc_id % 4 = 2 THEN 'A line of some length.' ELSE 'Technical documentation and guides' END AS description FROM b"
+)
+def document_facts(spark, sf_dir):
+    """Kind, title and description of documents as README files, some of repositories with a package file or a remote."""
+    t = F.trim(F.regexp_replace("text", "[^a-zA-Z]+", " "))
+    for a, b in (("api", "ipa"), ("tutorial", ""), ("guide", ""), ("endpoints", ""), ("test", "")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.expr(_DOC.replace("chr(10)", "char(10)")).alias("content"), F.expr(_DOC_PATH).alias("path"))
+    return scanners.document_facts(rows, "path", "content", F.col("doc_id") % 7 == 0, F.col("doc_id") % 2 == 0).select("doc_id", "type", "title", "description")

@@ -126,7 +126,7 @@ def cache_stats(spark, sf_dir):
     return reports.cache_stats(table(spark, sf_dir, "events").select(key.alias("k")), "k", "scan:", 2_600_000)
 
 
-@query(f"WITH c AS (SELECT count(*) AS files, arg_max(event_id, (ts, event_id)) AS newest, epoch_ms({_NOW}) - epoch_ms(max(ts)) AS age FROM events WHERE event_type = 'signup') SELECT files, newest, CAST(floor(age / 3600000) AS BIGINT) AS hours, CAST(floor(age % 3600000 / 60000) AS BIGINT) AS minutes, age <= 86400000 AS healthy FROM c")
+@query(f"WITH c AS (SELECT count(*) AS files, arg_max(event_id, (ts, event_id)) AS newest, epoch_ms({_NOW}) - epoch_ms(max(ts)) AS age FROM events WHERE event_type = 'signup') SELECT files, newest, CAST(floor(age / 3600000) AS BIGINT) AS hours, CAST(floor(age % 3600000 / 60000) AS BIGINT) AS minutes, age <= 86400000 AS healthy, CASE WHEN age > 86400000 THEN 'critical' WHEN age > 43200000 THEN 'warning' ELSE 'healthy' END AS severity FROM c")
 def cache_health(spark, sf_dir):
     return reports.cache_health(table(spark, sf_dir, "events").filter("event_type = 'signup'"), "event_id", "ts", _now(spark, sf_dir))
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from loomworks.plans import catalog, families, scans  # noqa: F401  the latter register their queries in catalog
+from loomworks.plans import catalog, details, families, scans  # noqa: F401  the latter register their queries in catalog
 
 DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -353,3 +353,12 @@ def test_retained_counters_equal_a_serial_replay(spark):
     of = lambda d: datetime.fromtimestamp(d * 86_400, timezone.utc).strftime("%Y-%m-%d")
     assert got and all(want[(d, s)] == got.get((of(d), s), want.get((d - 1, s), want[(d, s)])) for d, s in want) and set(got) <= {(of(d), s) for d, s in want}
     assert any(c < 0 for c in changes.values())
+
+
+def test_page_parameters():
+    from loomworks.operators.jobs import page_info, page_parameters
+
+    cases = {(None, None): (50, 0), ("12abc", " -3"): (12, 0), (0, "7.9"): (1, 7), ("1e3", "0x10"): (1, 16), ("x", "y"): (50, 0), (5000, 10**9): (1000, 10**9), ("-4", ""): (1, 0), (3.7, None): (3, 0)}
+    assert {k: page_parameters(*k) for k in cases} == cases
+    assert page_info(10, 20, 30)["hasMore"] is False and page_info(10, 20, 31) == {"total": 31, "limit": 10, "offset": 20, "page": 2, "hasMore": True}
+    assert page_info(10, 20, 30, returned=4)["hasMore"] is True and page_info(10, 26, 30, returned=4)["hasMore"] is False
