@@ -71,12 +71,6 @@ def pattern_counts(files: DataFrame, content: str, patterns: dict[str, str] = TE
     return files.select("*", *[F.regexp_count(F.col(content), F.lit(p)).alias(n) for n, p in patterns.items()])
 
 
-def repeated_strings(files: DataFrame, key: str, content: str, pattern: str, least: int = 3, longer_than: int = 5) -> DataFrame:
-    """(key, value, n): matches longer than ``longer_than`` that a file has ``least`` times or more."""
-    found = files.select(key, F.explode(F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(1))).alias("value"))
-    return found.filter(F.length("value") > longer_than).groupBy(key, "value").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-
-
 def prefix_duplicates(names: DataFrame, name: str = "name", marks: str = "[@-]") -> DataFrame:
     """Prefixes, up to the first mark, that two or more distinct names share."""
     by = names.select(F.split(F.col(name), marks)[0].alias("prefix"), name).distinct().groupBy("prefix")
@@ -156,12 +150,17 @@ def to_json_ld(name: Column, description: Column, kind: Column) -> Column:
     return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), kind.alias("@type"), name.alias("name"), description.alias("description")))
 
 
-def inject_after_heading(content: Column, block: Column) -> Column:
-    """``content`` with ``block`` after its first heading line, or before all without one."""
+def heading_line(content: Column) -> Column:
+    """The number, from 1, of the first line that is a heading behind its blanks; null without one."""
     rows = F.split(content, "\n")
-    marks = F.filter(F.transform(rows, lambda x, i: F.when(x.startswith("# "), i + 1)), lambda x: x.isNotNull())
-    at = F.coalesce(F.get(marks, F.lit(0)), F.lit(0))
-    return F.array_join(F.concat(F.slice(rows, 1, at), F.array(block), F.slice(rows, at + 1, F.size(rows) + 1)), "\n")
+    at = F.filter(F.transform(rows, lambda x, i: F.when(F.regexp_replace(x, f"^{text.SPACE}+", "").startswith("#"), i + 1)), lambda x: x.isNotNull())
+    return F.get(at, F.lit(0))
+
+
+def inject_after_heading(content: Column, block: Column) -> Column:
+    """``content`` with ``block``, between two empty lines, after its first heading line, or before all without one."""
+    rows, at = F.split(content, "\n"), F.coalesce(heading_line(content), F.lit(0))
+    return F.array_join(F.concat(F.slice(rows, 1, at), F.array(F.lit(""), block, F.lit("")), F.slice(rows, at + 1, F.size(rows) + 1)), "\n")
 
 
 def block_names(blocks: DataFrame, lines_: DataFrame, key: str = "file_path", window: int = 10) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import annotations, errors
-from ..operators import constants, duplicates, jobs, metrics, scanners
+from ..functions import annotations, errors, text
+from ..operators import activity, constants, duplicates, extraction, jobs, metrics, scanners, testsuite
 from .catalog import _SUGGEST_SQL, _exact, query, table
 
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
@@ -168,3 +168,79 @@ def document_facts(spark, sf_dir):
         t = F.replace(t, F.lit(a), F.lit(b))
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.expr(_DOC.replace("chr(10)", "char(10)")).alias("content"), F.expr(_DOC_PATH).alias("path"))
     return scanners.document_facts(rows, "path", "content", F.col("doc_id") % 7 == 0, F.col("doc_id") % 2 == 0).select("doc_id", "type", "title", "description")
+
+
+_TEST = "CASE turn % 5 WHEN 0 THEN 'render(<A/>);  await waitFor(() => x);' WHEN 1 THEN 'expect(link).toHaveAttribute( \"href\", \"/u' || turn || '\");' WHEN 2 THEN 'screen.getByRole(\"heading\"); expect(screen.getByText(\"Label ' || conv_id % 9 || '\")).toBe(' || conv_id % 3 || ');' WHEN 3 THEN 'fireEvent.click(b); userEvent.type(c, \"d\"); getByText( \"Ab\"); querySelector(\"section#x\")' ELSE '// text' END"
+_TEST_SQL = f"f AS (SELECT conv_id, string_agg({_TEST}, chr(10) ORDER BY turn) AS c FROM conversations GROUP BY 1)"
+
+
+def _test_files(spark, sf_dir):
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_TEST).alias("code")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "code"))).alias("rows"))
+    return made.select("conv_id", F.array_join(F.transform("rows", lambda x: x["code"]), "\n").alias("content"))
+
+
+_TEXTS_SQL = """t AS (SELECT text, count(*) AS n FROM (SELECT unnest(regexp_extract_all(c, 'getByText\\s*\\(\\s*["'']([^"'']+)["'']\\)', 1)) AS text FROM f) WHERE len(text) > 5 GROUP BY 1 HAVING count(*) >= 3), a AS (SELECT regexp_replace(a, '["''][^"'']+["'']', '""', 'g') AS assertion, count(*) AS n FROM (SELECT unnest(regexp_extract_all(c, '(expect\\([^)]+\\)\\.[^;]+);', 1)) AS a FROM f) GROUP BY 1 HAVING count(*) >= 3)"""
+_SUMMARY_SQL = """s AS (SELECT count(*) AS files, CAST(sum(len(regexp_extract_all(c, 'render\\s*\\([^)]+\\);\\s*await\\s+waitFor'))) AS BIGINT) AS render_wait, CAST(sum(len(regexp_extract_all(c, 'toHaveAttribute\\s*\\(\\s*["'']href["'']'))) AS BIGINT) AS links, CAST(sum(len(regexp_extract_all(c, 'getByRole\\s*\\(\\s*["'']heading["'']|querySelector\\s*\\(\\s*["'']section#'))) AS BIGINT) AS semantic, CAST(sum(len(regexp_extract_all(c, 'userEvent\\.type|fireEvent\\.click|getByRole\\s*\\(\\s*["'']form["'']'))) AS BIGINT) AS forms, (SELECT count(*) FROM t) AS repeated_texts, (SELECT count(*) FROM a) AS repeated_assertions FROM f)"""
+
+
+@query(f"WITH {_TEST_SQL}, {_TEXTS_SQL}, {_SUMMARY_SQL} SELECT * FROM s")
+def test_suite_summary(spark, sf_dir):
+    return testsuite.summary(_test_files(spark, sf_dir))
+
+
+@query(f"WITH {_TEST_SQL}, {_TEXTS_SQL} SELECT 'text' AS kind, text AS value, n FROM t UNION ALL SELECT 'assertion', assertion, n FROM a")
+def test_suite_repeats(spark, sf_dir):
+    files_ = _test_files(spark, sf_dir)
+    texts = testsuite.repeated_texts(files_).select(F.lit("text").alias("kind"), F.col("text").alias("value"), "n")
+    return texts.union(testsuite.repeated_assertions(files_).select(F.lit("assertion"), "assertion", "n"))
+
+
+@query(
+    f"WITH {_TEST_SQL}, {_TEXTS_SQL}, {_SUMMARY_SQL} SELECT unnest([x FOR x IN [CASE WHEN render_wait > 5 THEN 'Create renderAndWait helper to reduce render + waitFor boilerplate' END, CASE WHEN links > 5 THEN 'Create link assertion helpers (expectExternalLink, expectInternalLink, etc.)' END, CASE WHEN semantic > 5 THEN 'Create semantic validators (expectSectionWithId, expectHeadingLevel, etc.)' END, "
+    "CASE WHEN forms > 5 THEN 'Create form helpers (fillContactForm, expectFormAccessibility, etc.)' END, CASE WHEN repeated_texts > 10 THEN 'Extract hardcoded strings to test-constants.ts' END, CASE WHEN repeated_assertions > 5 THEN 'Extract duplicate assertions to custom assertion helpers' END] IF x IS NOT NULL]) AS advice FROM s"
+)
+def test_suite_advice(spark, sf_dir):
+    return testsuite.recommendations(testsuite.summary(_test_files(spark, sf_dir)))
+
+
+_MATCH_SQL = "m AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS ord, 'src/o' || l_orderkey % 300 || CASE l_orderkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.vue' ELSE '.zig' END AS file, CASE l_linenumber % 4 WHEN 0 THEN 'console-statements' WHEN 1 THEN 'express-route-handlers' WHEN 2 THEN 'prisma-operations' ELSE 'own-rule' END AS rule, l_partkey % 40 + 1 AS line, CASE WHEN l_suppkey % 3 = 0 THEN 'f' || l_partkey % 30 END AS fn, CASE WHEN l_linenumber <> 2 THEN l_partkey % 40 + l_linenumber END AS line_end FROM lineitem)"
+
+
+@query(
+    f"WITH {_MATCH_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY file, fn, CASE WHEN fn IS NULL THEN line END ORDER BY CASE WHEN fn IS NULL THEN 0 ELSE line END, ord) AS r FROM m) "
+    "SELECT 'cb_' || substr(sha256(file || ':' || line), 1, 12) AS block_id, rule AS pattern_id, CASE rule WHEN 'console-statements' THEN 'logger' WHEN 'express-route-handlers' THEN 'api_handler' WHEN 'prisma-operations' THEN 'database_operation' ELSE 'utility' END AS category, "
+    "CASE regexp_extract(file, '[.][a-z]+$') WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.vue' THEN 'vue' ELSE 'unknown' END AS language, file AS file_path, CAST(line AS INTEGER) AS line_start, CAST(coalesce(line_end, line) - line + 1 AS INTEGER) AS line_count, fn AS function_name FROM k WHERE r = 1"
+)
+def extracted_blocks(spark, sf_dir):
+    """Blocks of matches made of line items, one a function or place."""
+    rows = table(spark, sf_dir, "lineitem")
+    n, k = F.col("l_orderkey"), F.col("l_linenumber")
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".ts", ".py", ".vue", ".zig")]), (n % 4 + 1).cast("int"))
+    rule = F.element_at(F.array(*[F.lit(x) for x in ("console-statements", "express-route-handlers", "prisma-operations", "own-rule")]), (k % 4 + 1).cast("int"))
+    line, named = (F.col("l_partkey") % 40 + 1).cast("int"), F.concat(F.lit("async function f"), (F.col("l_partkey") % 30).cast("string"), F.lit("() {}"))
+    made = rows.select(
+        (n * 10 + k).alias("ord"), F.concat(F.lit("src/o"), (n % 300).cast("string"), ends).alias("file_path"), rule.alias("rule_id"),
+        F.when(F.col("l_suppkey") % 3 == 0, named).alias("matched_text"), line.alias("line_start"), F.when(k != 2, (F.col("l_partkey") % 40 + k).cast("int")).alias("line_end"),
+    )
+    found = duplicates.dedup_blocks(extraction.code_blocks(made, "/code"))
+    return found.select("block_id", "pattern_id", "category", "language", "file_path", "line_start", "line_count", text.function_tag(F.col("tags")).alias("function_name"))
+
+
+@query("WITH d AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'b' || p_size % 13 END || '/' || CASE WHEN p_size % 2 = 0 THEN 'x/' ELSE '' END || 'n' || p_size % 17 AS path FROM part) SELECT string_split(path, '/')[-1] AS name, count(*) AS n FROM d GROUP BY 1 ORDER BY n DESC, name LIMIT 10")
+def directory_names(spark, sf_dir):
+    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, "a").otherwise(F.concat(F.lit("b"), (F.col("p_size") % 13).cast("string"))), F.lit("/"), F.when(F.col("p_size") % 2 == 0, "x/").otherwise(""), F.lit("n"), (F.col("p_size") % 17).cast("string"))
+    return activity.directory_stats(table(spark, sf_dir, "part").select(path.alias("path")))[1]
+
+
+@query(f"WITH {_SUGGEST_SQL}, x AS (SELECT u.h, any_value(u.strategy) AS strategy, any_value(u.category) AS category, arg_min(b.file_path, b.ord) AS ff, arg_min(b.pattern_id, b.ord) AS pattern_id FROM u JOIN b ON u.h = b.h GROUP BY u.h) SELECT 'cs_dg_' || substr(h, 1, 12) AS suggestion_id, CASE strategy WHEN 'local_util' THEN string_split(ff, '/')[1] || '/utils.js' WHEN 'shared_package' THEN CASE category WHEN 'logger' THEN 'shared/logging/logger-utils.js' WHEN 'api_handler' THEN 'shared/middleware/auth-middleware.js' ELSE 'shared/utils/' || category || '.js' END WHEN 'mcp_server' THEN 'mcp-servers/' || pattern_id || '-server/' ELSE 'agents/' || pattern_id || '-agent/' END AS target FROM x")
+def suggestion_targets(spark, sf_dir):
+    return duplicates.suggestions(_exact(spark, sf_dir)).select("suggestion_id", "target")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 END AS heading_line FROM documents WHERE text IS NOT NULL")
+def heading_lines(spark, sf_dir):
+    """The first heading line of documents as README files; a third of them begin with prose, or have none."""
+    prose = F.regexp_replace("text", "[#\n]", " ")
+    k = F.col("doc_id") % 4
+    content = F.when(k == 0, F.concat(prose, F.lit("\n  ## two\n# three"))).when(k == 1, prose).when(k == 2, F.concat(F.lit("#"), prose)).otherwise(F.concat(F.lit("\t# x\n"), prose))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", scanners.heading_line(content).alias("heading_line"))

@@ -165,7 +165,7 @@ def test_column_functions(spark):
     assert list(meets) == [True, False, False]
     kinds = one(spark, scanners.root_kind(t("Makefile")), scanners.root_kind(t("a.py")), scanners.root_kind(t("zz")), scanners.import_class(t("from os import x")), scanners.import_class(t("from a.b import c")))
     assert list(kinds)[:3] == ["config", "python", "other"] and tuple(kinds[3]) == ("os", True) and tuple(kinds[4]) == ("a.b", False)
-    assert one(spark, scanners.inject_after_heading(t("x\n# T\ny"), t("B")), scanners.inject_after_heading(t("x"), t("B"))) == ("x\n# T\nB\ny", "B\nx")
+    assert one(spark, scanners.inject_after_heading(t("x\n# T\ny"), t("B")), scanners.inject_after_heading(t("x"), t("B"))) == ("x\n# T\n\nB\n\ny", "\nB\n\nx")
     assert one(spark, errors.classify(t(None).cast("string"), t(429), t("slow down"))).c0.category == "retryable"
 
 
