@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
-from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import WORD, SharedTables, without
 
 WINDOW = 8
-SAMPLE_ROWS, RUNS = 2000, 5
+SAMPLE_ROWS, RUNS = 1000, 2
 _GAPS = " \t\n\x0b\x0c\r"
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -98,9 +97,10 @@ def plan(texts: DataFrame, rules: list[Rule], text_col: str = "text", sample_row
     """(rule, share rejected, seconds a row) in cascade order: rejections per second, most first.
 
     The sample, about ``sample_rows`` rows of ``texts``, is a table in the shared folder. Each rule runs alone over
-    it, from the text on, so the metrics it needs are in its cost and others are not. Times are medians of ``runs``
-    rounds over all rules, less the median of a job that only reads the texts, and at least a twentieth of that: what
-    is less can't be told apart. Rules go by name where they tie. The sample decides the order alone, never a verdict.
+    it, from the text on, so the metrics it needs are in its cost and others are not. A time is the least of ``runs``
+    rounds over all rules after one that warms up, as what else a machine does only adds to it; less that of a job that
+    only reads the texts, and at least a twentieth of that: what is less can't be told apart. Rules go by name where they
+    tie. The sample decides the order alone, never a verdict.
     """
     tables = SharedTables(texts.sparkSession, "rules")
     total = texts.count()
@@ -118,8 +118,8 @@ def plan(texts: DataFrame, rules: list[Rule], text_col: str = "text", sample_row
             if k:
                 seconds.setdefault(rule.name, []).append(time.perf_counter() - began)
     tables.drop()
-    read = median(seconds[""])
-    out = [(rule, hits[rule.name] / n, max(median(seconds[rule.name]) - read, read / 20) / n) for rule in rules]
+    read = min(seconds[""])
+    out = [(rule, hits[rule.name] / n, max(min(seconds[rule.name]) - read, read / 20) / n) for rule in rules]
     return sorted(out, key=lambda r: (-r[1] / r[2], r[0].name))
 
 
