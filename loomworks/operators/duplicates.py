@@ -20,6 +20,8 @@ from ..functions.lcs import lcs_similarity
 from .graph import Rounds
 
 STRUCTURAL, SEMANTIC, QUALITY = 0.85, 0.70, 0.70
+#: Fixed value: the likeness of two codes of one normal form.
+SAME_FORM = 0.95
 #: Classes of characters whose counts bound a longest common subsequence; together they hold every character.
 _LETTERS = ("[a-f]", "[g-l]", "[m-r]", "[s-u]", "[v-z]", "[A-Z]", "[0-9]", r"[ \t\n]", r"[(){}\[\]]", r"[;,.:]", r"(?s)[^a-zA-Z0-9 \t\n(){}\[\];,.:]")
 
@@ -138,20 +140,32 @@ def leaders(edges: DataFrame) -> DataFrame:
         return left.select(F.col("i").alias("node"), F.col("j").alias("leader"))
     taken = rounds.put(every.join(led, F.col("i") == F.col("node")).groupBy("j").agg(F.min("i").alias("leader")).select(F.col("j").alias("node"), "leader"))
     nodes = every.select(F.col("i").alias("node")).union(every.select("j")).distinct()
-    return nodes.join(taken, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
+    return rounds.done(nodes.join(taken, "node", "left").select("node", F.coalesce("leader", "node").alias("leader")))
 
 
-def _alike(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with ``first``: the least ``ord`` of the blocks that no structural test tells from it.
+def _alike(blocks: DataFrame, by: Column) -> DataFrame:
+    """``blocks`` with ``first``: the least ``ord`` of the blocks that agree in ``by`` (a hash of their code), pattern,
+    category and line count; and ``again``: whether another block is the same function of the same file.
 
-    These have equal pattern, category, code, line count and, if they are tagged functions, equal file and function.
+    Such blocks agree with each other only, and only if their codes are equal. Empty codes agree with none.
     """
-    place = F.when(F.coalesce(text.function_tag(F.col("tags")), F.lit("")) != "", F.concat_ws("\n", "file_path", text.function_tag(F.col("tags"))))
-    sign = F.sha2(F.concat_ws("|", "pattern_id", "category", "line_count", F.sha2("source_code", 256), F.coalesce(place, F.lit(""))), 256)
-    signed = blocks.withColumn("sign", sign)
+    name = F.nullif(text.function_tag(F.col("tags")), F.lit(""))
+    place = F.when(name.isNotNull(), F.concat_ws("\n", "file_path", name))
+    placed = blocks.withColumn("place", place)
+    twice = placed.groupBy("place").agg(F.count("*").alias("n")).filter("place IS NOT NULL AND n > 1").select("place", F.lit(True).alias("again"))
+    placed = placed.join(twice, "place", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    empty = F.coalesce(F.length("source_code"), F.lit(0)) == 0
+    key = F.when(empty, F.concat(F.lit("ord "), F.col("ord").cast("string"))).when(F.col("again"), F.concat_ws("\n", "place", F.sha2("source_code", 256))).otherwise(by)
+    signed = placed.withColumn("sign", F.sha2(F.concat_ws("|", "pattern_id", "category", "line_count", key), 256)).drop("place")
     return signed.join(signed.groupBy("sign").agg(F.min("ord").alias("first")), "sign").drop("sign")
 
 
+def _same_form(code: Column) -> Column:
+    """A hash of all that the structural similarity reads of a code but the code itself."""
+    features = (text.normal_form(code), *[F.array_join(f(code), ",") for f in (text.method_chain, text.status_codes, text.operators, text.called_methods)])
+    return F.sha2(F.to_json(F.array(*features)), 256)
+
+
 def _within(counts: DataFrame, keys: list[str]) -> DataFrame:
     """``within``: for each (keys, line_count) of ``counts``, the sum of ``n`` over line counts of half to twice it.
 
@@ -184,7 +198,8 @@ def line_ratio_links(blocks: DataFrame) -> DataFrame:
 
 
 def structural_pairs(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFrame:
-    """(i, j, similarity) of blocks of one pattern and category whose structural similarity reaches ``threshold``.
+    """(i, j, similarity, base) of blocks of one pattern and category whose structural similarity reaches ``threshold``;
+    ``base`` is what it would be if their codes weren't equal.
 
     Blocks are paired by their narrow facts: neighbouring bands of length, the line ratio, the bounds that the lengths
     and the letter counts put on the longest common subsequence (both exact). Codes join the pairs that are left, and
@@ -219,20 +234,20 @@ def structural_pairs(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFr
     some = pairs.filter(needs).withColumn("lcs", lcs_similarity("a_norm", "b_norm"))
     scored = some.unionByName(pairs.filter(~needs).withColumn("lcs", F.lit(1.0)))
     chain = text.chain_similarity(F.col("a_chain"), F.col("b_chain"))
-    base = F.when(F.col("a_norm") == F.col("b_norm"), 0.95).when(chain < 1, F.col("lcs") * 0.7 + chain * 0.3).otherwise(F.col("lcs"))
+    base = F.when(F.col("a_norm") == F.col("b_norm"), SAME_FORM).when(chain < 1, F.col("lcs") * 0.7 + chain * 0.3).otherwise(F.col("lcs"))
     penalty = F.lit(1.0)
     for c, factor in (("codes", 0.70), ("ops", 0.80), ("calls", 0.75)):
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
         penalty = penalty * F.when((F.size(x) > 0) & (F.size(y) > 0) & (x != y), factor).otherwise(1.0)
     similarity = F.when(F.col("a_code") == F.col("b_code"), 1.0).otherwise(base * penalty)
-    return rounds.put(scored.select("i", "j", similarity.alias("similarity")).filter(F.col("similarity") >= threshold))
+    return rounds.done(scored.select("i", "j", similarity.alias("similarity"), (base * penalty).alias("base")).filter(F.col("similarity") >= threshold))
 
 
 def structural_links(blocks: DataFrame, threshold: float = STRUCTURAL) -> DataFrame:
     """(kind, i, j, similarity): ``structural_pairs`` of the first block of each class of equal ones (kind ``pair``), and
     each further block of a class with its first (kind ``copy``), so that copies aren't paired all with all."""
-    signed = Rounds(blocks.sparkSession).put(_alike(blocks))
-    pairs = structural_pairs(signed.filter("ord = first").drop("first"), threshold)
+    signed = Rounds(blocks.sparkSession).put(_alike(blocks, F.sha2("source_code", 256)))
+    pairs = structural_pairs(signed.filter("ord = first").drop("first", "again"), threshold)
     copies = signed.filter("ord <> first").select(F.lit("copy").alias("kind"), F.col("first").alias("i"), F.col("ord").alias("j"), F.lit(1.0).alias("similarity"))
     return pairs.select(F.lit("pair").alias("kind"), "i", "j", "similarity").union(copies)
 
@@ -241,21 +256,31 @@ def structural_groups(blocks: DataFrame, threshold: float = STRUCTURAL) -> tuple
     """Groups of structurally similar blocks of one pattern and category.
 
     A group whose members are not all compatible with each other is dropped: line counts beyond 1 to 2, or one
-    function of one file twice. Its members stay free for the semantic layer, not for this one. Equal blocks act as
-    one, the first of them, with the weight of all; all are members and counted.
+    function of one file twice. Its members stay free for the semantic layer, not for this one.
+
+    Blocks of one normal form, with equal features and line count, act as one, the first of them: whatever leads one
+    of them leads all, as their likeness to each other, 0.95 or 1, reaches any threshold up to 0.95. So renamed copies,
+    however many, are one row where blocks are paired, and only distinct forms are compared. Each counts with its own
+    likeness: 1 where its code is the leader's, else that of the forms.
     """
     rounds = Rounds(blocks.sparkSession)
-    signed = rounds.put(_alike(blocks))
-    sizes = signed.groupBy("first").agg(F.count("*").alias("k"), F.max(F.coalesce(text.function_tag(F.col("tags")), F.lit(""))).alias("fn"))
+    code = F.sha2("source_code", 256)
+    signed = rounds.put(_alike(blocks, _same_form(F.col("source_code")) if threshold <= SAME_FORM else code).withColumn("code", code))
+    sizes = signed.groupBy("first").agg(F.count("*").alias("k"), F.max("again").alias("again"))
     firsts = signed.filter("ord = first")
-    pairs = structural_pairs(firsts.drop("first"), threshold)
+    pairs = structural_pairs(firsts.drop("first", "code", "again"), threshold)
     found = leaders(pairs)
-    # Copies of a block are alike to it by 1, unless they are one function of one file.
-    own = sizes.filter("k > 1 AND fn = ''").select(F.col("first").alias("group"), F.lit(1.0).alias("s"), (F.col("k") - 1).alias("w"))
     led = rounds.put(firsts.select("first").join(found, F.col("first") == F.col("node"), "left").select("first", F.coalesce("leader", "first").alias("group")))
-    others = pairs.join(led.filter("first <> group"), (F.col("i") == F.col("group")) & (F.col("j") == F.col("first"))).join(sizes.select("first", "k"), "first")
-    means = others.select("group", F.col("similarity").alias("s"), F.col("k").alias("w")).union(own.join(led.filter("first = group").select("group"), "group")).groupBy("group").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("similarity"))
-    members = signed.join(led, "first").join(means, "group").drop("first").withColumn("hash", text.content_hash(F.col("source_code")))
+    # How many of each form have their leader's code.
+    heads = firsts.select(F.col("first").alias("group"), F.col("code").alias("head"))
+    equal = signed.select("first", "code").join(led, "first").join(heads, "group").groupBy("first").agg(F.count_if(F.col("code") == F.col("head")).alias("same"))
+    # Copies of a leader are alike to it, unless they are one function of one file.
+    own = sizes.filter("k > 1 AND NOT again").select(F.col("first").alias("group"), F.lit(SAME_FORM).alias("s"), (F.col("k") - 1).alias("w"), "first").join(equal, "first")
+    own = own.join(led.filter("first = group").select("first"), "first").select("group", "s", "w", (F.col("same") - 1).alias("same"))
+    others = pairs.join(led.filter("first <> group"), (F.col("i") == F.col("group")) & (F.col("j") == F.col("first"))).join(sizes.select("first", "k"), "first").join(equal, "first")
+    sums = others.select("group", F.col("base").alias("s"), F.col("k").alias("w"), "same").union(own)
+    means = sums.groupBy("group").agg((F.sum(F.col("s") * F.col("w") + (1 - F.col("s")) * F.col("same")) / F.sum("w")).alias("similarity"))
+    members = signed.join(led, "first").join(means, "group").drop("first", "code", "again").withColumn("hash", text.content_hash(F.col("source_code")))
     name = F.nullif(text.function_tag(F.col("tags")), F.lit(""))
     place = F.when(name.isNotNull(), F.concat_ws(":", F.col("file_path"), name))
     fits = members.groupBy("group").agg((F.min("line_count") >= 0.5 * F.max("line_count")).alias("lines"), (F.count(place) == F.countDistinct(place)).alias("functions"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Rounds:
-    """Tables of an iteration, in the shared folder; losing an executor loses none."""
+    """Tables of an iteration, in the shared folder; losing an executor loses none.
+
+    An operator deletes what its result does not read. What it reads stays until ``drop_all``.
+    """
+
+    made: ClassVar[list[Rounds]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+        self.made.append(self)
+
+    @classmethod
+    def drop_all(cls) -> None:
+        """Deletes the tables of all operators of this session; results that still read them can't be read again."""
+        while cls.made:
+            cls.made.pop()._delete("")
+
+    def done(self, df: DataFrame) -> DataFrame:
+        """Writes the result ``df`` and deletes all tables before it."""
+        out = self.put(df)
+        self.drop(*range(1, self.n))
+        return out
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -34,8 +53,11 @@ class Rounds:
     def drop(self, *numbers: int) -> None:
         """Deletes the tables of those numbers (the n-th ``put``)."""
         for k in numbers:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{k}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(f"/{k}")
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -61,4 +83,4 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         labels = rounds.put(labels.join(root, F.col("cluster") == F.col("at"), "left").select("id", F.coalesce("root", "cluster").alias("cluster")))
         ends = left.join(root, F.col("i") == F.col("at")).select(F.col("root").alias("i"), "j").join(root, F.col("j") == F.col("at")).select("i", F.col("root").alias("j"))
         left = rounds.put(ends.filter("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
-    return labels
+    return rounds.done(labels)
