@@ -83,11 +83,25 @@ def strategy(category: Column, occurrences: Column, files: Column) -> Column:
     return out
 
 
+#: Why each strategy is proposed, by the families of ``STRATEGIES``, in their order.
+RATIONALES = {
+    ("logger", "config_access"): ("Logger/config pattern used {occ} times - extract to module constant", "Logger/config pattern used {occ} times across {files} files - centralize configuration"),
+    ("api_handler", "auth_check", "error_handler"): ("API pattern used {occ} times - extract to middleware/util", "API pattern used {occ} times across {files} files - create shared middleware", "API pattern used {occ} times - candidate for framework/MCP abstraction"),
+    ("database_operation",): ("Database pattern used {occ} times - extract to repository method", "Database pattern used {occ} times - create shared query builder"),
+    (): ("Utility pattern used {occ} times in {files} files - extract to local util", "Utility pattern used {occ} times across {files} files - create shared utility", "Utility pattern used {occ} times - consider MCP tool or shared package"),
+}
+ONE_FILE = "All {occ} occurrences in same file - extract to local function"
+
+
 def rationale(category: Column, chosen: Column, occurrences: Column, files: Column) -> Column:
-    family = F.when(category.isin("logger", "config_access"), "Logger/config").when(category.isin("api_handler", "auth_check", "error_handler"), "API").when(category == "database_operation", "Database").otherwise("Utility")
-    one = F.concat(F.lit("All "), occurrences.cast("string"), F.lit(" occurrences in same file"))
-    many = F.concat(family, F.lit(" pattern used "), occurrences.cast("string"), F.lit(" times across "), files.cast("string"), F.lit(" files - "), chosen)
-    return F.when(files == 1, one).otherwise(many)
+    """Why the ``chosen`` strategy of a group is proposed."""
+    out = F.when(files == 1, F.lit(ONE_FILE))
+    for family, rows in STRATEGIES.items():
+        told = F.lit(None).cast("string")
+        for (_, name, _, _), text in zip(rows, RATIONALES[family]):
+            told = F.when(chosen == name, F.lit(text)).otherwise(told)
+        out = out.when(category.isin(*family), told) if family else out.otherwise(told)
+    return F.replace(F.replace(out, F.lit("{occ}"), occurrences.cast("string")), F.lit("{files}"), files.cast("string"))
 
 
 def roi(score: Column, complexity: Column, risk: Column) -> Column:

@@ -244,3 +244,14 @@ def heading_lines(spark, sf_dir):
     k = F.col("doc_id") % 4
     content = F.when(k == 0, F.concat(prose, F.lit("\n  ## two\n# three"))).when(k == 1, prose).when(k == 2, F.concat(F.lit("#"), prose)).otherwise(F.concat(F.lit("\t# x\n"), prose))
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", scanners.heading_line(content).alias("heading_line"))
+
+
+@query(
+    f"WITH {_SUGGEST_SQL} SELECT 'cs_dg_' || substr(h, 1, 12) AS suggestion_id, CASE WHEN files = 1 THEN 'trivial' WHEN category = 'api_handler' THEN CASE WHEN occurrences <= 3 THEN 'simple' WHEN occurrences <= 10 THEN 'moderate' ELSE 'complex' END ELSE CASE WHEN occurrences <= 5 THEN 'trivial' ELSE 'simple' END END AS complexity, "
+    "CASE WHEN files = 1 THEN 'minimal' WHEN category = 'api_handler' THEN CASE WHEN occurrences <= 3 THEN 'low' WHEN occurrences <= 10 THEN 'medium' ELSE 'high' END ELSE CASE WHEN occurrences <= 5 THEN 'minimal' ELSE 'low' END END AS risk, "
+    "CASE WHEN files = 1 THEN 'All ' || occurrences || ' occurrences in same file - extract to local function' WHEN category = 'api_handler' THEN 'API pattern used ' || occurrences || ' times' || CASE WHEN occurrences <= 3 THEN ' - extract to middleware/util' WHEN occurrences <= 10 THEN ' across ' || files || ' files - create shared middleware' ELSE ' - candidate for framework/MCP abstraction' END "
+    "ELSE 'Logger/config pattern used ' || occurrences || ' times' || CASE WHEN occurrences <= 5 THEN ' - extract to module constant' ELSE ' across ' || files || ' files - centralize configuration' END END AS rationale FROM u"
+)
+def suggestion_rationales(spark, sf_dir):
+    """Strategies' risks and reasons, with the values written out in the SQL."""
+    return duplicates.suggestions(_exact(spark, sf_dir)).select("suggestion_id", "complexity", "risk", "rationale")
