@@ -85,29 +85,6 @@ def log_tail(log: DataFrame, order: str, line: str, n: int = 100) -> DataFrame:
     return last.agg(F.count("*").alias("entries"), F.count_if(slow).alias("slow"), F.count_if(F.col(line).contains("failed")).alias("failures"), F.max(F.when(slow, ms)).alias("slowest_ms"))
 
 
-def import_class(line: Column) -> Column:
-    """Module of a Python import and whether it is at the root: every import but dotted ``from`` ones."""
-    source = F.regexp_extract(line, r"^\s*from\s+(\S+)\s+import", 1)
-    plain = F.regexp_extract(line, r"^\s*import\s+([\w.]+)", 1)
-    module = F.when(source != "", source).when(plain != "", plain)
-    return F.struct(module.alias("module"), F.when(source != "", ~source.contains(".")).when(plain != "", True).alias("root"))
-
-
-#: Kinds of files at the root of a repository, by name and by extension.
-ROOT_NAMES = {"config": ("package.json", "tsconfig.json", "pyproject.toml", "setup.py", "requirements.txt", "Makefile", "Dockerfile"), "documentation": ("README.md", "LICENSE", "CHANGELOG.md", "CONTRIBUTING.md")}
-ROOT_EXTENSIONS = {"python": (".py",), "javascript": (".js", ".mjs", ".cjs", ".ts"), "shell": (".sh", ".bash"), "config": (".json", ".yml", ".yaml", ".toml", ".ini"), "documentation": (".md", ".txt", ".rst"), "data": (".csv", ".xml", ".sql")}
-
-
-def root_kind(name: Column) -> Column:
-    """The kind of a root file: by its whole name first, then its extension, else ``other``."""
-    ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    out = None
-    for table, key in ((ROOT_NAMES, name), (ROOT_EXTENSIONS, ext)):
-        for kind, values in table.items():
-            out = F.when(key.isin(*values), kind) if out is None else out.when(key.isin(*values), kind)
-    return out.otherwise("other")
-
-
 def schema_type(path: Column, content: Column, package: Column, remote: Column) -> Column:
     """The kind of a document by its path and content, in turn; a repository with a ``package`` file is an application,
     one with a ``remote`` source code."""

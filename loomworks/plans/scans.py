@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import errors
-from ..operators import gitlog, migration, reports, scanners, scopes
+from ..operators import gitlog, migration, reports, rootdir, scanners, scopes
 from ..sources import files
 from ..streaming import clients, retention, retries
 from .catalog import drain, lifecycle_events, query, table
@@ -186,3 +186,38 @@ def retained_counters(spark, sf_dir):
     retries.use_timers(spark)
     told = drain(retention.changes(lifecycle_events(_events(spark, sf_dir)), 2 * 86_400.0), "append")
     return retention.counters(told).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "status", "n")
+
+
+_ROOT = "CASE p_partkey % 13 WHEN 0 THEN 'util_' || p_partkey || '.py' WHEN 1 THEN 'server_' || p_partkey || '.py' WHEN 2 THEN 'm' || p_partkey || '.py' WHEN 3 THEN 'migrate' || p_partkey || '.py' WHEN 4 THEN 's' || p_partkey || '.sh' WHEN 5 THEN 'conf' || p_partkey || '.yml' WHEN 6 THEN 'd' || p_partkey || '.sqlite' WHEN 7 THEN 'x' || p_partkey || '.log' WHEN 8 THEN '.hidden' || p_partkey || '.py' WHEN 9 THEN 'm' || p_partkey || '.py' WHEN 10 THEN 'n' || p_partkey || '.toml' WHEN 11 THEN 'README' || p_partkey || '.md' ELSE 'm' || p_partkey || '.py' END"
+_ROOT_SQL = (
+    f"f AS (SELECT p_brand AS repo, {_ROOT} AS name, p_partkey AS k FROM part), g AS (SELECT *, lag(name) OVER (PARTITION BY repo ORDER BY k) AS before FROM f), py AS (SELECT * FROM f WHERE name LIKE '%.py'), "
+    "i AS (SELECT g.repo, g.name, left(before, -3) AS module FROM g WHERE name LIKE '%.py' AND before LIKE '%.py' AND k % 2 = 0), used AS (SELECT DISTINCT repo, module || '.py' AS name FROM i), "
+    "c AS (SELECT repo, count(*) AS n FROM f WHERE name LIKE '%.yml' OR name LIKE '%.toml' GROUP BY repo), "
+    "lib AS (SELECT repo, name FROM py WHERE name NOT LIKE '.%' AND (regexp_matches(name, 'lib|util|helper|middleware|config|auth|rate|sentry') OR (repo, name) IN (SELECT repo, name FROM used)) AND NOT regexp_matches(name, 'server|app|main|run|start')), "
+    "r AS (SELECT repo, name, 'move_python_lib' AS id FROM lib UNION ALL SELECT repo, name, 'move_scripts' FROM f WHERE name LIKE 'migrate%' OR name LIKE '%.sh' UNION ALL SELECT repo, name, 'move_data' FROM f WHERE name LIKE '%.sqlite' "
+    "UNION ALL SELECT repo, name, 'move_configs' FROM f JOIN c USING (repo) WHERE n > 5 AND (name LIKE '%.yml' OR name LIKE '%.toml') UNION ALL SELECT repo, name, 'remove_temp' FROM f WHERE name LIKE '%.log')"
+)
+
+
+def _root(spark, sf_dir):
+    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.expr(_ROOT).alias("name"), F.col("p_partkey").alias("k"))
+    placed = own.withColumn("before", F.lag("name").over(Window.partitionBy("repo").orderBy("k")))
+    of = F.when(F.col("before").endswith(".py") & (F.col("k") % 2 == 0), F.concat(F.lit(" from "), F.expr("substring(before, 1, length(before) - 3)"), F.lit(" import a, b")))
+    lines = placed.select("repo", "name", F.explode(F.array(F.lit("import os.path"), F.coalesce(of, F.lit("x = 1")), F.lit("from . import y"))).alias("line"))
+    return own.select("repo", "name"), lines
+
+
+@query(f"WITH {_ROOT_SQL} SELECT repo, name, id, CASE id WHEN 'move_python_lib' THEN 'lib' WHEN 'move_scripts' THEN 'scripts' WHEN 'move_data' THEN 'data' WHEN 'move_configs' THEN 'config' ELSE 'docs (or delete)' END AS target, CASE WHEN id IN ('move_scripts', 'remove_temp') THEN 'low' ELSE 'medium' END AS impact, id NOT IN ('move_scripts', 'remove_temp') AS updates FROM r")
+def root_moves(spark, sf_dir):
+    return rootdir.recommendations(*_root(spark, sf_dir))
+
+
+@query(f"WITH {_ROOT_SQL} SELECT i.repo, i.name AS file, 'from ' || module || ' import' AS old, 'from lib.' || module || ' import' AS new FROM i JOIN lib ON lib.repo = i.repo AND lib.name = module || '.py' UNION ALL SELECT i.repo, i.name, 'from ' || module, 'from lib.' || module FROM i JOIN lib USING (repo, name)")
+def root_import_changes(spark, sf_dir):
+    return rootdir.import_changes(*_root(spark, sf_dir))
+
+
+@query(f"WITH {_ROOT_SQL}, t AS (SELECT repo, count(*) AS total FROM f WHERE name NOT LIKE '.%' GROUP BY repo), n AS (SELECT repo, count(*) AS n FROM r GROUP BY repo) SELECT repo, total, coalesce(n, 0) AS movable, total - coalesce(n, 0) AS rest, CAST(floor(CAST(100 AS DOUBLE) * coalesce(n, 0) / total + 0.5) AS BIGINT) AS percent FROM t LEFT JOIN n USING (repo)")
+def root_statistics(spark, sf_dir):
+    files_, lines = _root(spark, sf_dir)
+    return rootdir.statistics(files_, rootdir.recommendations(files_, lines))

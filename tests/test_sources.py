@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomworks.functions import annotations, errors, text
 from loomworks.functions.lcs import lcs_ratio
-from loomworks.operators import activity, reports, scanners
+from loomworks.operators import activity, reports, rootdir, scanners
 from loomworks.sources import files
 from loomworks.streaming import lifecycle
 
@@ -163,8 +163,10 @@ def test_column_functions(spark):
     assert lcs_ratio("abcbdab", "bdcaba") == 8 / 13 and lcs_ratio("", "x") == 0 and lcs_ratio("a", "a") == 1
     meets = one(spark, annotations.intents_meet(t("filter+map|on:user"), t("map")), annotations.intents_meet(t("find"), t("map")), annotations.intents_meet(t("unknown"), t("unknown")))
     assert list(meets) == [True, False, False]
-    kinds = one(spark, scanners.root_kind(t("Makefile")), scanners.root_kind(t("a.py")), scanners.root_kind(t("zz")), scanners.import_class(t("from os import x")), scanners.import_class(t("from a.b import c")))
-    assert list(kinds)[:3] == ["config", "python", "other"] and tuple(kinds[3]) == ("os", True) and tuple(kinds[4]) == ("a.b", False)
+    names = {"Makefile": "other", "a.py": "python", "A.PY": "other", "zz": "other", "package.json": "packageManager", "tsconfig.json": "config", "render.yaml": "deployment", "x.tsx": "typescript", "b.cjs": "javascript", "c.bash": "shell", "d.sqlite3": "data", "R.md": "documentation", ".py": "other", "e.csv": "other"}
+    assert list(one(spark, *[rootdir.root_kind(t(n)) for n in names])) == list(names.values())
+    lines = {"from os import x": ("from os import x", "os", "root"), "  from a.b import c": ("from a.b import c", "a.b", "package"), "from .a import b": ("from .a import b", ".a", "relative"), "import m.n, o": ("import m.n, o", "m.n,", "root"), "x = 1": None}
+    assert [i and tuple(i) for i in one(spark, *[rootdir.import_class(t(x)) for x in lines])] == list(lines.values())
     assert one(spark, scanners.inject_after_heading(t("x\n# T\ny"), t("B")), scanners.inject_after_heading(t("x"), t("B"))) == ("x\n# T\n\nB\n\ny", "\nB\n\nx")
     assert one(spark, errors.classify(t(None).cast("string"), t(429), t("slow down"))).c0.category == "retryable"
 
