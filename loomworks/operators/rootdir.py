@@ -1,6 +1,6 @@
 """Files at the root of repositories: their kinds, who imports whom, and where they had better go.
 
-``files`` is a table (repo, name) of root files; ``lines`` (repo, name, line) has the lines of their contents. Work is
+``files`` is a table (repo, name) of root files, of which hidden ones are left out; ``lines`` (repo, name, line) has the lines of their contents. Work is
 by rows of files and imports; a repository is a key like any other, and only counts are taken over it.
 """
 
@@ -47,16 +47,20 @@ def import_class(line: Column) -> Column:
     return F.when((of != "") | (plain != ""), F.struct(told.alias("statement"), F.when(of != "", of).otherwise(plain).alias("module"), place.alias("place")))
 
 
+def _python(files: DataFrame) -> DataFrame:
+    return files.filter((root_kind(F.col("name")) == "python") & ~F.col("name").startswith(".")).select("repo", "name")
+
+
 def root_imports(files: DataFrame, lines: DataFrame) -> DataFrame:
     """(repo, name, statement): the imports of the root in the Python files at the root, each line's."""
-    python = files.filter(root_kind(F.col("name")) == "python").select("repo", "name")
+    python = _python(files)
     told = lines.select("repo", "name", import_class(F.col("line")).alias("i")).filter("i.place = 'root'")
     return told.join(python, ["repo", "name"], "left_semi").select("repo", "name", F.col("i.statement").alias("statement"))
 
 
 def importers(files: DataFrame, imports: DataFrame) -> DataFrame:
     """(repo, name, importer) of Python files that others import by ``from name import``."""
-    python = files.filter(root_kind(F.col("name")) == "python").select("repo", "name")
+    python = _python(files)
     stated = F.regexp_replace(F.regexp_replace("statement", "^from ", ""), "(?s) import.*", "")
     return imports.select("repo", F.concat(stated, F.lit(".py")).alias("of"), F.col("name").alias("importer")).join(python.withColumnRenamed("name", "of"), ["repo", "of"]).select("repo", F.col("of").alias("name"), "importer")
 

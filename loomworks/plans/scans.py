@@ -191,7 +191,7 @@ def retained_counters(spark, sf_dir):
 _ROOT = "CASE p_partkey % 13 WHEN 0 THEN 'util_' || p_partkey || '.py' WHEN 1 THEN 'server_' || p_partkey || '.py' WHEN 2 THEN 'm' || p_partkey || '.py' WHEN 3 THEN 'migrate' || p_partkey || '.py' WHEN 4 THEN 's' || p_partkey || '.sh' WHEN 5 THEN 'conf' || p_partkey || '.yml' WHEN 6 THEN 'd' || p_partkey || '.sqlite' WHEN 7 THEN 'x' || p_partkey || '.log' WHEN 8 THEN '.hidden' || p_partkey || '.py' WHEN 9 THEN 'm' || p_partkey || '.py' WHEN 10 THEN 'n' || p_partkey || '.toml' WHEN 11 THEN 'README' || p_partkey || '.md' ELSE 'm' || p_partkey || '.py' END"
 _ROOT_SQL = (
     f"f AS (SELECT p_brand AS repo, {_ROOT} AS name, p_partkey AS k FROM part), g AS (SELECT *, lag(name) OVER (PARTITION BY repo ORDER BY k) AS before FROM f), py AS (SELECT * FROM f WHERE name LIKE '%.py'), "
-    "i AS (SELECT g.repo, g.name, left(before, -3) AS module FROM g WHERE name LIKE '%.py' AND before LIKE '%.py' AND k % 2 = 0), used AS (SELECT DISTINCT repo, module || '.py' AS name FROM i), "
+    "i AS (SELECT g.repo, g.name, left(before, -3) AS module FROM g WHERE name LIKE '%.py' AND name NOT LIKE '.%' AND before LIKE '%.py' AND before NOT LIKE '.%' AND k % 2 = 0), used AS (SELECT DISTINCT repo, module || '.py' AS name FROM i), "
     "c AS (SELECT repo, count(*) AS n FROM f WHERE name LIKE '%.yml' OR name LIKE '%.toml' GROUP BY repo), "
     "lib AS (SELECT repo, name FROM py WHERE name NOT LIKE '.%' AND (regexp_matches(name, 'lib|util|helper|middleware|config|auth|rate|sentry') OR (repo, name) IN (SELECT repo, name FROM used)) AND NOT regexp_matches(name, 'server|app|main|run|start')), "
     "r AS (SELECT repo, name, 'move_python_lib' AS id FROM lib UNION ALL SELECT repo, name, 'move_scripts' FROM f WHERE name LIKE 'migrate%' OR name LIKE '%.sh' UNION ALL SELECT repo, name, 'move_data' FROM f WHERE name LIKE '%.sqlite' "
