@@ -1,5 +1,9 @@
 import random
+from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from loomworks.operators import duplicates
 from loomworks.operators.duplicates import leaders
 
 
@@ -32,3 +36,25 @@ def test_random_graph(spark):
     rng = random.Random(4)
     edges = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(120)}
     assert found(spark, edges) == greedy(edges)
+
+
+def test_iterations_delete_their_rounds(spark):
+    """One table is left of each iteration, and none once all are dropped."""
+    from loomworks.operators import graph
+    from loomworks.streaming import lifecycle
+
+    def tables():
+        return [sorted(p.name for p in Path(r.path.removeprefix("file:")).glob("*")) for r in graph.Rounds.made]
+
+    graph.Rounds.drop_all()
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "i long, j long")
+    results = [
+        graph.components(spark.range(41), links),
+        duplicates.leaders(links),
+        lifecycle.retry_lineage(links.select(F.col("j").alias("id"), F.col("i").alias("retried_from"))),
+    ]
+    assert [r.count() for r in results] == [41, 41, 40]
+    assert [len(t) for t in tables()] == [1, 1, 1]
+    paths = [Path(r.path.removeprefix("file:")) for r in graph.Rounds.made]
+    graph.Rounds.drop_all()
+    assert graph.Rounds.made == [] and not any(p.exists() for p in paths)
