@@ -77,6 +77,14 @@ def test_empty(spark):
     assert ask(spark, [], items) == [] and ask(spark, docs, []) == brute(docs, []) and ask(spark, docs, [(1, "?!")]) == brute(docs, [])
 
 
+def test_clashing_columns_pass(spark):
+    docs, items = planted(3, 30)
+    d = spark.createDataFrame([(i, t, 1, "h", 2, "w") for i, t in docs], "doc_id long, text string, id long, hash string, i int, win string")
+    found = dc.contamination(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert found.columns[:6] == ["doc_id", "text", "id", "hash", "i", "win"] and found.filter("id = 1 AND hash = 'h' AND i = 2 AND win = 'w'").count() == 30
+    assert sorted((tuple(r) for r in dc.digest(found).collect()), key=str) == brute(docs, items)
+
+
 def test_native(spark):
     """No Python worker runs in the plan of occurrences or of the digest."""
     d, q = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
