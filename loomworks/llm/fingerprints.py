@@ -159,7 +159,8 @@ def pairs_within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words
     agree in two blocks at least, so each pair of blocks is a table with those bits in front (a permuted table), and
     the tables are joined on them. A pair is taken in the first table that has it. Where more than ``crowd`` indexed
     fingerprints share a table's bits, they are dealt over salts that every asked one goes to, so no group is one
-    task's and none is left out.
+    task's and none is left out. A fingerprint on both sides meets itself at distance 0. Fingerprints must not be null;
+    repeated ones give repeated pairs; either side may be empty.
     """
     pairs = list(combinations(range(radius + 2), 2))
 
@@ -184,7 +185,8 @@ def pairs_within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words
 
 def within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int = len(SEEDS)) -> DataFrame:
     """(fp, n_within, first_within) of the distinct asked fingerprints: the rows and least id of the indexed classes
-    (``fp``, ``n``, ``least``) within ``radius`` bits. Copies are counted by their class, never expanded."""
+    (``fp``, ``n``, ``least``) within ``radius`` bits. Copies are counted by their class, never expanded. An asked one
+    without any indexed within the radius has no row; a null ``least`` is passed over where others are."""
     found = pairs_within(index, asked, radius, words)
     return found.join(index, F.col("y") == F.col("fp")).groupBy("x").agg(F.sum("n").alias("n_within"), F.min("least").alias("first_within")).withColumnRenamed("x", "fp")
 
@@ -193,7 +195,8 @@ def search(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int
     """(``asked_id``, ``id``, ``distance``): all rows of ``index`` within ``radius`` bits of the asked rows.
 
     Both tables have ``id`` and ``fp``, arrays of ``words`` longs. Equal fingerprints are searched as one class and
-    expanded only in this result; ``within`` counts them instead.
+    expanded only in this result; ``within`` counts them instead. Null ids and repeated rows are rows like others; an
+    empty side gives an empty result. Other columns are not read.
     """
     found = pairs_within(index.select("fp").distinct(), asked.select("fp").distinct(), radius, words)
     rows = asked.select(F.col("id").alias("asked_id"), F.col("fp").alias("x")).join(found, "x").select("asked_id", "y", "distance")

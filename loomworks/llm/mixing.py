@@ -99,7 +99,9 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, sha
 def mixed(docs: DataFrame, size: Column, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` as the mix takes them: a document taken twice is two rows, one not taken whole is none.
 
-    All columns pass through. Rows that share an id share their copies (the largest of any).
+    All columns pass through. Rows that share an id share their copies (the largest of any); a null id is such an id.
+    Null texts have size 0 and a null source is a source. A very long document is taken whole or not at all. An empty
+    table gives an empty result.
     """
     plan = mix(docs, size, id_col=id_col, **options).filter("copies > 0").groupBy(id_col).agg(F.max("copies").alias("__mix_copies"))
     docs = without(docs, ["__mix_copies", "__mix_n"])

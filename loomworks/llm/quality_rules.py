@@ -100,7 +100,8 @@ def plan(texts: DataFrame, rules: list[Rule], text_col: str = "text", sample_row
     it, from the text on, so the metrics it needs are in its cost and others are not. A time is the least of ``runs``
     rounds over all rules after one that warms up, as what else a machine does only adds to it; less that of a job that
     only reads the texts, and at least a twentieth of that: what is less can't be told apart. Rules go by name where they
-    tie. The sample decides the order alone, never a verdict.
+    tie. The sample decides the order alone, never a verdict. Null and empty texts are rows of it like others; of an
+    empty table every rule rejects nothing, and the order is that of the names.
     """
     tables = SharedTables(texts.sparkSession, "rules")
     total = texts.count()

@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
     Equal texts have equal fingerprints and are in one component; so are all texts without words. A null id
     takes part but is never a component's id unless all ids of the component are null. Rows of one id count
-    each. An empty table gives an empty result. Other columns are not read.
+    each. A very long text is read whole, its shingles in slices. An empty table gives an empty result. Other columns
+    are not read.
     """
     tables = SharedTables(docs.sparkSession, "simhash")
     made = tables.put(fingerprints(docs, shingle, seed, id_col, text_col))

@@ -153,7 +153,9 @@ def segment(names: DataFrame, known: Unigrams, weights: dict[str, float] | None
     """(name, words, host_score, path_score) of distinct ``names``: their Viterbi words and the sums of their weights.
 
     A name's parts of up to ``longest`` letters join the table of words. Short parts are in a great many names; words of
-    up to 3 letters are copied to ``SALTS`` salts for them.
+    up to 3 letters are copied to ``SALTS`` salts for them. A name of no known part is one word; a very long one takes
+    memory in proportion to its length and its known parts. Names must not be null or empty, and equal ones be given
+    once; no names, or no words, are no error. Among equal splits see ``viterbi``.
     """
     weights = weights or {}
     salt = lambda word, of: F.when(F.length(word) <= 3, of).otherwise(0)
