@@ -48,11 +48,12 @@ class Scan:
     metrics: DataFrame
 
 
-def scan(matches: DataFrame, repository: str, lines: DataFrame | None = None) -> Scan:
-    """Blocks, one a function or place; the groups of all layers; a suggestion a group; the metrics over them."""
+def scan(matches: DataFrame, repository: str, lines: DataFrame | None = None, total_lines: int | None = None) -> Scan:
+    """Blocks, one a function or place; the groups of all layers; a suggestion a group; the metrics over them, whose share
+    of duplicated lines is of ``total_lines``, or of the blocks' where that is not known."""
     rounds = Rounds(matches.sparkSession)
     blocks = rounds.put(duplicates.dedup_blocks(code_blocks(matches, repository, lines)))
     groups, members = duplicates.detect(blocks)
     groups = rounds.put(groups)
     told = rounds.put(duplicates.suggestions(groups))
-    return Scan(blocks, groups, members, told, metrics.scan_metrics(blocks, groups, told))
+    return Scan(blocks, groups, members, told, metrics.scan_metrics(blocks, groups, told, total_lines))

@@ -265,7 +265,7 @@ def roi_ranked(spark, sf_dir):
     "count(*) FILTER (complexity = 'trivial') AS trivial_suggestions, count(*) FILTER (impact >= 75) AS high_priority, floor(sum(total_lines) / any_value(lines) * 100 * 100 + 0.5) / 100 AS duplication_percentage, CAST(1.0 AS DOUBLE) AS avg_tags_per_block FROM u, bb"
 )
 def scan_metrics(spark, sf_dir):
-    groups = _exact(spark, sf_dir)
+    groups = graph.Rounds(spark).put(_exact(spark, sf_dir))  # several aggregates read them
     found = metrics.scan_metrics(document_blocks(spark, sf_dir), groups, duplicates.suggestions(groups))
     return found.select("total_code_blocks", "total_duplicate_groups", "exact_duplicates", "total_duplicated_lines", "potential_loc_reduction", "quick_wins", "high_impact", "trivial_suggestions", "high_priority", "duplication_percentage", "avg_tags_per_block")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import annotations, errors, text
-from ..operators import activity, constants, duplicates, extraction, jobs, metrics, scanners, testsuite
+from ..operators import activity, constants, duplicates, extraction, graph, jobs, metrics, scanners, testsuite
 from .catalog import _SUGGEST_SQL, _exact, query, table
 
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')"
@@ -71,7 +71,7 @@ def total_capacity(spark, sf_dir):
 
 @query(f"WITH {_SUGGEST_SQL} SELECT avg(roi) AS avg_roi, min(roi) AS min_roi, max(roi) AS max_roi, coalesce(max(impact), 0) AS top_impact FROM u")
 def roi_summary(spark, sf_dir):
-    groups = _exact(spark, sf_dir)
+    groups = graph.Rounds(spark).put(_exact(spark, sf_dir))
     return metrics.roi_summary(duplicates.suggestions(groups), groups)
 
 

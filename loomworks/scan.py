@@ -59,14 +59,14 @@ def report(found: extraction.Scan, most: int = LISTED) -> str:
 
 def run(spark: SparkSession, source: str, out: str, lines: str | None = None) -> extraction.Scan:
     """Reads, scans and writes; ``lines`` names the folder of the repository's files for the search of function names."""
-    matches, repository, _ = read_input(spark, source)
+    matches, repository, total = read_input(spark, source)
     text = None
     if lines:
         whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(lines).select(F.col("_metadata.file_path").alias("at"), "value")
         root = F.concat(F.lit(lines.rstrip("/")), F.lit("/"))
         relative = F.expr("substring(at, locate(root, at) + length(root))")
         text = scanners.lines(whole.withColumn("root", root).select(relative.alias("file_path"), "value"), "file_path", "value")
-    found = extraction.scan(matches, repository, text)
+    found = extraction.scan(matches, repository, text, total)
     for name, rows in (("code_blocks", found.blocks), ("duplicate_groups", found.groups), ("members", found.members), ("suggestions", found.suggestions), ("metrics", found.metrics)):
         rows.write.mode("overwrite").json(f"{out}/{name}")
     spark.createDataFrame([(report(found),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report.md")

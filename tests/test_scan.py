@@ -52,7 +52,8 @@ def test_scan(spark, source, tmp_path):
     assert lines[0]["group_id"].startswith("dg_") and lines[0]["occurrences"] == 3
     told = "".join(f.read_text() for f in (out / "report.md").glob("part*"))
     assert all(x in told for x in ("# Duplicate report", "## Metrics", "## Strategies", "## Groups by impact", "## Suggestions by return", "### cs_dg_", "1. "))
-    assert found.metrics.first()["total_duplicate_groups"] == 1
+    told = found.metrics.first()
+    assert told["total_duplicate_groups"] == 1 and told["duplication_percentage"] == round(100 * told["total_duplicated_lines"] / 900, 2)
 
 
 def test_bad_input_gives_an_error_and_no_output(spark, tmp_path, capsys, monkeypatch):
