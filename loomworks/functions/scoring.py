@@ -29,6 +29,7 @@ STEPS = {
     "local_util": (("Create utility function in local utils module", True, "15min"), ("Extract common logic from duplicate blocks", False, "30min"), ("Replace each occurrence with function call", True, "20min"), ("Add unit tests for extracted function", False, "30min"), ("Run existing tests to verify behavior", True, "10min")),
     "shared_package": (("Create shared package/module for utility", False, "1h"), ("Extract and parameterize common logic", False, "1h"), ("Add comprehensive tests to shared package", False, "45min"), ("Update each file to import from shared package", True, "30min"), ("Replace duplicates with shared function calls", True, "30min"), ("Update package.json/requirements.txt dependencies", False, "15min"), ("Run full test suite across affected projects", True, "20min")),
     "mcp_server": (("Design MCP tool interface for functionality", False, "2h"), ("Create MCP server with tool implementation", False, "4h"), ("Add MCP tool schema and documentation", False, "1h"), ("Test MCP tool independently", False, "1h"), ("Update projects to use MCP client", False, "2h"), ("Replace duplicates with MCP tool calls", True, "1h"), ("Add integration tests", False, "2h"), ("Document MCP tool usage", False, "1h")),
+    "autonomous_agent": (("Define agent capabilities and workflow", False, "3h"), ("Design agent prompt and tool access", False, "2h"), ("Implement agent logic and orchestration", False, "8h"), ("Create agent tests and safety checks", False, "3h"), ("Integrate agent with existing systems", False, "4h"), ("Replace complex duplicate logic with agent calls", False, "2h"), ("Monitor agent performance and behavior", False, "ongoing"), ("Document agent usage and limitations", False, "2h")),
 }
 
 

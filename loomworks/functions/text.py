@@ -198,13 +198,12 @@ def numeric_literal(text: Column) -> Column:
     """The number that a literal stands for: marks, ``n``, a last point and underscores dropped; 0x, 0o and 0b read."""
     t = F.regexp_replace(F.trim(text), r"[,;:]$", "")
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"n$", ""), r"(?<=.)\.$", ""), "_", "")
-    digits = F.lower(F.regexp_extract(t, r"^-?0[xXoObB](.*)$", 1))
-    sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
-    out = F.expr("try_cast(NULL AS DOUBLE)")
-    case = F.when(t.rlike(r"^-?0[xX][0-9A-Fa-f]+$"), sign * F.conv(digits, 16, 10).cast("double"))
-    case = case.when(t.rlike(r"^-?0[oO][0-7]+$"), sign * F.conv(digits, 8, 10).cast("double"))
-    case = case.when(t.rlike(r"^-?0[bB][01]+$"), sign * F.conv(digits, 2, 10).cast("double"))
-    return case.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double")).otherwise(out)
+    digits = F.lower(F.regexp_extract(t, r"^0[xXoObB](.*)$", 1))
+    case = None
+    for mark, of, base in (("[xX]", "[0-9A-Fa-f]+", 16), ("[oO]", "[0-7]+", 8), ("[bB]", "[01]+", 2)):  # these take no sign
+        hit = t.rlike(f"^0{mark}{of}$")
+        case = F.when(hit, F.conv(digits, base, 10).cast("double")) if case is None else case.when(hit, F.conv(digits, base, 10).cast("double"))
+    return case.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0, one_empty: float = 0.5) -> Column:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomworks.functions import scoring
+from loomworks.functions import scoring, text
 from loomworks.operators import reports
 
 LOCAL, SHARED, SERVER = "local_util", "shared_package", "mcp_server"
@@ -55,3 +55,25 @@ def test_string_kinds(spark):
     }
     rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", reports.string_kind(F.col("s")).alias("k")).collect()
     assert {r.s: r.k for r in rows} == want
+
+
+def test_steps(spark):
+    rows = spark.createDataFrame([(x,) for x in (LOCAL, SHARED, SERVER, "autonomous_agent")], "s string").select("s", scoring.steps(F.col("s")).alias("steps")).collect()
+    assert {r.s: (len(r.steps), [x.step for x in r.steps if x.automated], r.steps[0].what, r.steps[-1].time) for r in rows} == {
+        LOCAL: (5, [1, 3, 5], "Create utility function in local utils module", "10min"), SHARED: (7, [4, 5, 7], "Create shared package/module for utility", "20min"),
+        SERVER: (8, [6], "Design MCP tool interface for functionality", "1h"), "autonomous_agent": (8, [], "Define agent capabilities and workflow", "2h"),
+    }
+
+
+def test_numeric_literals(spark):
+    want = {"5_000,": 5000.0, " 12n": 12.0, "3.": 3.0, "0x1F": 31.0, "0b101;": 5.0, "0O17": 15.0, "-0x10": None, "-4.5": -4.5, "+.5": 0.5, "1e3": 1000.0, ".": None, "": None, "x": None, "1.2.3": None, "n": None}
+    rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", text.numeric_literal(F.col("s")).alias("v")).collect()
+    assert {r.s: r.v for r in rows} == want
+
+
+def test_languages_and_categories(spark):
+    paths = {"a.js": "javascript", "b.MTS": "typescript", "x/c.h": "c", "d.cxx": "cpp", "e.kt": "kotlin", "f.svelte": "svelte", "g.cs": "csharp", "h": "unknown", ".py": "unknown", "i.tar.gz": "unknown", "j.php": "php"}
+    rules = {"validation": "validator", "request-validation": "validator", "query-builders": "database_operation", "promise-chains": "async_pattern", "config-objects": "config_access", "logger-patterns": "logger", "process-io": "process_io", "timing-patterns": "timing", "tracing-patterns": "tracing", "type-checking": "utility", "other": "utility", "error-responses": "error_handler", "auth-checks": "auth_check"}
+    for table, of in ((paths, text.language), (rules, text.category)):
+        rows = spark.createDataFrame([(k,) for k in table], "s string").select("s", of(F.col("s")).alias("v")).collect()
+        assert {r.s: r.v for r in rows} == table
