@@ -36,6 +36,11 @@ def language_histogram(files: DataFrame, path: str = "path") -> DataFrame:
     return lang.groupBy("language").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "language")
 
 
+def top_languages(files: DataFrame, path: str = "path", n: int = 10) -> DataFrame:
+    """The ``n`` languages of most changed files, ties by name."""
+    return language_histogram(files, path).limit(n)
+
+
 def monthly(commits: DataFrame, at: str, *keys: str) -> DataFrame:
     """Commits by ``yyyy-MM`` (and ``keys``), in order."""
     month = F.date_format(at, "yyyy-MM").alias("month")

@@ -78,3 +78,9 @@ def repeated_values(lines: DataFrame, line: str = "line", most: int = 20) -> Dat
     found = lines.filter(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).alias("name"), value.alias("value")).filter(F.col("value").rlike(_KEPT))
     top = found.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), F.desc("value")).limit(most)
     return found.join(F.broadcast(top), "value").groupBy("value", "n").agg(F.array_sort(F.collect_list("name")).alias("names")).orderBy(F.desc("n"), F.desc("value"))
+
+
+def distinct_constants(found: DataFrame, order: str = "ord") -> DataFrame:
+    """Constants (path, line, name, value ...), the first in ``order`` of each place, name and value."""
+    row = F.min_by(F.struct(*found.columns), order).alias("row")
+    return found.groupBy("path", "line", "name", "value").agg(row).select("row.*")

@@ -373,6 +373,13 @@ def suggestions(groups: DataFrame) -> DataFrame:
     return out
 
 
+def blocks_of_scans(scans: DataFrame) -> DataFrame:
+    """The blocks of all scans (repository_name, repository_path, code_blocks), each with its ``source_repository`` and
+    ``source_repository_path``. Scans without blocks have none."""
+    source = (F.col("repository_name").alias("source_repository"), F.col("repository_path").alias("source_repository_path"))
+    return scans.select(*source, F.explode("code_blocks").alias("b")).select("b.*", "source_repository", "source_repository_path")
+
+
 def cross_groups(blocks: DataFrame) -> DataFrame:
     """Groups of equal ``content_hash`` in two or more repositories, with impact, strategy, complexity, risk and return."""
     c = F.col

@@ -12,8 +12,13 @@ STATUSES = ("queued", "running", "completed", "failed", "cancelled", "paused")
 TERMINAL = ("completed", "failed", "cancelled")
 ID_PATTERN = r"^[a-zA-Z0-9_-]{1,100}$"
 JSON_COLUMNS = ("data", "result", "error", "git")
-#: Display names of pipelines.
 PAGE_LIMIT, PAGE_MOST = 50, 1000
+#: Display names of pipelines.
+PIPELINE_NAMES = {
+    "duplicate-detection": "Duplicate Detection", "repomix": "Repomix Automation", "git-activity": "Git Activity Reporter", "claude-health": "Claude Health Monitor", "gitignore-manager": "Gitignore Manager",
+    "plugin-manager": "Plugin Manager", "doc-enhancement": "Doc Enhancement", "test-refactor": "Test Refactor", "schema-enhancement": "Schema Enhancement", "bugfix-audit": "Bugfix Audit",
+    "dashboard-populate": "Dashboard Populate", "repo-cleanup": "Repository Cleanup", "unknown": "Unknown Pipeline",
+}
 
 
 def json_or_null(column: str) -> Column:
@@ -51,6 +56,23 @@ def select_jobs(jobs: DataFrame, pipeline: str | None = None, status: str | None
     return jobs if statuses is None else jobs.filter(F.col("status").isin(*statuses))
 
 
+def by_id(jobs: DataFrame, wanted: str) -> DataFrame:
+    """The job of an id, or none."""
+    return jobs.filter(F.col("id") == wanted)
+
+
+def pipeline_name(pipeline: Column) -> Column:
+    """The display name of a pipeline; its own id where it has none."""
+    names = F.create_map(*[F.lit(x) for pair in PIPELINE_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, pipeline), pipeline)
+
+
+def api_view(jobs: DataFrame) -> DataFrame:
+    """Jobs as listings show them, with their pipeline's display name."""
+    own = [F.col(c) for c in ("status", "created_at", "started_at", "completed_at", "error", "result", "data") if c in jobs.columns]
+    return jobs.select("id", "pipeline_id", pipeline_name(F.col("pipeline_id")).alias("pipeline_name"), *own)
+
+
 def page(jobs: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
     """Newest first, ties by id; a limit of 0 gives no rows."""
     return jobs.orderBy(F.col("created_at").desc(), F.col("id")).offset(offset).limit(limit)

@@ -45,6 +45,12 @@ def timeout_findings(files: DataFrame, key: str = "file_path", content: str = "c
     return hits.select(key, "line_no", "f.severity", "f.category", "snippet")
 
 
+def detection_stats(matches: DataFrame, rules: DataFrame, key: str = "file_path") -> DataFrame:
+    """One row: matches, rules applied, whether they matched or not, and distinct files with a match."""
+    told = matches.agg(F.count("*").alias("total_matches"), F.countDistinct(key).alias("files_scanned"))
+    return told.join(F.broadcast(rules.agg(F.count("*").alias("rules_applied"))))  # one row each
+
+
 def breakdown(findings: DataFrame, key: str = "file_path") -> DataFrame:
     """Findings and distinct files by severity and category."""
     return findings.groupBy("severity", "category").agg(F.count("*").alias("findings"), F.countDistinct(key).alias("files"))

@@ -255,3 +255,45 @@ def heading_lines(spark, sf_dir):
 def suggestion_rationales(spark, sf_dir):
     """Strategies' risks and reasons, with the values written out in the SQL."""
     return duplicates.suggestions(_exact(spark, sf_dir)).select("suggestion_id", "complexity", "risk", "rationale")
+
+
+_PIPE = "CASE user_id % 5 WHEN 0 THEN 'repomix' WHEN 1 THEN 'claude-health' WHEN 2 THEN 'repo-cleanup' WHEN 3 THEN 'own' ELSE 'unknown' END"
+
+
+@query(f"SELECT event_id AS id, {_PIPE} AS pipeline_id, CASE user_id % 5 WHEN 0 THEN 'Repomix Automation' WHEN 1 THEN 'Claude Health Monitor' WHEN 2 THEN 'Repository Cleanup' WHEN 3 THEN 'own' ELSE 'Unknown Pipeline' END AS pipeline_name, event_type AS status, props AS data FROM events")
+def job_view(spark, sf_dir):
+    return jobs.api_view(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(_PIPE).alias("pipeline_id"), F.col("event_type").alias("status"), F.col("props").alias("data")))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS status FROM events WHERE event_id = 77")
+def job_by_id(spark, sf_dir):
+    return jobs.by_id(table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("status")), "77")
+
+
+@query("SELECT (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS total_matches, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_returnflag = 'R') AS files_scanned, (SELECT count(*) FROM part) AS rules_applied")
+def detection_stats(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("file_path"))
+    return scanners.detection_stats(found, table(spark, sf_dir, "part").select("p_partkey"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS content_hash, n_name AS source_repository, '/code/' || n_name AS source_repository_path FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def blocks_of_scans(spark, sf_dir):
+    """Blocks of a scan a nation; nations without suppliers have scans without blocks."""
+    by = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("content_hash"))).alias("code_blocks"))
+    n = table(spark, sf_dir, "nation")
+    scans = n.join(by, n["n_nationkey"] == by["s_nationkey"], "left").select(F.col("n_name").alias("repository_name"), F.concat(F.lit("/code/"), "n_name").alias("repository_path"), "code_blocks")
+    return duplicates.blocks_of_scans(scans)
+
+
+@query("SELECT path, line, name, value, min(ord) AS ord FROM (SELECT l_orderkey * 10 + l_linenumber AS ord, 'c' || l_suppkey % 7 || '.ts' AS path, l_partkey % 30 AS line, 'N' || l_linenumber AS name, l_tax AS value FROM lineitem) GROUP BY ALL")
+def distinct_constants(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    made = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("c"), (F.col("l_suppkey") % 7).cast("string"), F.lit(".ts")).alias("path"), (F.col("l_partkey") % 30).alias("line"), F.concat(F.lit("N"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_tax").alias("value"))
+    return constants.distinct_constants(made)
+
+
+@query("WITH f AS (SELECT CASE p_partkey % 14 WHEN 0 THEN 'Python' WHEN 1 THEN 'Python' WHEN 2 THEN 'JavaScript' WHEN 3 THEN 'TypeScript' WHEN 4 THEN 'Images' WHEN 5 THEN 'Text Files' WHEN 6 THEN 'Data Files' WHEN 7 THEN 'Other' WHEN 8 THEN 'Other' WHEN 9 THEN 'Other' WHEN 10 THEN 'Images' WHEN 11 THEN 'HTML' END AS language FROM part) SELECT language, count(*) AS files FROM f WHERE language IS NOT NULL GROUP BY 1 ORDER BY files DESC, language LIMIT 4")
+def top_languages(spark, sf_dir):
+    names = ("a.py", "b/c.py", "d.js", "e.ts", "f.png", "g.log", "h.csv", "i.zzz", "j.zzz", "k.zzz", "l.svg.gif", "m.html", "noext", "dir/noext")
+    path = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_partkey") % 14 + 1).cast("int"))
+    return activity.top_languages(table(spark, sf_dir, "part").select(path.alias("path")), n=4)
