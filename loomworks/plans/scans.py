@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import errors
 from ..operators import gitlog, migration, reports, rootdir, scanners, scopes
 from ..sources import files
-from ..streaming import clients, retention, retries
+from ..streaming import clients, lifecycle, retention, retries
 from .catalog import drain, lifecycle_events, query, table
 
 _STEP = "CASE p_partkey % 7 WHEN 0 THEN 'Update import of x from ' || chr(39) || './s' || p_partkey % 100 || chr(39) || ' to \"../lib/t' || p_size || '\"' WHEN 1 THEN 'replace calls to f' || p_partkey % 200 || ' with util.g' || p_size WHEN 2 THEN 'Remove duplicate const c' || p_partkey % 200 || ' from it' WHEN 3 THEN 'Add import ' || chr(39) || '{ a' || p_size || ' }' || chr(39) || ' from \"./n' || p_partkey || '\"' WHEN 4 THEN 'Update import from ./s' || p_size WHEN 5 THEN 'Remove duplicate f' || p_size ELSE p_name END"
@@ -221,3 +221,10 @@ def root_import_changes(spark, sf_dir):
 def root_statistics(spark, sf_dir):
     files_, lines = _root(spark, sf_dir)
     return rootdir.statistics(files_, rootdir.recommendations(files_, lines))
+
+
+@query("SELECT count(*) AS total_scans, count(*) FILTER (event_type <> 'error') AS successful_scans, count(*) FILTER (event_type = 'error') AS failed_scans, CAST(coalesce(sum(user_id % 5) FILTER (event_type <> 'error'), 0) AS BIGINT) AS duplicates, CAST(coalesce(sum(event_id % 3) FILTER (event_type <> 'error'), 0) AS BIGINT) AS suggestions, CAST(coalesce(sum(CASE WHEN value >= 75 THEN 1 ELSE 0 END + CASE WHEN value * 2 >= 75 THEN 1 ELSE 0 END) FILTER (event_type <> 'error'), 0) AS BIGINT) AS high_impact FROM events")
+def stream_scan_counters(spark, sf_dir):
+    """Running counters over a stream of scans."""
+    rows = _events(spark, sf_dir).select((F.col("event_type") != "error").alias("ok"), (F.col("user_id") % 5).alias("groups"), (F.col("event_id") % 3).alias("suggestions"), F.array(F.col("value"), F.col("value") * 2).alias("impacts"))
+    return drain(lifecycle.scan_counters(rows), "complete")

@@ -34,6 +34,15 @@ def status_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return once.groupBy("event").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 
 
+def scan_counters(scans: DataFrame, least: float = 75.0) -> DataFrame:
+    """One row over a stream of scans (ok, groups, suggestions, impacts): all, successful and failed scans, and what the
+    successful ones found: groups, suggestions and groups of an impact of ``least`` or more. Nulls count 0."""
+    ok = F.coalesce("ok", F.lit(False))
+    of = lambda x: F.coalesce(F.sum(F.when(ok, x)), F.lit(0)).cast("long")
+    high = F.size(F.filter("impacts", lambda x: x >= least))
+    return scans.agg(F.count("*").alias("total_scans"), F.count_if(ok).alias("successful_scans"), F.count_if(~ok).alias("failed_scans"), of(F.col("groups")).alias("duplicates"), of(F.col("suggestions")).alias("suggestions"), of(F.greatest(high, F.lit(0))).alias("high_impact"))
+
+
 def rolling_counts(events: DataFrame, late: str = "10 minutes", length: str = "1 hour", step: str = "15 minutes") -> DataFrame:
     """Events by kind in sliding windows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length, step), "event").agg(F.count("*").alias("n"))
