@@ -61,8 +61,8 @@ def test_equals_brute_force(spark, options):
 
 
 def test_odd_rows(spark, odd_docs):
-    docs = [(r[0], r[1]) for r in odd_docs] + [(None, "one two three"), (None, "one two three"), (8, "one TWO-three four")]
-    items = [(1, "one two three"), (1, "one two three"), (12, "Two three"), (None, "a b c"), (3, None), (4, "--"), (5, odd_docs[8][1]), (6, "größe naïve café the end tis 42 日本 🙂 x")]
+    docs = [(r[0], r[1]) for r in odd_docs] + [(None, "one two three"), (None, "one two three"), (8, "one TWO-three four"), (30, "a École ÉCOLE École İX \u212aELVIN b"), (31, "école école İx kelvin école École")]
+    items = [(1, "one two three"), (1, "one two three"), (12, "Two three"), (None, "a b c"), (3, None), (4, "--"), (5, odd_docs[8][1]), (6, "größe naïve café the end tis 42 日本 🙂 x"), (7, "ÉCOLE École İx \u212aelvin"), (9, "école École")]
     assert ask(spark, docs, items) == brute(docs, items)
 
 
