@@ -10,7 +10,7 @@ read so far without error, and with one error, at the same, the next or the last
 of the cell at once by a few operations on bits.
 
 A cell of over ``BLOCK`` words is indexed in blocks and each of its words runs over every block, so no task holds more
-than a block. A block tells a word's number of near words and its most frequent one; no pairs are emitted.
+than a block, and the blocks of a cell are dealt to many tasks. A block tells a word's number of near words and its most frequent one; no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SharedTables, small_batches
 
-SHORTEST, LEAST, TIMES, BLOCK, EVERY, HELD = 7, 2, 10, 4096, 31, 200_000
+SHORTEST, LEAST, TIMES, BLOCK, LARGE, EVERY, HELD = 7, 2, 10, 4096, 1_000_000, 31, 200_000
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
 
@@ -109,10 +109,11 @@ def near(counted: DataFrame, block: int = BLOCK) -> DataFrame:
     one, of equal ones the smallest by code points."""
     tables = SharedTables(counted.sparkSession, "variants")
     cells = tables.put(_cells(counted))
-    sizes = cells.groupBy("a", "side", "half").agg(F.count("*").alias("k")).filter("k > 1")
-    dealt = cells.join(sizes, ["a", "side", "half"]).withColumn("of", F.ceil(F.col("k") / block).cast("int"))
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("word"), F.col("of")).cast("int"))
-    lists = tables.put(dealt.groupBy("a", "side", "half", "of", "b").agg(F.collect_list("word").alias("own"), F.collect_list("n").alias("ns")))
+    # Large cells are few: each has over ``block`` of the rows.
+    large = tables.put(cells.groupBy("a", "side", "half").agg(F.count("*").alias("k")).filter(F.col("k") > block).withColumn("of", F.ceil(F.col("k") / block).cast("int")).drop("k"))
+    dealt = cells.join(F.broadcast(large) if large.count() <= LARGE else large, ["a", "side", "half"], "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("word"), F.col("of")).cast("int")).repartition("a", "side", "half", "of", "b")
+    lists = tables.put(dealt.groupBy("a", "side", "half", "of", "b").agg(F.collect_list("word").alias("own"), F.collect_list("n").alias("ns")).filter((F.size("own") > 1) | (F.col("of") > 1)))
     one = lists.filter("of = 1").select("a", "side", "own", "ns", F.col("own").alias("asked"))
     many = lists.filter("of > 1")
     more = many.select("a", "side", "half", "own", "ns").join(many.select("a", "side", "half", F.col("own").alias("asked")), ["a", "side", "half"]).select("a", "side", "own", "ns", "asked")
