@@ -2,7 +2,7 @@
 
 IN has ``repository_info`` (path), ``total_repo_lines`` and ``pattern_matches``; ``-`` reads it from standard input,
 for documents of one machine's size. OUT becomes a folder of JSON lines, one file set for each of code_blocks,
-duplicate_groups, members, suggestions and metrics, and a report.md. An input with a bad match gives an error and no
+duplicate_groups, members, suggestions and metrics, a report.md and a report.html. An input with a bad match gives an error and no
 output, as does one of more matches than the boundary allows.
 """
 
@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import scoring
 from .operators import extraction, metrics, scanners
 from .operators.graph import Rounds
 from .sources import files
@@ -57,6 +59,18 @@ def report(found: extraction.Scan, most: int = LISTED) -> str:
     return "\n".join(parts)
 
 
+def page(found: extraction.Scan, most: int = LISTED) -> str:
+    """The scan as an HTML page: metrics, the groups of most impact, each with its severity, and the suggestions of most return."""
+    told = found.metrics.first().asDict()
+    groups = metrics.top(found.groups, "impact", most, "group_id").withColumn("priority", scoring.priority(F.col("impact")))
+    best = metrics.top(found.suggestions, "roi", most, "suggestion_id")
+    parts = ["<!DOCTYPE html><html><head><meta charset='utf-8'><title>Duplicate report</title></head><body><h1>Duplicate report</h1>", "<h2>Metrics</h2><dl>"]
+    parts += [f"<dt>{escape(str(k))}</dt><dd>{escape(str(v))}</dd>" for k, v in told.items()]
+    parts += ["</dl><h2>Groups by impact</h2>", files.html_table(groups, ["group_id", "method", "category", "occurrences", "total_lines", "files", "impact", "priority"], most)]
+    parts += ["<h2>Suggestions by return</h2>", files.html_table(best, ["suggestion_id", "strategy", "rationale", "target", "complexity", "risk", "effort_hours", "roi"], most), "</body></html>"]
+    return "\n".join(parts)
+
+
 def run(spark: SparkSession, source: str, out: str, lines: str | None = None) -> extraction.Scan:
     """Reads, scans and writes; ``lines`` names the folder of the repository's files for the search of function names."""
     matches, repository, total = read_input(spark, source)
@@ -69,7 +83,8 @@ def run(spark: SparkSession, source: str, out: str, lines: str | None = None) ->
     found = extraction.scan(matches, repository, text, total)
     for name, rows in (("code_blocks", found.blocks), ("duplicate_groups", found.groups), ("members", found.members), ("suggestions", found.suggestions), ("metrics", found.metrics)):
         rows.write.mode("overwrite").json(f"{out}/{name}")
-    spark.createDataFrame([(report(found),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report.md")
+    for name, made in (("report.md", report(found)), ("report.html", page(found))):
+        spark.createDataFrame([(made,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/{name}")
     return found
 
 

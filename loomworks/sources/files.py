@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,20 @@ def log_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return _jobs(rows, name, pipeline.otherwise("unknown"), F.when(error.isNull(), "completed").otherwise("failed"), begun, done, data, result, error)
 
 
+def import_folders(spark: SparkSession, reports: list[str], logs: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The jobs of folders of reports and of logs, with their folder as ``source``, and how many came of each, in order.
+
+    An id that several files have is imported once, from the first folder that has it.
+    """
+    folders = [(f, report_jobs) for f in reports] + [(f, log_jobs) for f in logs]
+    parts = [read(spark, f).withColumn("source", F.lit(f)).withColumn("__at", F.lit(i)) for i, (f, read) in enumerate(folders)]
+    every = reduce(DataFrame.unionByName, parts)
+    first = every.groupBy("id").agg(F.min_by(F.struct(*every.columns), "__at").alias("row")).select("row.*")
+    order = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(folders)], "__at int, source string")
+    counts = first.groupBy("__at").agg(F.count("*").alias("n"))
+    return first.drop("__at"), order.join(counts, "__at", "left").orderBy("__at").select("source", F.coalesce("n", F.lit(0)).alias("imported"))
+
+
 def _jobs(rows, id_, pipeline, status, begun, done, data, result, error) -> DataFrame:
     columns = (id_, pipeline, status, begun, begun, done, data, result, error, F.lit(None))
     return rows.select(*[c.cast("string").alias(n) for n, c in zip(schemas.JOBS.names, columns)])

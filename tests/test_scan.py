@@ -52,6 +52,8 @@ def test_scan(spark, source, tmp_path):
     assert lines[0]["group_id"].startswith("dg_") and lines[0]["occurrences"] == 3
     told = "".join(f.read_text() for f in (out / "report.md").glob("part*"))
     assert all(x in told for x in ("# Duplicate report", "## Metrics", "## Strategies", "## Groups by impact", "## Suggestions by return", "### cs_dg_", "1. "))
+    page = "".join(f.read_text() for f in (out / "report.html").glob("part*"))
+    assert page.startswith("<!DOCTYPE html>") and "<dt>total_duplicate_groups</dt><dd>1</dd>" in page and "<td>dg_" in page and "<td>cs_dg_" in page and page.endswith("</html>\n")
     told = found.metrics.first()
     assert told["total_duplicate_groups"] == 1 and told["duplication_percentage"] == round(100 * told["total_duplicated_lines"] / 900, 2)
 

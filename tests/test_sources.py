@@ -52,6 +52,13 @@ def test_report_and_log_jobs(spark, tmp_path):
     logs = {r.id: r for r in files.log_jobs(spark, str(tmp_path / "logs")).collect()}
     assert (logs["plugin-audit-1"].pipeline_id, logs["plugin-audit-1"].status, logs["plugin-audit-1"].created_at) == ("plugin-manager", "failed", "2026-01-01T00:00:00.000Z")
     assert (logs["other"].pipeline_id, logs["other"].status) == ("unknown", "completed") and json.loads(logs["other"].result) == {"ok": 1}
+    put(tmp_path / "more" / "other.json", {"error": "later"})
+    put(tmp_path / "more" / "new.json", {})
+    (tmp_path / "none").mkdir()
+    folders = [str(tmp_path / x) for x in ("logs", "more", "none")]
+    jobs_, counts = files.import_folders(spark, [str(tmp_path)], folders)
+    assert {r.id: (r.source, r.status) for r in jobs_.collect()} == {"a-b-2026-02-03": (str(tmp_path), "completed"), "plugin-audit-1": (folders[0], "failed"), "other": (folders[0], "completed"), "new": (folders[1], "completed")}
+    assert [tuple(r) for r in counts.collect()] == [(str(tmp_path), 1), (folders[0], 2), (folders[1], 1), (folders[2], 0)]
 
 
 def test_repository_config(spark, tmp_path):
@@ -156,7 +163,7 @@ def test_column_functions(spark):
         *[text.function_name(t(c)) for c in ("async function go() {}", "const f = (x) => x", "x + 1")],
         text.duration_text(t(3723)), text.report_kind(t(7)), text.report_kind(t(90)),
     )
-    assert list(got) == [1000.0, 31.0, -3.0, 15.0, 12.0, 5.0, 1000.0, None, "0 B", "512.0 B", "1.5 KB", "1.0 MB", "typescript", "python", "unknown", "auth_check", "utility", "go", "f", None, "1h 2m 3s", "Weekly", "90-Day"]
+    assert list(got) == [1000.0, 31.0, None, 15.0, 12.0, 5.0, 1000.0, None, "0 B", "512.0 B", "1.5 KB", "1.0 MB", "typescript", "python", "unknown", "auth_check", "utility", "go", "f", None, "1h 2m 3s", "Weekly", "90-Day"]
     arrays = lambda *x: F.array(*[t(v) for v in x]).cast("array<string>")
     sims = one(spark, *[text.chain_similarity(arrays(*a), arrays(*b)) for a, b in ((("map", "filter"), ("map", "filter")), ((), ("a", "b")), (("a", "b"), ("a", "b", "c", "d")), (("a", "b"), ("a", "c")), (("a", "b"), ("x", "y", "z")))])
     assert list(sims) == [1.0, 0.5, 0.5, 0.5, 0.0]
