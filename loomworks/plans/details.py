@@ -69,10 +69,10 @@ def total_capacity(spark, sf_dir):
     return jobs.total_capacity(table(spark, sf_dir, "supplier").select(F.when(k % 4 == 1, True).when(k % 4 == 2, False).alias("disabled"), F.when(k % 3 == 0, F.col("s_nationkey")).alias("max_scans"), F.when(k % 5 != 0, (k % 7).cast("int")).alias("max_jobs")))
 
 
-@query(f"WITH {_SUGGEST_SQL} SELECT avg(roi) AS avg_roi, min(roi) AS min_roi, max(roi) AS max_roi, coalesce(max(impact), 0) AS top_impact FROM u")
+@query(f"WITH {_SUGGEST_SQL} SELECT round(avg(roi), 6) AS avg_roi, min(roi) AS min_roi, max(roi) AS max_roi, coalesce(max(impact), 0) AS top_impact FROM u")
 def roi_summary(spark, sf_dir):
     groups = graph.Rounds(spark).put(_exact(spark, sf_dir))
-    return metrics.roi_summary(duplicates.suggestions(groups), groups)
+    return metrics.roi_summary(duplicates.suggestions(groups), groups).withColumn("avg_roi", F.round("avg_roi", 6))
 
 
 @query(f"WITH {_SUGGEST_SQL} SELECT 'dg_' || substr(h, 1, 12) AS group_id, impact FROM u ORDER BY impact DESC, group_id LIMIT 25")
@@ -237,13 +237,13 @@ def suggestion_targets(spark, sf_dir):
     return duplicates.suggestions(_exact(spark, sf_dir)).select("suggestion_id", "target")
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 END AS heading_line FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS heading_line FROM documents WHERE text IS NOT NULL")
 def heading_lines(spark, sf_dir):
     """The first heading line of documents as README files; a third of them begin with prose, or have none."""
     prose = F.regexp_replace("text", "[#\n]", " ")
     k = F.col("doc_id") % 4
     content = F.when(k == 0, F.concat(prose, F.lit("\n  ## two\n# three"))).when(k == 1, prose).when(k == 2, F.concat(F.lit("#"), prose)).otherwise(F.concat(F.lit("\t# x\n"), prose))
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", scanners.heading_line(content).alias("heading_line"))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.coalesce(scanners.heading_line(content), F.lit(0)).alias("heading_line"))
 
 
 @query(

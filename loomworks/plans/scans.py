@@ -28,7 +28,7 @@ def _steps(spark, sf_dir):
 
 @query(f"WITH {_STEPS_SQL} SELECT * FROM s")
 def step_kinds(spark, sf_dir):
-    return _steps(spark, sf_dir).select("p_partkey", migration.step_kind(F.col("text")).alias("s")).select("p_partkey", "s.*")
+    return _steps(spark, sf_dir).select("p_partkey", F.inline(F.array(migration.step_kind(F.col("text")))))
 
 
 _LINE = "CASE l_linenumber % 4 WHEN 0 THEN 'import a from \"./s' || l_suppkey % 100 || '\";' WHEN 1 THEN 'x = f' || l_partkey % 200 || ' (1);' WHEN 2 THEN 'const  c' || l_partkey % 200 || ' = 1' ELSE 'refactor' END"
