@@ -62,14 +62,10 @@ def fingerprint(texts: DataFrame, keys: list[str], text_col: str = "text", seeds
     voted = rows.groupBy(*keys).agg(F.sum("weight").alias("weight"), *sums)
 
     def word(k: int) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(32):
-            low = F.col(f"s{k}_{i}").bitwiseAND(F.lit(0xFFFFFFFF))
-            high = F.shiftrightunsigned(f"s{k}_{i}", 32)
-            for votes, bit in ((low, i), (high, i + 32)):
-                value = (1 << bit) - (1 << 64 if bit == 63 else 0)
-                out = out.bitwiseOR(F.when(votes * 2 > F.col("weight"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
+        # One small expression over an array: the plan, its code and what the driver keeps of it don't grow with the bits.
+        bit = lambda votes, at: F.when(votes * 2 > F.col("weight"), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+        pair = lambda s, i: bit(s.bitwiseAND(F.lit(0xFFFFFFFF)), i).bitwiseOR(bit(F.shiftrightunsigned(s, 32), i + 32))
+        return F.aggregate(F.transform(F.array(*[F.col(f"s{k}_{i}") for i in range(32)]), pair), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
 
     return voted.select(*keys, F.array(*[word(k) for k in range(len(seeds))]).alias("fp"))
 
@@ -119,6 +115,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out = told.withColumn("after", F.lead("fp").over(order)).join(heads, "block")
     out = out.select(
         id_col,
+        "block",
+        "place",
         "n_chars",
         "edited_sha256",
         as_text(F.col("fp")).alias("fingerprint"),
@@ -127,14 +125,15 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         likeness(F.col("fp"), F.coalesce("after", "head")).alias("near_next"),
     )
     if asks is None:
-        return out
+        return out.drop("block", "place")
     classes = told.groupBy("fp").agg(F.count("*").alias("n"), F.min(id_col).alias("least"), F.max(asks).alias("asked"))
     classes = tables.put(classes)
     found = within(classes.select("fp", "n", "least"), classes.filter("asked").select("fp"), radius)
-    found = found.select(as_text(F.col("fp")).alias("fingerprint"), "n_within", "first_within")
-    asked = out.filter(asks).join(found, "fingerprint").select(*out.columns, "n_within", "first_within")
-    rest = out.filter(~F.coalesce(asks, F.lit(False))).select("*", F.lit(None).cast("long").alias("n_within"), F.lit(None).cast(docs.schema[id_col].dataType).alias("first_within"))
-    return asked.union(rest)
+    found = tables.put(found.select(as_text(F.col("fp")).alias("__at"), "n_within", "first_within"))
+    # Rows that ask nothing get a key of their own, so that none of them meet in a task.
+    own = F.concat(F.lit("o "), F.col("block").cast("string"), F.lit(" "), F.col("place").cast("string"))
+    keyed = out.withColumn("__at", F.when(asks, F.col("fingerprint")).otherwise(own))
+    return keyed.join(found, "__at", "left").select(*[c for c in out.columns if c not in ("block", "place")], "n_within", "first_within")
 
 
 def _blocks(fp: Column, words: int, radius: int) -> list[Column]:

@@ -98,3 +98,8 @@ def test_empty_and_extra(empty, docs):
     assert fp.compare_edited(empty).collect() == []
     assert fp.compare_edited(empty, asks=F.col("doc_id") % 20 == 0).collect() == []
     assert fp.compare_edited(docs.withColumn("block", F.lit(1)).withColumn("fp", F.lit(2))).count() == docs.count()
+
+
+def test_plan_of_a_fingerprint_is_small(docs):
+    made = fp.fingerprint(docs.select("doc_id", "text"), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("CASE WHEN") < 20 and len(made) < 15_000
