@@ -40,7 +40,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each near-duplicate group: five-word shingles, similarity 0.8 or more.
 
-    SimHash can't find pairs of that similarity (README), so candidates come from min-hashes and are compared whole.
+    Candidates come from SimHash fingerprints first, and from min-hashes where documents are still apart, as 64 bits can't
+    bring all pairs of that similarity together (README); all are compared whole.
     Rows of equal id and text are one document; rows of a null id all stay; texts without words are one group.
     """
     return jaccard_dedup.keep_one(docs)

@@ -1,6 +1,9 @@
 """Near-dedup on sets of word shingles: similarity is the Jaccard index of two texts' distinct five-word shingles.
 
-Plan: each text becomes ``BANDS`` keys of ``ROWS`` min-hashes each. Texts that share a key are candidates, and only
+Plan: SimHash comes first (``simhash_dedup``): a 64-bit fingerprint of the set of shingles, linked within ``RADIUS`` bits by
+pigeonhole blocks, with exact ways for crowds. Its links are candidates, and those whose sets reach the threshold when
+compared whole are links. What 64 bits can't bring together (at 0.8 two fingerprints differ in about 10) is then sought
+among the classes that are not yet in one component: each text becomes ``BANDS`` keys of ``ROWS`` min-hashes each. Texts that share a key are candidates, and only
 candidates whose sets, compared whole, reach the threshold are links; so no link is wrong. A pair of similarity s
 shares a key with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8, more above.
 
@@ -10,9 +13,6 @@ its keys, which joins the bulk of a crowd into one component. Then classes of di
 prefix filter, which is exact: with shingles in one order, rarest first, two sets of similarity t share one of their
 first n - t * n + 1 shingles, with enough shingles left behind it on both sides. So only pairs that cannot reach the
 threshold, or cannot change the components, are left out. The components of the links are the groups.
-
-This stands in for SimHash where the threshold is a Jaccard index: at 0.8 two 64-bit fingerprints differ in about
-10 bits, which no pigeonhole blocks find (README).
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SharedTables, small_batches
-from .simhash_dedup import components
+from .simhash_dedup import components, links, majority
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SEED, CROWD, SALTS, HEADS = 5, 0.8, 20, 5, 42, 32, 64, (1, 4)
+SHINGLE, THRESHOLD, BANDS, ROWS, SEED, CROWD, SALTS, HEADS, RADIUS = 5, 0.8, 20, 5, 42, 32, 64, (1, 4), 2
 _SLICE = 20_000
 
 
@@ -51,7 +51,7 @@ def _row(id_col: str, text_col: str) -> Column:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row (``id_col``, row, cls, n, bands) a row: its key, the hash and size of its shingle set, its band keys.
+    """A row (``id_col``, row, cls, n, bands, fp) a row: its key, the hash and size of its shingle set, its band keys and SimHash.
 
     Null, empty and blank texts have one set, of the hash 0; texts of fewer words than a shingle hash as a whole. A very
     long text is hashed in slices. Repeated rows have equal rows; an empty table gives none. Other columns are not read.
@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
     def run(batches):
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            classes, sizes, keys = [], [], []
+            classes, sizes, keys, prints = [], [], [], []
             for text in b.column(2).cast(pa.large_binary()).to_pylist():
                 s = _shingles(text, shingle)
                 least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
@@ -74,12 +74,13 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                         least[k : k + 10] = np.minimum(least[k : k + 10], (part * a[k : k + 10, None] + c[k : k + 10, None]).min(axis=1))
                 classes.append(digest(s.tobytes(), SEED))
                 sizes.append(len(s))
+                prints.append(majority(s))
                 keys.append([digest(least[k : k + rows].tobytes(), k) for k in range(0, bands * rows, rows)])
-            made = [np.array(x, np.uint64).view(np.int64) for x in (classes, keys)]
+            made = [np.array(x, np.uint64).view(np.int64) for x in (classes, keys, prints)]
             lists = pa.ListArray.from_arrays(np.arange(len(classes) + 1, dtype=np.int32) * bands, pa.array(made[1].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made[0]), pa.array(sizes, pa.int64()), lists], [id_col, "row", "cls", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made[0]), pa.array(sizes, pa.int64()), lists, pa.array(made[2])], [id_col, "row", "cls", "n", "bands", "fp"])
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("row", T.StringType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("row", T.StringType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])
     return docs.select(id_col, _row(id_col, text_col).alias("row"), text_col).mapInArrow(run, schema)
 
 
@@ -117,19 +118,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     """
     tables = SharedTables(docs.sparkSession, "jaccard")
     made = tables.put(signatures(docs, shingle, id_col=id_col, text_col=text_col))
-    classes = made.groupBy("cls").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = made.groupBy("cls").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    classes = tables.put(classes)
     keyed = classes.select("cls", "row", "n", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("k")).filter("k > 1")
     shared = tables.put(keyed.join(sizes, ["band", "key"]))
+    met = tables.put(simhash_pairs(classes, threshold))
     named = made.select(id_col, "row", "cls")
-    if shared.isEmpty():
+    if shared.isEmpty() and met.isEmpty():
         return named.withColumn("root", F.col("cls"))
     texts = docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    texts = texts.join(shared.select("row", "cls").distinct(), "row").dropDuplicates(["row"])
+    asked = classes.select("row", "cls").join(shared.select("cls").union(met.select("u")).union(met.select("v")).distinct(), "cls", "left_semi")
+    texts = texts.join(asked, "row").dropDuplicates(["row"])
     sets = tables.put(_sets(texts.select("cls", "text"), shingle))
-    few = shared.filter(F.col("k") <= crowd)
-    pairs = few.select("band", "key", F.col("cls").alias("u"), F.col("n").alias("nu")).join(few.select("band", "key", F.col("cls").alias("v"), F.col("n").alias("nv")), ["band", "key"])
-    edges = tables.put(_linked(pairs.filter(F.col("u") < F.col("v")).filter(_sizes_fit(F.col("nu"), F.col("nv"), threshold)).select("u", "v").distinct(), sets, threshold))
+    edges = tables.put(_linked(met, sets, threshold))
+    few = _rooted(shared.filter(F.col("k") <= crowd).select("band", "key", "cls", "n"), edges)
+    pairs = few.select("band", "key", F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")).join(few.select("band", "key", F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv")), ["band", "key"])
+    apart = (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _sizes_fit(F.col("nu"), F.col("nv"), threshold)
+    edges = tables.put(edges.union(_linked(pairs.filter(apart).select("u", "v").distinct(), sets, threshold)))
     left = tables.put(shared.filter(F.col("k") > crowd).select("band", "key", "cls", "n"))
     for slots in HEADS:
         if left.isEmpty():
@@ -150,10 +156,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     return out
 
 
+def simhash_pairs(classes: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """(u, v), u < v: candidates among ``classes`` (cls, n, fp) by SimHash: of one fingerprint, each with the least of
+    them, and the least of two fingerprints that ``simhash_dedup.links`` links. Sizes that can't reach the threshold are
+    left out. Rows are in proportion to the classes and links, however many share a fingerprint."""
+    heads = classes.groupBy("fp").agg(F.min(F.struct("cls", "n")).alias("h"))
+    own = classes.join(heads, "fp").select(F.col("h.cls").alias("u"), F.col("h.n").alias("nu"), F.col("cls").alias("v"), F.col("n").alias("nv"))
+    near = links(heads.select("fp"), radius).withColumnsRenamed({"u": "fu", "v": "fv"})
+    side = lambda f, c, n: heads.select(F.col("fp").alias(f), F.col("h.cls").alias(c), F.col("h.n").alias(n))
+    near = near.join(side("fu", "u", "nu"), "fu").join(side("fv", "v", "nv"), "fv").select("u", "nu", "v", "nv")
+    fit = own.union(near).filter((F.col("u") != F.col("v")) & _sizes_fit(F.col("nu"), F.col("nv"), threshold))
+    return fit.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` (cls, ...) with root, which names the component of ``edges`` that the class is in."""
+    if edges.isEmpty():
+        return rows.withColumn("root", F.col("cls"))
+    return rows.join(components(edges).withColumnRenamed("fp", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
 def _apart(left: DataFrame, edges: DataFrame, slots: int) -> DataFrame:
     """The rows of ``left`` (band, key, cls, n) of keys whose classes are not in one component, with root and a draw x."""
-    roots = components(edges).withColumnRenamed("fp", "cls") if not edges.isEmpty() else left.select("cls", F.col("cls").alias("root")).distinct()
-    told = left.select("band", "key", "cls", "n").join(roots, "cls", "left").select("band", "key", "cls", "n", F.coalesce("root", "cls").alias("root"), F.xxhash64("cls", "band", F.lit(slots)).alias("x"))
+    told = _rooted(left.select("band", "key", "cls", "n"), edges).select("band", "key", "cls", "n", "root", F.xxhash64("cls", "band", F.lit(slots)).alias("x"))
     mixed = told.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band", "key")
     return told.join(mixed, ["band", "key"], "left_semi")
 

@@ -31,6 +31,15 @@ SHINGLE, RADIUS, SEED, CROWD = 3, 2, 42, 48
 _SLICE = 1_000_000
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned hashes ``h``."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(h), _SLICE):
+        part = np.ascontiguousarray(h[i : i + _SLICE], np.dtype("<u8"))
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
+
+
 def _fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
     words = text.lower().split() if text else []  # bytes: only A-Z are lowered, only ASCII white space splits
     if not words:

@@ -90,3 +90,18 @@ def test_odd(docs, empty):
     # 5 and 6 share 26 of 30 shingles
     assert kept == [(False, 0)] + [(True, i) for i in (1, 4, 5, 7, 8, 11, 12, 13)]
     assert jd.keep_one(empty).collect() == []
+
+
+def test_simhash_comes_first(spark):
+    base = [f"w{i}" for i in range(400)]
+    near = [*base[:399], "other"]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(f"x{i}" for i in range(400)))]
+    made = jd.signatures(spark.createDataFrame(rows, "doc_id long, text string"))
+    cls = {r.doc_id: r.cls for r in made.collect()}
+    got = [(r.u, r.v) for r in jd.simhash_pairs(made.select("cls", "n", "fp"), radius=3).collect()]
+    prints = {r.doc_id: r.fp for r in made.collect()}
+    apart = ((prints[1] ^ prints[2]) & (1 << 64) - 1).bit_count()
+    assert got == ([tuple(sorted((cls[1], cls[2])))] if apart <= 3 else [])
+    same = made.withColumn("fp", made.n * 0)  # all of one fingerprint: each meets the least of them alone
+    assert {x for p in jd.simhash_pairs(same.select("cls", "n", "fp")).collect() for x in p} == set(cls.values())
+    assert jd.simhash_pairs(same.select("cls", "n", "fp")).count() == 2
