@@ -133,7 +133,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Rows that ask nothing get a key of their own, so that none of them meet in a task.
     own = F.concat(F.lit("o "), F.col("block").cast("string"), F.lit(" "), F.col("place").cast("string"))
     keyed = out.withColumn("__at", F.when(asks, F.col("fingerprint")).otherwise(own))
-    return keyed.join(found, "__at", "left").select(*[c for c in out.columns if c not in ("block", "place")], "n_within", "first_within")
+    return keyed.join(found.hint("merge"), "__at", "left").select(*[c for c in out.columns if c not in ("block", "place")], "n_within", "first_within")
 
 
 def _blocks(fp: Column, words: int, radius: int) -> list[Column]:
@@ -160,6 +160,9 @@ def pairs_within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words
     fingerprints share a table's bits, they are dealt over salts that every asked one goes to, so no group is one
     task's and none is left out. A fingerprint on both sides meets itself at distance 0. Fingerprints must not be null;
     repeated ones give repeated pairs; either side may be empty.
+
+    Spark sizes a side by its files, which are compressed and come before its rows are exploded to one a table, and
+    would broadcast tables many times over the threshold; so sides that grow with the input are joined by sorting.
     """
     pairs = list(combinations(range(radius + 2), 2))
 
@@ -178,7 +181,7 @@ def pairs_within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words
     first = None  # the number of the first pair of blocks that agree
     for t, (i, j) in enumerate(pairs):
         first = F.when(agree[i] & agree[j], t) if first is None else first.when(agree[i] & agree[j], t)
-    met = left.join(right, ["t", "a", "b", "salt"]).filter((first == F.col("t")) & (distance <= radius))
+    met = left.hint("merge").join(right, ["t", "a", "b", "salt"]).filter((first == F.col("t")) & (distance <= radius))
     return met.select("x", "y", distance.alias("distance"))
 
 
@@ -187,7 +190,7 @@ def within(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int
     (``fp``, ``n``, ``least``) within ``radius`` bits. Copies are counted by their class, never expanded. An asked one
     without any indexed within the radius has no row; a null ``least`` is passed over where others are."""
     found = pairs_within(index, asked, radius, words)
-    return found.join(index, F.col("y") == F.col("fp")).groupBy("x").agg(F.sum("n").alias("n_within"), F.min("least").alias("first_within")).withColumnRenamed("x", "fp")
+    return found.join(index.hint("merge"), F.col("y") == F.col("fp")).groupBy("x").agg(F.sum("n").alias("n_within"), F.min("least").alias("first_within")).withColumnRenamed("x", "fp")
 
 
 def search(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int = len(SEEDS)) -> DataFrame:
@@ -198,5 +201,5 @@ def search(index: DataFrame, asked: DataFrame, radius: int = RADIUS, words: int
     empty side gives an empty result. Other columns are not read.
     """
     found = pairs_within(index.select("fp").distinct(), asked.select("fp").distinct(), radius, words)
-    rows = asked.select(F.col("id").alias("asked_id"), F.col("fp").alias("x")).join(found, "x").select("asked_id", "y", "distance")
-    return rows.join(index.select("id", F.col("fp").alias("y")), "y").select("asked_id", "id", "distance")
+    rows = asked.select(F.col("id").alias("asked_id"), F.col("fp").alias("x")).join(found.hint("merge"), "x").select("asked_id", "y", "distance")
+    return rows.join(index.select("id", F.col("fp").alias("y")).hint("merge"), "y").select("asked_id", "id", "distance")

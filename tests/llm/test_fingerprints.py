@@ -103,3 +103,17 @@ def test_empty_and_extra(empty, docs):
 def test_plan_of_a_fingerprint_is_small(docs):
     made = fp.fingerprint(docs.select("doc_id", "text"), ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
     assert made.count("CASE WHEN") < 20 and len(made) < 15_000
+
+
+def test_search_broadcasts_no_side_that_grows(spark, tmp_path):
+    """The sides' files are far below the threshold, which says little of them once they are exploded."""
+    rows = spark.range(600).select(F.col("id"), F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("fp"), F.lit(1).cast("long").alias("n"), F.col("id").alias("least"))
+    rows.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    asked = index.filter("id % 20 = 0")
+    for made in (fp.within(index.select("fp", "n", "least"), asked.select("fp")), fp.search(index.select("id", "fp"), asked.select("id", "fp")).drop("distance")):
+        assert len(made.collect()) == 30
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        joins = [x for x in plan.splitlines() if "Join" in x]
+        # Only the crowded keys, none here, may be broadcast: a left join on the keys of a table.
+        assert joins and all("SortMergeJoin" in x or "LeftOuter" in x for x in joins), joins
